@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import ship
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,12 +38,36 @@ def op5_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(_table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify_language
+
+    return identify_language(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import token_file_digest
 
     return token_file_digest(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=0)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii
+
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import score_texts
+
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
