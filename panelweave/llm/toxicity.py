@@ -42,17 +42,21 @@ class ToxicModel:
 
 
 def fit_nnpu(
-    positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 150, rate: float = 0.2, decay: float = 1e-4, min_documents: int = 8
+    positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 150, rate: float = 0.2, decay: float = 1e-4, min_documents: int = 8, surely: float = 6.0
 ) -> ToxicModel:
     """Train on documents given as arrays of feature numbers; deterministic.
 
-    A word takes part if `min_documents` of the positives hold it: the prior is the only
-    knowledge about words that none of the confirmed examples use.
+    A word takes part if at least `min_documents` positives hold it, and its share of positives
+    is above its share of unlabelled documents by `surely` standard deviations of chance.
     """
     if not positive or not unlabelled or not 0 < prior < 1:
         return ToxicModel({}, float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))) if positive else -20.0)
     found, counts = np.unique(np.concatenate(positive), return_counts=True)
-    found = found[counts >= min_documents]
+    others, other_counts = np.unique(np.concatenate(unlabelled), return_counts=True)
+    at = np.minimum(np.searchsorted(others, found), max(0, len(others) - 1))
+    base = np.where(others[at] == found, other_counts[at], 0) / len(unlabelled) if len(others) else np.zeros(len(found))
+    chance = np.sqrt((base * (1 - base) + 1 / len(unlabelled)) * (1 / len(positive) + 1 / len(unlabelled)))
+    found = found[(counts >= min_documents) & (counts / len(positive) - base >= surely * chance)]
 
     def compact(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         lengths, flat = np.array([len(d) for d in docs]), np.concatenate(docs)
