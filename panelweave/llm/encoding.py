@@ -8,7 +8,19 @@ from array import array
 
 #: White space other than blank and line feed; a chunk that holds some sends its text the long way.
 _OTHER_SPACE = re.compile(r"[^\S \n]")
-_CHUNK = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+#: A run of Latin letters before an ASCII character that isn't one is a pre-token by itself; else all up to white space.
+_RUN = f"[{_LATIN}]++(?![^\\x00-@\\[-`{{-\\x7f])"
+_LEADING = re.compile(f" ?{_RUN}| ?[^ \\n]+|[ \\n]+(?![^ \\n])|[ \\n]+")
+_DROPPED = re.compile(f"{_RUN}|[^ \\n]+")
+_WORD = re.compile(f" ?[{_LATIN}]+")
+
+
+def _byte_characters() -> dict[int, str]:
+    """The printable stand-ins of byte-level vocabularies: bytes that print stand for themselves, others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
 def _mode(spec: dict) -> str:
@@ -37,38 +49,53 @@ class Encoder:
 
     The result is that of the library on the whole text. Where the tokenizer's own splitting
     never joins characters across a chunk's border, each distinct chunk goes through the
-    library once and is kept in a dictionary of at most `limit` entries.
+    library once and is kept; a chunk that is one word goes to the library's model straight.
+    Up to `limit` chunks are kept, and as many from before in case they come again.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.mode = _mode(json.load(f))
         self.limit = limit
-        self.known: dict[str, bytes | None] = {"": b""}
+        self.model, self.stand_ins = self.tokenizer.model, _byte_characters()
+        self.known: dict[str, bytes | None] = {}
+        self.before: dict[str, bytes | None] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _chunks(self, text: str) -> list[str]:
+    def _word(self, word: str) -> bytes:
         if self.mode == "dropped":
-            return text.replace("\n", " ").split(" ")
-        return _CHUNK.findall(text)
+            word = word.lower()
+        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.stand_ins))]).tobytes()
+
+    def _learn(self, chunks: set[str]) -> None:
+        known, before, rest = self.known, self.before, []
+        for c in chunks:
+            if c in before:
+                known[c] = before[c]
+            elif _WORD.fullmatch(c):
+                known[c] = self._word(c)
+            else:
+                rest.append(c)
+        known.update(zip(rest, self._library(rest), strict=True))
+        if self.mode == "leading":
+            known.update((c, None) for c in rest if _OTHER_SPACE.search(c))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.mode == "whole":
             return self._library(texts)
-        parts = [self._chunks(t) for t in texts]
-        missing = list(set().union(*parts).difference(self.known)) if parts else []
+        find = (_DROPPED if self.mode == "dropped" else _LEADING).findall
+        parts = [find(t) for t in texts]
+        missing = set().union(*parts).difference(self.known)
         if missing:
-            if len(self.known) + len(missing) > self.limit:
-                self.known = {"": b""}
-                missing = list(set().union(*parts).difference(self.known))
-            self.known.update(zip(missing, self._library(missing), strict=True))
-            if self.mode == "leading":
-                self.known.update((c, None) for c in missing if _OTHER_SPACE.search(c))
+            if len(self.known) > self.limit:
+                self.before, self.known = self.known, {}
+                missing = set().union(*parts)
+            self._learn(missing)
         get, out = self.known.__getitem__, []
         for text, chunks in zip(texts, parts, strict=True):
             try:
