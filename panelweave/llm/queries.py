@@ -32,6 +32,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1, capacity=Capacity(tokens=4096))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import JaccardJoin, jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"), JaccardJoin(words=4, percent=85))
+
+
 def op5_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .segment_search import top_products
 
