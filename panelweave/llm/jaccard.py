@@ -502,3 +502,19 @@ def jaccard_components(docs: DataFrame, join: JaccardJoin | None = None, region_
     empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), none.alias("set_key"), none.alias("head_key"))
     known = lambda c: F.when(F.col(c) != last, F.col(c)).alias(c)
     return full.unionByName(empty).select(known("doc_id"), "n_shingles", known("component_id"), known("class_id"), "set_key", "head_key")
+
+
+def set_key_column(join: JaccardJoin, text):
+    """The set_key of a whole text as a column: null where it has no words."""
+    state: dict = {}
+
+    @F.pandas_udf("long")
+    def key(texts):
+        import pandas as pd
+
+        if "shingler" not in state:
+            state["shingler"] = Shingler(join.words)
+        sets = [state["shingler"].set_of(t or "") for t in texts]
+        return pd.Series([key_of(s) if len(s) else None for s in sets], index=texts.index, dtype="Int64")
+
+    return key(text.cast("string"))
