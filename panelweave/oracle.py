@@ -88,8 +88,9 @@ def _value(node: Expr, name: dict[str, str]) -> list[str]:
         both = f"{x} IS NOT NULL AND {y} IS NOT NULL"
         first = f"CASE WHEN {both} THEN {x} END AS {px}, CASE WHEN {both} THEN {y} END AS {py}"
         least = max(2, catalog.min_periods(node.spec, d))
-        second = f"covar_pop({px}, {py}) OVER {win} / nullif(sqrt(var_pop({px}) OVER {win} * var_pop({py}) OVER {win}), 0)"
-        return [first, f"CASE WHEN t >= {node.warmup} AND count({px}) OVER {win} >= {least} THEN greatest(-1.0, least(1.0, {second})) END AS {out}"]
+        across = f"sqrt(var_pop({px}) OVER {win} * var_pop({py}) OVER {win})"
+        second = f"covar_pop({px}, {py}) OVER {win} / nullif({across}, 0)"
+        return [first, f"CASE WHEN t >= {node.warmup} AND count({px}) OVER {win} >= {least} AND {across} > 0 THEN greatest(-1.0, least(1.0, {second})) END AS {out}"]
     raise NotImplementedError(node.op)
 
 

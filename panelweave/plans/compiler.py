@@ -113,7 +113,8 @@ def _rolling(node: Expr, x: Column, y: Column | None) -> tuple[Column, Column]:
         value, ready = (less + (same + 1) / 2) / m, ready & x.isNotNull()
     else:
         across = F.sqrt(over(F.var_pop(x)) * over(F.var_pop(y)))
-        value = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(over(F.covar_pop(x, y)), across)))
+        # greatest and least skip nulls, so the guard stands outside.
+        value = F.when(across > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), over(F.covar_pop(x, y)) / across)))
     return F.when(ready, value), m
 
 
