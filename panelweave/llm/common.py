@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -32,8 +34,18 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
+#: Rows of an Arrow batch between the JVM and Python: whole texts may be long.
+BATCH_ROWS = 1024
+
+
 def ship(spark: SparkSession) -> None:
-    """Let the executors' Python import this package, once for each Spark context."""
+    """Ready a session: executors can import this package, and Arrow batches of texts stay small.
+
+    The package goes out once for each Spark context; a batch size that the session set itself is kept.
+    """
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(size) == "10000":
+        spark.conf.set(size, BATCH_ROWS)
     context = spark.sparkContext
     if getattr(context, "_package_shipped", False):
         return
@@ -62,6 +74,51 @@ def held_out(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % F.lit(modulus) == F.lit(2), F.lit(False))
 
 
+_STATE: dict[str, object] = {}
+
+
+def worker_state(name: str, make):
+    """What a Python worker keeps between tasks under this name; only one thing is kept at a time.
+
+    A worker serves many operators in turn, and what each remembers would add up.
+    """
+    if name not in _STATE:
+        _STATE.clear()
+        _STATE[name] = make()
+    return _STATE[name]
+
+
+def tidy(work, keeps: bool = False):
+    """A map over Arrow batches that hands freed memory back to the system when its task ends.
+
+    keeps: it uses worker_state; a map that doesn't first drops what others have left there.
+    """
+
+    def run(batches):
+        if not keeps:
+            _STATE.clear()
+        try:
+            yield from work(batches)
+        finally:
+            _give_back()
+
+    return run
+
+
+def release() -> None:
+    """For functions that aren't maps over batches: drop what others have left in the worker."""
+    _STATE.clear()
+    _give_back()
+
+
+def _give_back() -> None:
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
 def slices(batches, rows: int = SLICE_ROWS):
     """Cut Arrow batches into smaller ones without copying."""
     for batch in batches:

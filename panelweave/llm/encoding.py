@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from array import array
 
+from .common import worker_state
+
 #: White space other than blank and line feed; a chunk that holds some sends its text the long way.
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
@@ -53,7 +56,7 @@ class Encoder:
     Up to `limit` chunks are kept, and as many from before in case they come again.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -105,14 +108,7 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """The worker's encoder of this file, made once a process."""
-    import os
-
+    """The worker's encoder of this file."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return worker_state(f"encoder {path}", lambda: Encoder(path))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pack_deltas, pack_varints, record, slices, texts_of, unpack_deltas, unpack_varints
+from .common import materialize, pack_deltas, pack_varints, record, release, slices, texts_of, tidy, unpack_deltas, unpack_varints
 from .components import connected_components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -62,7 +62,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Shingle sets of texts as ascending arrays of 64-bit hashes."""
 
-    def __init__(self, words: int, clear_at: int = 500_000):
+    def __init__(self, words: int, clear_at: int = 300_000):
         self.words, self.clear_at, self.known = words, clear_at, _Hashes()
 
     def set_of(self, text: str) -> np.ndarray:
@@ -99,7 +99,7 @@ COUNTER_BITS, COMMON = 34, 1 << 20
 _FIRST = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("range", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 
 
-def _sets(docs: DataFrame, join: JaccardJoin, bits: int, hold: int = 1 << 22) -> DataFrame:
+def _sets(docs: DataFrame, join: JaccardJoin, bits: int, hold: int = 1 << 21) -> DataFrame:
     """kind 0: doc_id, set size and class of each document. kind 1: by range of shingles, counters and counts."""
 
     def read(batches):
@@ -126,7 +126,7 @@ def _sets(docs: DataFrame, join: JaccardJoin, bits: int, hold: int = 1 << 22) ->
         if held:
             yield flush()
 
-    return docs.mapInArrow(read, "kind int, doc_id long, n long, key long, range int, a binary, b binary")
+    return docs.mapInArrow(tidy(read), "kind int, doc_id long, n long, key long, range int, a binary, b binary")
 
 
 def _common(first: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +173,7 @@ class Rarity:
 _CELLS = pa.schema([("range", pa.int32()), ("s", pa.binary()), ("key", pa.binary()), ("n", pa.binary())])
 
 
-def _cells(docs: DataFrame, join: JaccardJoin, rarity: Rarity, bits: int, hold: int = 1 << 21) -> DataFrame:
+def _cells(docs: DataFrame, join: JaccardJoin, rarity: Rarity, bits: int, hold: int = 1 << 20) -> DataFrame:
     """By range of shingles: shingles of sets' windows (their next 32 bits), classes, sizes with an index flag."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
@@ -213,7 +213,7 @@ def _cells(docs: DataFrame, join: JaccardJoin, rarity: Rarity, bits: int, hold:
         if shingles:
             yield flush()
 
-    return docs.mapInArrow(read, "range int, s binary, key binary, n binary")
+    return docs.mapInArrow(tidy(read), "range int, s binary, key binary, n binary")
 
 
 def _neighbours(cells: DataFrame, join: JaccardJoin) -> DataFrame:
@@ -358,7 +358,7 @@ def _filter(wanted: DataFrame) -> np.ndarray:
         return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "bits": [np.packbits(out).tobytes()]})
 
     table = np.zeros((1 << (FILTER_BITS - FILTER_PART), 1 << (FILTER_PART - 3)), dtype=np.uint8)
-    for r in wanted.select("key", "rep").mapInArrow(bits, "part int, bits binary").groupBy("part").applyInPandas(merge, "part int, bits binary").collect():
+    for r in wanted.select("key", "rep").mapInArrow(tidy(bits), "part int, bits binary").groupBy("part").applyInPandas(merge, "part int, bits binary").collect():
         table[r["part"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return table.ravel()
 
@@ -379,7 +379,7 @@ def _members(docs: DataFrame, wanted: np.ndarray, join: JaccardJoin) -> DataFram
             some = [i for i in np.flatnonzero(hit) if len(sets[i])]
             yield record(schema, [keys[some], [sets[i].tobytes() for i in some]])
 
-    return docs.mapInArrow(read, "key long, shingles binary")
+    return docs.mapInArrow(tidy(read), "key long, shingles binary")
 
 
 def _small_regions(members: DataFrame, join: JaccardJoin, groups: int) -> DataFrame:
@@ -513,6 +513,7 @@ def set_key_column(join: JaccardJoin, text):
         import pandas as pd
 
         if "shingler" not in state:
+            release()
             state["shingler"] = Shingler(join.words)
         sets = [state["shingler"].set_of(t or "") for t in texts]
         return pd.Series([key_of(s) if len(s) else None for s in sets], index=texts.index, dtype="Int64")

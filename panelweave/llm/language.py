@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, record, slices, texts_of
+from .common import held_out, record, release, slices, texts_of, tidy
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 8, 192
 STEP = WINDOW - max(WIDTHS) + 1
@@ -182,7 +182,7 @@ def fit_language(docs: DataFrame, max_documents: int = 4000, windows: int = 5, m
                     made.append(x[np.unique(np.linspace(0, len(x) - 1, windows).astype(int))].tobytes() if len(x) else b"")
                 yield record(schema, [some.column(0), some.column(2), made])
 
-    got = sorted(rows.mapInArrow(cut, "doc_id long, lang string, windows binary").collect(), key=lambda r: (r["doc_id"], r["lang"], bytes(r["windows"])))
+    got = sorted(rows.mapInArrow(tidy(cut), "doc_id long, lang string, windows binary").collect(), key=lambda r: (r["doc_id"], r["lang"], bytes(r["windows"])))
     x = [np.frombuffer(r["windows"], np.uint8).reshape(-1, WINDOW) for r in got]
     y = [np.full(len(w), names.index(r["lang"])) for w, r in zip(x, got, strict=True)]
     if not sum(map(len, x)):
@@ -200,6 +200,7 @@ def language_column(model: LanguageModel, text: Column, spark) -> Column:
         import pandas as pd
 
         if "predictor" not in state:
+            release()
             state["predictor"] = Predictor(shared.value) if shared.value.names else None
         if state["predictor"] is None:
             return pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": [0.0] * len(texts)})

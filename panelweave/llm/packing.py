@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, record, slices, texts_of
+from .common import materialize, record, slices, texts_of, tidy
 from .encoding import encoder
 
 
@@ -139,7 +139,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int) -> Dat
             yield record(PIECES, out)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        cut, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
+        tidy(cut, keeps=True), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
     )
 
 
@@ -171,5 +171,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: C
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("number")
     )
     return numbered.mapInArrow(
-        assign, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+        tidy(assign), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )

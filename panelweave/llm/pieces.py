@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import slices, texts_of, tidy, worker_state
 
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -192,13 +192,9 @@ class PieceCodec:
         return out[1:] if self.model.dummy_prefix and out.startswith(" ") else out
 
 
-_CODECS: dict[str, PieceCodec] = {}
-
-
 def codec(path: str) -> PieceCodec:
-    if path not in _CODECS:
-        _CODECS[path] = PieceCodec(PieceModel.load(path))
-    return _CODECS[path]
+    """The worker's codec of this file."""
+    return worker_state(f"pieces {path}", lambda: PieceCodec(PieceModel.load(path)))
 
 
 def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
@@ -227,7 +223,7 @@ def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        encode, "doc_id long, ids array<int>, n_pieces long, ids_crc32 long, score double, round_trip boolean"
+        tidy(encode, keeps=True), "doc_id long, ids array<int>, n_pieces long, ids_crc32 long, score double, round_trip boolean"
     )
 
 
@@ -241,4 +237,4 @@ def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
             texts = [None if ids is None else tool.decode(ids) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], schema=schema)
 
-    return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(decode, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(tidy(decode, keeps=True), "doc_id long, text string")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, record, slices, texts_of
+from .common import materialize, record, slices, texts_of, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -141,7 +141,7 @@ def _edges(docs: DataFrame) -> DataFrame:
             if seen:
                 yield record(schema, [*zip(*seen, strict=True), list(seen.values())])
 
-    return docs.mapInArrow(find, "kind string, pattern string, instance long, n long")
+    return docs.mapInArrow(tidy(find), "kind string, pattern string, instance long, n long")
 
 
 def _introduced(docs: DataFrame, patterns: set[str]) -> DataFrame:
@@ -173,7 +173,7 @@ def _introduced(docs: DataFrame, patterns: set[str]) -> DataFrame:
             if seen:
                 yield record(schema, [*zip(*seen, strict=True), list(seen.values())])
 
-    return docs.mapInArrow(find, "pattern string, instance long, n long")
+    return docs.mapInArrow(tidy(find), "pattern string, instance long, n long")
 
 
 def learn_contexts(docs: DataFrame, rounds: int = 3, reliable: float = 0.8, support: int = 5, share: float = 1 / 20000) -> ContextModel:
@@ -250,7 +250,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
             yield record(schema, [batch.column(0), *out])
 
     kinds = ", ".join(f"n_{k} long" for k in KINDS)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(find, f"doc_id long, {kinds}, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(find), f"doc_id long, {kinds}, base_sha256 string, spans string")
 
 
 def redact(text: str, model: ContextModel) -> str:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, record, slices, texts_of
+from .common import materialize, record, slices, texts_of, tidy
 from .encoding import encoder
 
 MAGIC = b"PWT1"
@@ -124,7 +124,7 @@ def _tokenized(docs: DataFrame, tokenizer: str, end_id: int, image_tokens: int)
             used = np.flatnonzero(counts)
             yield record(schema, [[1], [shard], [-1], [used.astype("<u4").tobytes()], [counts[used].astype("<i8").tobytes()]])
 
-    return docs.mapInArrow(block, "kind int, shard int, seq int, docs binary, ids binary")
+    return docs.mapInArrow(tidy(block, keeps=True), "kind int, shard int, seq int, docs binary, ids binary")
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, image_tokens: int = 1 << 20) -> TokenFiles:
@@ -164,7 +164,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, image_to
             names = [None if z else int(i) for i, z in zip(ids, null, strict=True)]
             yield record(schema, [[shard], [seq], [len(tokens)], [write_image(names, lengths, shared.value[tokens], before)]])
 
-    coded = blocks.where("kind = 0").select("shard", "seq", "docs", "ids").mapInArrow(images, "shard int, seq int, n_tokens long, image binary")
+    coded = blocks.where("kind = 0").select("shard", "seq", "docs", "ids").mapInArrow(tidy(images), "shard int, seq int, n_tokens long, image binary")
     table = spark.createDataFrame([(bytearray(ranking.tobytes()),)], "ids binary")
     return TokenFiles(materialize(coded, "token-images"), materialize(table, "token-ranking"))
 
@@ -195,7 +195,7 @@ def _decoded(files: TokenFiles, keep_ids: bool) -> DataFrame:
             last = [bytes(p) if keep_ids else zlib.crc32(p) for p in parts]
             yield record(schema, [docs, starts + before + base[batch.column(0)[0].as_py()], lengths.astype(np.int64), last])
 
-    return files.images.select("shard", "image").mapInArrow(decode, f"doc_id long, start long, n_tokens long, {kind[0]} {'binary' if keep_ids else 'long'}")
+    return files.images.select("shard", "image").mapInArrow(tidy(decode), f"doc_id long, start long, n_tokens long, {kind[0]} {'binary' if keep_ids else 'long'}")
 
 
 def token_file_digest(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, record, slices, texts_of
+from .common import held_out, record, release, slices, texts_of, tidy
 
 #: ASCII that isn't a letter parts words; other bytes belong to them.
 _PARTS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -96,7 +96,7 @@ def fit_nnpu(
 class _Scorer:
     """Scores texts; remembers the weights of up to `limit` words."""
 
-    def __init__(self, model: ToxicModel, limit: int = 300_000):
+    def __init__(self, model: ToxicModel, limit: int = 200_000):
         self.model, self.limit, self.known = model, limit, {}
 
     def scores(self, texts: Iterable[str]) -> np.ndarray:
@@ -146,7 +146,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, m
                 made = [np.array(sorted(map(feature, words_of(t))), dtype="<i8").tobytes() for t in texts_of(some.column(1))]
                 yield record(schema, [some.column(0), made])
 
-    got = rows.mapInArrow(features, "doc_id long, features binary").collect()
+    got = rows.mapInArrow(tidy(features), "doc_id long, features binary").collect()
     got.sort(key=lambda r: (r["doc_id"], bytes(r["features"])))
     pick = lambda wanted: [np.frombuffer(r["features"], "<i8") for r in got if r["doc_id"] in wanted]
     return fit_nnpu(pick(positive), pick(unlabelled), float(sums["p"]))
@@ -162,6 +162,7 @@ def toxicity_column(model: ToxicModel, text: Column, spark) -> Column:
         import pandas as pd
 
         if "scorer" not in state:
+            release()
             state["scorer"] = _Scorer(shared.value)
         return pd.Series(state["scorer"].scores("" if t is None else t for t in texts), index=texts.index)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, record
+from .common import materialize, record, tidy
 
 #: Queries in a broadcast block, candidate rows in a tile, pairs recomputed at once.
 QUERY_BLOCK, TILE_ROWS, PAIR_ROWS = 8192, 2048, 32768
@@ -135,7 +135,7 @@ def search(vectors: DataFrame, every: int, k: int, kernel: Kernel) -> DataFrame:
                 for at in range(0, len(out), 65536):
                     yield record(RESULT, list(zip(*out[at : at + 65536], strict=True)))
 
-        best = rows.mapInArrow(tiles, "block int, query long, query_id long, vec_id long, key double, whole long, own boolean")
+        best = rows.mapInArrow(tidy(tiles), "block int, query long, query_id long, vec_id long, key double, whole long, own boolean")
         return _ranked(best, k)
 
     for row in rows.where(F.col("vec_id") % every == 0).toLocalIterator():
