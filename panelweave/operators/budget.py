@@ -108,6 +108,8 @@ def propose_thresholds(null: DataFrame, planted: DataFrame, above: dict[str, boo
 
 def conditional_pass_rate(samples: DataFrame, magnitude: str, passed: str, cuts: dict[str, float], least: int = 20) -> DataFrame:
     """cut, level, n, passes among samples whose magnitude reaches each cut; enough tells whether n is `least` or more."""
+    if not cuts:
+        return samples.sparkSession.createDataFrame([], "cut string, level double, n long, passes long, enough boolean")
     rows = []
     for name, level in cuts.items():
         at = F.col(magnitude) >= level

@@ -329,10 +329,11 @@ def decile_monthly(spark, sf_dir):
     return portfolio.to_monthly(_deciles(spark, sf_dir).daily, by=("bucket",)).select("bucket", F.col("month").cast("string").alias("month"), _r("ret", 5).alias("ret"))
 
 
-@_register(_DECILES + " SELECT bucket, round(CASE WHEN product(1 + ret) > 0 THEN ln(pow(product(1 + ret), 252.0 / count(ret))) END, 4) AS log_growth FROM daily GROUP BY 1")
+@_register(_DECILES + " SELECT bucket, round(CASE WHEN product(1 + ret) > 0 AND pow(product(1 + ret), 252.0 / count(ret)) > 0.01 THEN ln(pow(product(1 + ret), 252.0 / count(ret))) END, 4) AS log_growth FROM daily GROUP BY 1")
 def decile_annualised(spark, sf_dir):
-    """Annualised growth, as a logarithm."""
-    return portfolio.annualise(_deciles(spark, sf_dir).daily, by=("bucket",)).select("bucket", _r(F.ln(1 + F.col("annualised")), 4).alias("log_growth"))
+    """Annualised growth, as a logarithm; missing where hardly anything is left."""
+    growth = 1 + F.col("annualised")
+    return portfolio.annualise(_deciles(spark, sf_dir).daily, by=("bucket",)).select("bucket", _r(F.when(growth > 0.01, F.ln(growth)), 4).alias("log_growth"))
 
 
 @_register(_DECILES + """, a AS (SELECT date_trunc('month', date) AS month, product(1 + ret) - 1 AS ret FROM daily WHERE bucket = '10' GROUP BY 1),
@@ -394,7 +395,7 @@ def tau_quantiles(spark, sf_dir):
     return q.select(*[_r(c).alias(c) for c in ("p50", "p75", "p90", "p95", "p99", "p999", "tau", "max")])
 
 
-@_register(_TRIALS + " SELECT round(avg(ic), 6) AS mean_ic, round(stddev_samp(ic) / sqrt(count(ic)), 6) AS standard_error, abs(avg(ic)) > 4 * stddev_samp(ic) / sqrt(count(ic)) AS leaks, count(*) AS n_trials FROM tr")
+@_register(_TRIALS + " SELECT round(avg(ic), 6) AS mean_ic, round(stddev_samp(ic) / sqrt(count(ic)), 6) AS standard_error, coalesce(abs(avg(ic)) > 4 * stddev_samp(ic) / sqrt(count(ic)), false) AS leaks, count(*) AS n_trials FROM tr")
 def null_moments(spark, sf_dir):
     m = null.null_moments(_trial_table(spark, sf_dir).withColumn("ic_ir", F.col("ic")))
     return m.select(_r("mean_ic").alias("mean_ic"), _r("standard_error").alias("standard_error"), "leaks", "n_trials")
