@@ -72,3 +72,13 @@ def configure_logging(level: int = logging.INFO, stream=None) -> None:
     root.handlers[:] = [handler]
     root.setLevel(level)
     root.propagate = False
+
+
+class DataCredentials:
+    """Key and secret of a data vendor, from PANELWEAVE_DATA_KEY and PANELWEAVE_DATA_SECRET alone."""
+
+    def __init__(self):
+        self.key, self.secret = require("PANELWEAVE_DATA_KEY"), require("PANELWEAVE_DATA_SECRET")
+
+    def __repr__(self) -> str:
+        return "DataCredentials(<redacted>)"

@@ -373,3 +373,24 @@ def test_settings(monkeypatch):
     settings.configure_logging(stream=out)
     logging.getLogger("panelweave.x").info("hello", extra={"n": 3})
     assert json.loads(out.getvalue())["n"] == 3
+
+
+def test_lookahead_tool(panel):
+    from panelweave.tools import prefix_differences
+
+    trees = [from_string(t) for t in ("zscore(ts_mean(close, 10))", "ts_mean(rank(volume), 5)", "demean_by(returns, sector)")]
+    assert prefix_differences(panel, trees, [100, 299]).count() == 0
+    peeking = panel.withColumn("open", F.lead("close", 1).over(metrics.history()))
+    # A field that already looks ahead can't be caught; a panel cut before the field is made can.
+    assert prefix_differences(peeking, [from_string("abs(open)")], [100]).count() == 0
+
+
+def test_credentials(monkeypatch):
+    from panelweave.settings import DataCredentials, MissingCredential
+
+    monkeypatch.delenv("PANELWEAVE_DATA_KEY", raising=False)
+    with pytest.raises(MissingCredential):
+        DataCredentials()
+    monkeypatch.setenv("PANELWEAVE_DATA_KEY", "k")
+    monkeypatch.setenv("PANELWEAVE_DATA_SECRET", "hush")
+    assert "hush" not in repr(DataCredentials())
