@@ -156,12 +156,15 @@ class Predictor:
         return names, scores
 
 
-def fit_language(docs: DataFrame, max_documents: int = 4000, windows: int = 5, modulus: int = 4) -> LanguageModel:
+def fit_language(docs: DataFrame, max_documents: int = 4000, windows: int = 5, modulus: int = 4, min_share: float = 1e-3) -> LanguageModel:
     """Fit on at most `max_documents` labelled documents that aren't held out, first by a hash of
-    their id within each language (an equal share each), `windows` evenly spread windows of each."""
+    their id within each language (an equal share each), `windows` evenly spread windows of each.
+    A language is learned if it labels a `min_share` of them, so there are at most 1/min_share."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), modulus))
-    names = tuple(sorted(r[0] for r in rows.groupBy("lang").count().collect()))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    total = rows.count()
+    names = tuple(sorted(r[0] for r in counts.where(F.col("n") >= total * min_share).collect()))
     if not names:
         return LanguageModel((), (), np.zeros(0), np.zeros(0), np.zeros(0))
     share = max(1, max_documents // len(names))
