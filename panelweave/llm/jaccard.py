@@ -173,8 +173,32 @@ class Rarity:
 _CELLS = pa.schema([("range", pa.int32()), ("s", pa.binary()), ("key", pa.binary()), ("n", pa.binary())])
 
 
+def thin_cells(s: np.ndarray, key: np.ndarray, n: np.ndarray, join: JaccardJoin) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a task sends of its cells: their smallest and largest sets in each band of sizes, and links of the rest to them.
+
+    A band is half as wide as the sizes that linked sets may differ by. So a set elsewhere that is
+    in the size window of any member of a band is in that of its smallest or largest one, and a
+    cell that very many sets share stays small. n holds sizes with the index flag in its low bit.
+    """
+    width = max(math.log(100 / join.percent) / 2, 1e-6)
+    band = np.floor(np.log(n >> 1) / width).astype(np.int64)
+    order = np.lexsort((key, n >> 1, band, s))
+    s, key, n, band = s[order], key[order], n[order], band[order]
+    fresh = np.append(True, (s[1:] != s[:-1]) | (band[1:] != band[:-1]))
+    firsts = np.flatnonzero(fresh)
+    group = np.cumsum(fresh) - 1
+    keep = fresh | np.append(fresh[1:], True)
+    n = (n & ~np.int64(1)) | np.maximum.reduceat(n & 1, firsts)[group]
+    rest = ~keep & (key != key[firsts][group])
+    pairs = np.unique(np.column_stack([key[firsts][group][rest], key[rest]]), axis=0)
+    return s[keep], key[keep], n[keep], pairs
+
+
 def _cells(docs: DataFrame, join: JaccardJoin, rarity: Rarity, bits: int, hold: int = 1 << 20) -> DataFrame:
-    """By range of shingles: shingles of sets' windows (their next 32 bits), classes, sizes with an index flag."""
+    """By range of shingles: shingles of sets' windows (their next 32 bits), classes, sizes with an index flag.
+
+    Rows without shingles hold links between classes that a task has found by itself.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def read(batches):
@@ -182,14 +206,15 @@ def _cells(docs: DataFrame, join: JaccardJoin, rarity: Rarity, bits: int, hold:
         shingles, keys, sizes = [], [], []
 
         def flush():
-            s, k, n = np.concatenate(shingles), np.concatenate(keys), np.concatenate(sizes)
-            order = np.argsort(s, kind="stable")
-            s, k, n = s[order], k[order], n[order]
+            s, k, n, pairs = thin_cells(np.concatenate(shingles), np.concatenate(keys), np.concatenate(sizes), join)
+            if len(pairs):
+                spread = [int(pairs[0, 0]) & ((1 << bits) - 1)]
+                yield record(_CELLS, [spread, [b""], [pairs[:, 0].astype("<i8").tobytes()], [pairs[:, 1].astype("<i8").tobytes()]])
             edges = np.searchsorted(s >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
             some = [r for r in range(1 << bits) if edges[r] < edges[r + 1]]
             low = (s >> np.uint64(32 - bits)).astype("<u4")
             parts = [slice(edges[r], edges[r + 1]) for r in some]
-            return record(_CELLS, [some, [low[p].tobytes() for p in parts], [k[p].tobytes() for p in parts], [pack_varints(n[p]) for p in parts]])
+            yield record(_CELLS, [some, [low[p].tobytes() for p in parts], [k[p].tobytes() for p in parts], [pack_varints(n[p]) for p in parts]])
 
         for batch in slices(batches):
             for text in texts_of(batch.column(0)):
@@ -208,10 +233,10 @@ def _cells(docs: DataFrame, join: JaccardJoin, rarity: Rarity, bits: int, hold:
                 sizes.append(2 * len(found) + (np.arange(probe) < index))
                 size += probe
                 if size >= hold:
-                    yield flush()
+                    yield from flush()
                     shingles, keys, sizes, size = [], [], [], 0
         if shingles:
-            yield flush()
+            yield from flush()
 
     return docs.mapInArrow(tidy(read), "range int, s binary, key binary, n binary")
 
@@ -222,6 +247,12 @@ def _neighbours(cells: DataFrame, join: JaccardJoin) -> DataFrame:
     def star(pdf):
         import pandas as pd
 
+        told = pdf["s"].map(len) == 0
+        ready = [np.column_stack([np.frombuffer(x, "<i8"), np.frombuffer(y, "<i8")]) for x, y in zip(pdf["key"][told], pdf["n"][told], strict=True)]
+        ready = np.concatenate([np.zeros((0, 2), dtype=np.int64), *ready])
+        pdf = pdf[~told]
+        if not len(pdf):
+            return pd.DataFrame({"a": ready[:, 0], "b": ready[:, 1]})
         s = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["s"]])
         key = np.concatenate([np.frombuffer(x, "<i8") for x in pdf["key"]])
         n = np.concatenate([unpack_varints(x) for x in pdf["n"]]).astype(np.int64)
@@ -234,7 +265,7 @@ def _neighbours(cells: DataFrame, join: JaccardJoin) -> DataFrame:
         first = key[np.flatnonzero(fresh)][run]
         keep = useful & (first != key)
         a, b = np.minimum(first[keep], key[keep]), np.maximum(first[keep], key[keep])
-        pairs = np.unique(np.column_stack([a, b]), axis=0) if len(a) else np.zeros((0, 2), dtype=np.int64)
+        pairs = np.unique(np.concatenate([np.column_stack([a, b]), ready]), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return cells.groupBy("range").applyInPandas(star, "a long, b long")

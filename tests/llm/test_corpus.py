@@ -15,7 +15,7 @@ from panelweave.llm import language_model, packing, pieces, pii, segment_search,
 from panelweave.llm.common import pack_deltas, pack_varints, unpack_deltas, unpack_varints
 from panelweave.llm.components import connected_components
 from panelweave.llm.encoding import Encoder
-from panelweave.llm.jaccard import JaccardJoin, jaccard_components, join_region
+from panelweave.llm.jaccard import JaccardJoin, jaccard_components, join_region, thin_cells
 from panelweave.llm.language import identify_language
 from panelweave.llm.nearest import nearest_neighbours, quantize
 from panelweave.llm.segment_search import top_products
@@ -306,6 +306,39 @@ def test_one_region_with_many_near_copies():
     assert pair(got) == pair(want)
 
 
+def test_thinned_cells_keep_their_connections():
+    """Chains by size window over all sets connect what they connect over the kept ones and the links."""
+    rng = np.random.default_rng(12)
+    for percent in (50, 85):
+        join = JaccardJoin(4, percent)
+        size = np.exp(rng.uniform(0, 7, 400)).astype(np.int64) + 1
+        s, key = rng.integers(0, 6, 400).astype(np.uint64), np.arange(400)
+        tasks = rng.integers(0, 5, 400)
+        parts = [thin_cells(s[m], key[m], 2 * size[m] + 1, join) for m in (tasks == t for t in range(5))]
+        kept_s, kept_key, kept_n = (np.concatenate([p[i] for p in parts]) for i in range(3))
+
+        def chains(s, key, size, links, percent=percent):
+            parent = list(range(400))
+
+            def find(x):
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+
+            for a, b in links:
+                parent[find(a)] = find(b)
+            order = np.lexsort((size, s))
+            for i, j in zip(order[:-1], order[1:], strict=True):
+                if s[i] == s[j] and 100 * size[i] >= percent * size[j]:
+                    parent[find(int(key[i]))] = find(int(key[j]))
+            return [find(k) for k in range(400)]
+
+        links = [(int(a), int(b)) for p in parts for a, b in p[3]]
+        want, got = chains(s, key, size, []), chains(kept_s, kept_key, kept_n >> 1, links)
+        assert all((want[i] == want[j]) <= (got[i] == got[j]) for i in range(400) for j in range(i))
+        assert len(kept_key) < 400
+
+
 def test_prefixes_meet():
     for percent in (30, 80, 85, 100):
         join = JaccardJoin(4, percent)
