@@ -100,7 +100,8 @@ def tidy(work, keeps: bool = False):
         try:
             yield from work(batches)
         finally:
-            _give_back()
+            if not keeps:
+                _give_back()
 
     return run
 
@@ -111,7 +112,17 @@ def release() -> None:
     _give_back()
 
 
+#: A worker below this many MB is left alone.
+_SMALL_MB = 220
+
+
 def _give_back() -> None:
+    try:
+        with open("/proc/self/statm") as f:
+            if int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") < _SMALL_MB << 20:
+                return
+    except OSError:
+        pass
     gc.collect()
     try:
         ctypes.CDLL(None).malloc_trim(0)

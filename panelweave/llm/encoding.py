@@ -56,7 +56,7 @@ class Encoder:
     Up to `limit` chunks are kept, and as many from before in case they come again.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -64,6 +64,7 @@ class Encoder:
             self.mode = _mode(json.load(f))
         self.limit = limit
         self.model, self.stand_ins = self.tokenizer.model, _byte_characters()
+        self.blank = self.stand_ins[32]
         self.known: dict[str, bytes | None] = {}
         self.before: dict[str, bytes | None] = {}
 
@@ -73,14 +74,20 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         if self.mode == "dropped":
             word = word.lower()
-        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.stand_ins))]).tobytes()
+        if word.isascii():  # letters stand for themselves
+            word = word.replace(" ", self.blank)
+        else:
+            word = word.encode().decode("latin-1").translate(self.stand_ins)
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _learn(self, chunks: set[str]) -> None:
         known, before, rest = self.known, self.before, []
         for c in chunks:
             if c in before:
                 known[c] = before[c]
-            elif _WORD.fullmatch(c):
+                continue
+            letters = c[1:] if c[0] == " " else c
+            if letters.isascii() and letters.isalpha() or _WORD.fullmatch(c):
                 known[c] = self._word(c)
             else:
                 rest.append(c)

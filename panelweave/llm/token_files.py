@@ -39,16 +39,18 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     codes[: len(ranks)] = width - 1
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    raw = ranks.view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), raw[np.arange(4, dtype=np.uint8) < width[:, None]].tobytes()
+    most = int(width.max(initial=1))
+    raw = ranks.view(np.uint8).reshape(-1, 4)[:, :most]
+    return control.tobytes(), raw[np.arange(most, dtype=np.uint8) < width[:, None]].tobytes()
 
 
 def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     """Inverse of encode_ranks by table lookup."""
     width = WIDTHS[control].ravel()[:n]
-    out = np.zeros((n, 4), dtype=np.uint8)
-    out[np.arange(4, dtype=np.uint8) < width[:, None]] = data
-    return out.view("<u4").ravel()
+    most = 2 if width.max(initial=1) <= 2 else 4
+    out = np.zeros((n, most), dtype=np.uint8)
+    out[np.arange(most, dtype=np.uint8) < width[:, None]] = data
+    return out.view(f"<u{most}").ravel()
 
 
 def write_image(doc_ids: list, lengths: np.ndarray, ranks: np.ndarray, before: int) -> bytes:
