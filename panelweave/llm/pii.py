@@ -13,6 +13,7 @@ import hashlib
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 import xxhash
@@ -151,7 +152,10 @@ def _introduced(docs: DataFrame, patterns: set[str]) -> DataFrame:
 
     def find(batches):
         words = {p[2:] for p in shared.value if p[0] == "w"}
-        glues = tuple(p[2:] for p in shared.value if p[0] == "g")
+        glues = {p[2:] for p in shared.value if p[0] == "g"}
+        sizes: dict[str, list[int]] = {}  # of glues, by first character, ascending
+        for first, size in sorted({(g[0], len(g)) for g in glues}):
+            sizes.setdefault(first, []).append(size)
         for batch in slices(batches, 2048):
             seen: Counter = Counter()
             for text in texts_of(batch.column(0)):
@@ -160,8 +164,11 @@ def _introduced(docs: DataFrame, patterns: set[str]) -> DataFrame:
                 marked = [i for i, t in enumerate(tokens) if not t.isalpha() and _MARKED.search(t)] if _MARKED.search(text) else []
                 if glues:
                     for t in tokens:
-                        if t.startswith(glues):
-                            seen.update(("g:" + g, None) for g in glues if t.startswith(g) and len(t) > len(g))
+                        for size in sizes.get(t[0], ()):
+                            if size >= len(t):
+                                break
+                            if t[:size] in glues:
+                                seen[("g:" + t[:size], None)] += 1
                 for i in marked:
                     if core := core_of(tokens[i]):
                         glue = tokens[i][: core[0]]
@@ -176,31 +183,32 @@ def _introduced(docs: DataFrame, patterns: set[str]) -> DataFrame:
     return docs.mapInArrow(tidy(find), "pattern string, instance long, n long")
 
 
-def learn_contexts(docs: DataFrame, rounds: int = 3, reliable: float = 0.8, support: int = 5, share: float = 1 / 20000) -> ContextModel:
+def learn_contexts(docs: DataFrame, rounds: int = 3, reliable: float = 0.8, support: int = 5, at_once: int = 200_000) -> ContextModel:
     """Score the pattern-instance graph and keep reliable patterns.
 
-    A pattern takes part if its seeds are at least `support` different strings and at least
-    `share` of all (seed, pattern) pairs, so at most 1/share patterns are ever broadcast. Each
-    round a pattern's reliability is the mean over all places it stands at of its instances'
-    reliability (places that introduce no identifier count as zero), and an instance that is no
-    seed gets the mean reliability of the patterns that introduce it.
+    A pattern takes part if its seeds are at least `support` different strings, at any size of
+    the table; patterns and scores are tables, and a pass over the text looks for about `at_once`
+    of them. Each round a pattern's reliability is the mean over all places it stands at of its
+    instances' reliability (places that introduce no identifier count as zero), and an instance
+    that is no seed gets the mean reliability of the patterns that introduce it.
     """
     text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     seeds = materialize(_edges(text).groupBy("kind", "pattern", "instance").agg(F.sum("n").alias("n")), "pii-seeds")
-    total = seeds.count()
     counted = seeds.groupBy("kind", "pattern").agg(F.count("*").alias("strings"), F.sum("n").alias("n"))
-    strong = counted.where(F.col("strings") >= max(support, total * share)).collect()
-    kind_of: dict[str, tuple] = {}
-    for r in strong:
-        kind_of[r["pattern"]] = max(kind_of.get(r["pattern"], (0, "", 0)), (r["n"], r["kind"], r["strings"]))
-    if not kind_of:
+    best = counted.where(F.col("strings") >= support).groupBy("pattern").agg(F.max(F.struct("n", "kind")).alias("best"))
+    strong = materialize(best.select("pattern", F.col("best.kind").alias("kind"), F.col("best.n").alias("seed_n")), "pii-patterns")
+    passes = -(-strong.count() // at_once)
+    if not passes:
         return ContextModel({})
-    places = materialize(_introduced(text, set(kind_of)).groupBy("pattern", "instance").agg(F.sum("n").alias("n")), "pii-places")
+    found = []
+    for k in range(passes):
+        part = strong.where(F.pmod(F.xxhash64("pattern"), F.lit(passes)) == k).select("pattern").collect()
+        counts = _introduced(text, {r[0] for r in part}).groupBy("pattern", "instance").agg(F.sum("n").alias("n"))
+        found.append(materialize(counts, "pii-places"))
+    places = reduce(DataFrame.unionByName, found)
     # A base span may be cut otherwise than a token's core: the places of seeds come from the base rules.
-    seed_places = seeds.join(F.broadcast(docs.sparkSession.createDataFrame([(p, k[1]) for p, k in kind_of.items()], "pattern string, kind string")), ["pattern", "kind"])
-    of_seed = seed_places.groupBy("pattern").agg(F.sum("n").alias("seed_n"))
-    every = places.where("instance IS NULL").groupBy("pattern").agg(F.sum("n").alias("all_n"))
-    base = every.join(of_seed, "pattern", "full_outer").select("pattern", F.coalesce("seed_n", F.lit(0)).alias("seed_n"), F.greatest("all_n", "seed_n").alias("all_n"))
+    every = places.where("instance IS NULL").select("pattern", F.col("n").alias("all_n"))
+    base = strong.join(every, "pattern", "left").select("pattern", "seed_n", F.greatest("all_n", "seed_n").alias("all_n"))
     known = seeds.select("instance").distinct()
     other = materialize(places.where("instance IS NOT NULL").join(known, "instance", "left_anti"), "pii-unseen")
     score = base.select("pattern", "seed_n", "all_n", (F.col("seed_n") / F.col("all_n")).alias("r"))
@@ -211,8 +219,8 @@ def learn_contexts(docs: DataFrame, rounds: int = 3, reliable: float = 0.8, supp
         value = F.least(F.lit(1.0), (F.col("seed_n") + F.coalesce("gain", F.lit(0.0))) / F.col("all_n"))
         score = materialize(joined.select("pattern", "seed_n", "all_n", value.alias("r")), "pii-scores")
     # Most of a reliable pattern's places must be seeds themselves.
-    good = score.where((F.col("r") >= reliable) & (F.col("seed_n") * 2 >= F.col("all_n"))).select("pattern").collect()
-    return ContextModel({r["pattern"]: kind_of[r["pattern"]][1] for r in good})
+    good = score.where((F.col("r") >= reliable) & (F.col("seed_n") * 2 >= F.col("all_n"))).join(strong, "pattern").select("pattern", "kind").collect()
+    return ContextModel({r["pattern"]: r["kind"] for r in good})
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:

@@ -407,6 +407,16 @@ def test_contexts_find_unseen_identifiers(spark):
     assert pii.redact("write to mailto:root@localhost, a@b.co!", model) == "write to mailto:<email>, <email>!"
 
 
+def test_contexts_of_small_sources_stay_beside_large_ones(spark):
+    """Six seeds carry a pattern, however many other seeds the table has; also where the patterns take several passes."""
+    rows = [(i, " ".join(f"contact u{i}x{j}@h{i}.example.com" for j in range(100))) for i in range(1300)]
+    rows += [(5000 + i, f"{text(i, 5)} mailbox v{i}@w{i}.example.org {text(i, 5)} <addr:k{i}@m{i}.example.net> {text(i, 5)}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = {"w:contact": "email", "w:mailbox": "email", "g:<addr:": "email"}
+    assert pii.learn_contexts(docs).kinds == want == pii.learn_contexts(docs, at_once=1).kinds
+    assert pii.redact("mailbox root@localhost", pii.ContextModel(want)) == "mailbox <email>"
+
+
 def test_pii_over_a_table(docs, none):
     got = bag((r["doc_id"], r["base_sha256"]) for r in pii.find_pii(docs).collect())
     digest = lambda t: hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, s in plain_spans(t).items() for a, b in s).encode()).hexdigest()
