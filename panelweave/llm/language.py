@@ -9,14 +9,15 @@ probabilities are the windows', weighted by their letters.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, record, release, slices, texts_of, tidy
+from .common import held_out, materialize, record, release, slices, texts_of, tidy
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 8, 192
 STEP = WINDOW - max(WIDTHS) + 1
@@ -130,6 +131,7 @@ class Predictor:
         if not self.model.names:
             return names, scores
         sums = np.zeros((len(texts), len(self.model.names)))
+        block = max(32, min(block, (1 << 21) // len(self.model.names)))
         held, owner, weight, size = [], [], [], 0
 
         def flush():
@@ -156,27 +158,34 @@ class Predictor:
         return names, scores
 
 
-def fit_language(docs: DataFrame, max_documents: int = 4000, windows: int = 5, modulus: int = 4, min_share: float = 1e-3) -> LanguageModel:
-    """Fit on at most `max_documents` labelled documents that aren't held out, first by a hash of
-    their id within each language (an equal share each), `windows` evenly spread windows of each.
-    A language is learned if it labels a `min_share` of them, so there are at most 1/min_share."""
+def fit_language(docs: DataFrame, max_documents: int = 4000, windows: int = 5, modulus: int = 4, least: int = 50) -> LanguageModel:
+    """Fit on labelled documents that aren't held out, first by a hash of their id within each language:
+    an equal share of `max_documents` for each, `least` at any rate, and `windows` evenly spread
+    windows of each document. Every language whose documents have text to learn from is learned."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), modulus))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    total = rows.count()
-    names = tuple(sorted(r[0] for r in counts.where(F.col("n") >= total * min_share).collect()))
-    if not names:
+    usable = rows.where(F.octet_length("text") >= WINDOW // 8).select("lang", "doc_id", F.xxhash64("doc_id").alias("hash"))
+    usable = usable.withColumn("part", F.shiftright("hash", 54))
+    counts = materialize(usable.groupBy("lang", "part").agg(F.count("*").alias("n")), "language-counts")
+    languages = counts.select("lang").distinct().count()
+    if not languages:
         return LanguageModel((), (), np.zeros(0), np.zeros(0), np.zeros(0))
-    share = max(1, max_documents // len(names))
-    ids = set()
-    for name in names:
-        ids |= {r[0] for r in rows.where(F.col("lang") == name).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(share).collect()}
+    share = max(least, max_documents // languages)
+    # Parts of the hash that hold the first documents of a language; at most one part of it is taken in vain.
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("part")) - F.col("n")
+    parts = counts.withColumn("before", before).where(F.col("before") < share).select("lang", "part")
+    first = usable.join(F.broadcast(parts), ["lang", "part"]).select("lang", "hash", "doc_id").collect()
+    ids, taken = set(), Counter()
+    for name, _, doc in sorted(first):
+        taken[name] += 1
+        if taken[name] <= share:
+            ids.add((doc, name))
     shared = docs.sparkSession.sparkContext.broadcast(ids)
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("windows", pa.binary())])
 
     def cut(batches):
         for batch in slices(batches):
-            mask = np.array([d in shared.value for d in batch.column(0).to_pylist()], dtype=bool)
+            mask = np.array([k in shared.value for k in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)], dtype=bool)
             if mask.any():
                 some, made = batch.filter(pa.array(mask)), []
                 for t in texts_of(some.column(1)):
@@ -185,11 +194,14 @@ def fit_language(docs: DataFrame, max_documents: int = 4000, windows: int = 5, m
                     made.append(x[np.unique(np.linspace(0, len(x) - 1, windows).astype(int))].tobytes() if len(x) else b"")
                 yield record(schema, [some.column(0), some.column(2), made])
 
-    got = sorted(rows.mapInArrow(tidy(cut), "doc_id long, lang string, windows binary").collect(), key=lambda r: (r["doc_id"], r["lang"], bytes(r["windows"])))
-    x = [np.frombuffer(r["windows"], np.uint8).reshape(-1, WINDOW) for r in got]
-    y = [np.full(len(w), names.index(r["lang"])) for w, r in zip(x, got, strict=True)]
-    if not sum(map(len, x)):
+    got = rows.mapInArrow(tidy(cut), "doc_id long, lang string, windows binary").collect()
+    got = sorted((r for r in got if r["windows"]), key=lambda r: (r["doc_id"], r["lang"], bytes(r["windows"])))
+    if not got:
         return LanguageModel((), (), np.zeros(0), np.zeros(0), np.zeros(0))
+    names = tuple(sorted({r["lang"] for r in got}))
+    number = {name: i for i, name in enumerate(names)}
+    x = [np.frombuffer(r["windows"], np.uint8).reshape(-1, WINDOW) for r in got]
+    y = [np.full(len(w), number[r["lang"]]) for w, r in zip(x, got, strict=True)]
     return train(names, np.concatenate(x), np.concatenate(y))
 
 

@@ -465,6 +465,18 @@ def test_language_identification(spark, none):
     assert identify_language(none).count() == 0
 
 
+def test_rare_languages_are_learned(spark):
+    """A language of one row in 1,500 is known; one without usable text is not."""
+    words = {"aa": "abba cad beda fagad".split(), "zz": "zorx quvy wixz oyux".split(), "ru": "вода земля огонь небо".split()}
+    rnd = random.Random(5)
+    rows = [(i, " ".join(rnd.choices(words[lang], k=20)), lang) for i in range(60_000) for lang in ["ru" if i % 1500 == 7 else ("aa", "zz")[i % 2]]]
+    rows += [(100_000 + i, "", "none") for i in range(5)]
+    got = identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), modulus=4)
+    held = {r["doc_id"]: r for r in got.where("doc_id % 1500 IN (7, 8) AND doc_id < 60000").collect()}
+    assert all(r["lang_pred"] == ("ru" if d % 1500 == 7 else ("aa", "zz")[d % 2]) and r["score"] > 0.4 for d, r in held.items())
+    assert got.where("lang_pred = 'none'").count() == 0
+
+
 def test_toxicity(spark, docs, none):
     rnd = random.Random(1)
     rows = [(i, text(i, 30) + (" " + rnd.choice(["vile", "rotten"]) + "!" if i % 6 == 0 else "")) for i in range(900)]
