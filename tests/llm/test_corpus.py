@@ -442,6 +442,25 @@ def test_language_model_counts(docs, none):
     assert language_model.score_texts(none).count() == 0
 
 
+def test_language_model_learns_words_beyond_the_most_frequent(spark):
+    """Two kinds of text whose 1,200 words each all are rare but for the few they stand between."""
+    rnd = random.Random(8)
+    rows = []
+    for i in range(1200):
+        k, out = i % 2, []
+        for _ in range(30):
+            out += [f"{'ab'[k]}{rnd.randrange(8)}", f"w{rnd.randrange(1200) * 2 + k}"]
+            out += [f"w{rnd.randrange(1200) * 2 + k}"]
+        rows.append((i, " ".join(out)))
+    got = [r for r in language_model.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), block_tokens=20_000).collect() if r["held_out"]]
+    words = [w for i, t in rows for w in t.split()]
+    assert len(set(words)) > 2000 and len(got) > 100
+    # Knowing the kind of each word's neighbours is worth a factor of two for each of 90 words.
+    rare = collections.Counter(w for _, t in rows for w in t.split() if w[0] == "w")
+    ideal = 30 * math.log10(1 / 8) + 60 * math.log10(1 / 1200)
+    assert len(rare) == 2400 and sum(r["score"] for r in got) / len(got) > ideal - 16
+
+
 def test_language_model_is_normalised():
     rng = np.random.default_rng(3)
     model = language_model.train_nce(np.sort(rng.choice(language_model.CLASSES**3, 500, replace=False)), np.ones(500), epochs=1)
