@@ -80,14 +80,20 @@ _STATE: dict[str, object] = {}
 def worker_state(name: str, make):
     """What a Python worker keeps between tasks under this name; only one thing is kept at a time.
 
-    A worker serves many operators in turn, and what each remembers would add up.
+    A worker serves many operators in turn, and what each remembers would add up: where the
+    name changes, the old one goes and its memory is handed back before the new one is made.
     """
     if name not in _STATE:
-        _STATE.clear()
+        release()
         _STATE[name] = make()
     return _STATE[name]
 
 
+def state_name(kind: str) -> str:
+    """A name for worker_state that no other column or operator has."""
+    return f"{kind} {uuid.uuid4().hex}"
+
+
 def tidy(work, keeps: bool = False):
     """A map over Arrow batches that hands freed memory back to the system when its task ends.
 
@@ -95,25 +101,43 @@ def tidy(work, keeps: bool = False):
     """
 
     def run(batches):
+        _lean()
         if not keeps:
-            _STATE.clear()
+            release()
         try:
             yield from work(batches)
         finally:
-            if not keeps:
-                _give_back()
+            _give_back()
 
     return run
 
 
 def release() -> None:
-    """For functions that aren't maps over batches: drop what others have left in the worker."""
-    _STATE.clear()
-    _give_back()
+    """Drop what others have left in the worker."""
+    _lean()
+    if _STATE:
+        _STATE.clear()
+        _give_back()
 
 
 #: A worker below this many MB is left alone.
-_SMALL_MB = 220
+_SMALL_MB = 180
+#: Options of the C library's allocator: M_TRIM_THRESHOLD, M_MMAP_THRESHOLD and M_ARENA_MAX with their values.
+_ALLOCATOR = ((-1, 1 << 20), (-3, 1 << 18), (-8, 1))
+_LEAN: list[bool] = []
+
+
+def _lean() -> None:
+    """Once a worker: one arena, large blocks apart, and Arrow's buffers by the same allocator, so that what is freed can go back."""
+    if _LEAN:
+        return
+    _LEAN.append(True)
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        for option, value in _ALLOCATOR:
+            ctypes.CDLL(None).mallopt(option, value)
+    except (OSError, AttributeError):  # not this C library
+        pass
 
 
 def _give_back() -> None:
@@ -124,6 +148,7 @@ def _give_back() -> None:
     except OSError:
         pass
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # not this C library

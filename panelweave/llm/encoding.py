@@ -17,6 +17,8 @@ _RUN = f"[{_LATIN}]++(?![^\\x00-@\\[-`{{-\\x7f])"
 _LEADING = re.compile(f" ?{_RUN}| ?[^ \\n]+|[ \\n]+(?![^ \\n])|[ \\n]+")
 _DROPPED = re.compile(f"{_RUN}|[^ \\n]+")
 _WORD = re.compile(f" ?[{_LATIN}]+")
+#: Bytes of a kept chunk and its ids besides their lengths.
+_ENTRY = 190
 
 
 def _byte_characters() -> dict[int, str]:
@@ -53,10 +55,10 @@ class Encoder:
     The result is that of the library on the whole text. Where the tokenizer's own splitting
     never joins characters across a chunk's border, each distinct chunk goes through the
     library once and is kept; a chunk that is one word goes to the library's model straight.
-    Up to `limit` chunks are kept, and as many from before in case they come again.
+    Chunks are kept up to about `limit` bytes, and as many from before in case they come again.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 56 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -65,6 +67,7 @@ class Encoder:
         self.limit = limit
         self.model, self.stand_ins = self.tokenizer.model, _byte_characters()
         self.blank = self.stand_ins[32]
+        self.held = 0
         self.known: dict[str, bytes | None] = {}
         self.before: dict[str, bytes | None] = {}
 
@@ -83,7 +86,7 @@ class Encoder:
     def _learn(self, chunks: set[str]) -> None:
         known, before, rest = self.known, self.before, []
         for c in chunks:
-            if c in before:
+            if before.get(c) is not None:
                 known[c] = before[c]
                 continue
             letters = c[1:] if c[0] == " " else c
@@ -92,6 +95,7 @@ class Encoder:
             else:
                 rest.append(c)
         known.update(zip(rest, self._library(rest), strict=True))
+        self.held += sum(_ENTRY + len(c) + len(known[c]) for c in chunks)
         if self.mode == "leading":
             known.update((c, None) for c in rest if _OTHER_SPACE.search(c))
 
@@ -102,8 +106,8 @@ class Encoder:
         parts = [find(t) for t in texts]
         missing = set().union(*parts).difference(self.known)
         if missing:
-            if len(self.known) > self.limit:
-                self.before, self.known = self.known, {}
+            if self.held > self.limit:
+                self.before, self.known, self.held = self.known, {}, 0
                 missing = set().union(*parts)
             self._learn(missing)
         get, out = self.known.__getitem__, []

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pack_deltas, pack_varints, record, release, slices, texts_of, tidy, unpack_deltas, unpack_varints
+from .common import materialize, pack_deltas, pack_varints, record, slices, state_name, texts_of, tidy, unpack_deltas, unpack_varints, worker_state
 from .components import connected_components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -537,16 +537,14 @@ def jaccard_components(docs: DataFrame, join: JaccardJoin | None = None, region_
 
 def set_key_column(join: JaccardJoin, text):
     """The set_key of a whole text as a column: null where it has no words."""
-    state: dict = {}
+    name = state_name("shingler")
 
     @F.pandas_udf("long")
     def key(texts):
         import pandas as pd
 
-        if "shingler" not in state:
-            release()
-            state["shingler"] = Shingler(join.words)
-        sets = [state["shingler"].set_of(t or "") for t in texts]
+        shingler = worker_state(name, lambda: Shingler(join.words))
+        sets = (shingler.set_of(t or "") for t in texts)
         return pd.Series([key_of(s) if len(s) else None for s in sets], index=texts.index, dtype="Int64")
 
     return key(text.cast("string"))

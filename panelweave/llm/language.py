@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize, record, release, slices, texts_of, tidy
+from .common import held_out, materialize, record, slices, state_name, texts_of, tidy, worker_state
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 8, 192
 STEP = WINDOW - max(WIDTHS) + 1
@@ -208,20 +208,18 @@ def fit_language(docs: DataFrame, max_documents: int = 4000, windows: int = 5, m
 def language_column(model: LanguageModel, text: Column, spark) -> Column:
     """Struct of lang_pred and score for a whole text, as a column."""
     shared = spark.sparkContext.broadcast(model)
-    state: dict = {}
+    name = state_name("language")
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts):
         import pandas as pd
 
-        if "predictor" not in state:
-            release()
-            state["predictor"] = Predictor(shared.value) if shared.value.names else None
-        if state["predictor"] is None:
+        predictor = worker_state(name, lambda: Predictor(shared.value) if shared.value.names else None)
+        if predictor is None:
             return pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": [0.0] * len(texts)})
         all_texts, names, scores = texts.tolist(), [], []
         for at in range(0, len(all_texts), 512):
-            n, s = state["predictor"].predict(["" if t is None else t for t in all_texts[at : at + 512]])
+            n, s = predictor.predict(["" if t is None else t for t in all_texts[at : at + 512]])
             names += n
             scores += s.tolist()
         return pd.DataFrame({"lang_pred": names, "score": scores})

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, record, release, slices, texts_of, tidy
+from .common import held_out, record, slices, state_name, texts_of, tidy, worker_state
 
 #: ASCII that isn't a letter parts words; other bytes belong to them.
 _PARTS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -155,16 +155,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, m
 def toxicity_column(model: ToxicModel, text: Column, spark) -> Column:
     """Score of a whole text (null: empty), 0 to 1, as a column."""
     shared = spark.sparkContext.broadcast(model)
-    state: dict = {}
+    name = state_name("toxicity")
 
     @F.pandas_udf("double")
     def score(texts):
         import pandas as pd
 
-        if "scorer" not in state:
-            release()
-            state["scorer"] = _Scorer(shared.value)
-        return pd.Series(state["scorer"].scores("" if t is None else t for t in texts), index=texts.index)
+        scorer = worker_state(name, lambda: _Scorer(shared.value))
+        return pd.Series(scorer.scores("" if t is None else t for t in texts), index=texts.index)
 
     return score(F.coalesce(text.cast("string"), F.lit("")))
 
