@@ -1,19 +1,23 @@
 """Personal data: base rules by pattern, more spans by bootstrapped contextual extraction.
 
-Spans that the base rules find are seeds. What stands before a seed (the preceding word, or
-characters glued to its front) is a lexical pattern of its kind. Patterns and the identifier-like
-strings they introduce form a bipartite graph; reliability flows between its sides for a few
-rounds, and a pattern pays for every place where it introduces something else. Patterns that
-stay reliable then mark identifiers that no base rule matches.
+Spans that the base rules find are seeds. Around each, lexical patterns of its kind are read: the
+word before it or the characters glued to its front, its form (digits and letters as classes, in
+full and with runs merged), and word and form together. Patterns and the identifier-like strings
+they hold for are the two sides of a graph. In each round patterns are scored by the share of
+their places that accepted strings fill; those that are reliable accept further strings, and from
+these the next round induces new patterns. What reliable patterns find, and the base rules
+don't, is added.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
-from dataclasses import dataclass
-from functools import reduce
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -73,154 +77,183 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
-#: A token's identifier: its longest stretch of these characters; it must hold a digit or a sign.
+#: A token's identifier: a stretch of these characters with a letter; it must hold a digit or a sign.
 _CORE = re.compile(r"[^\W_][\w.%+@-]*")
 _MARKED = re.compile(r"[0-9@]")
-_TOKEN = re.compile(r"\S+")
-
-
-def core_of(token: str) -> tuple[int, int] | None:
-    """Where the identifier-like part of a token is, if there is one of four characters or more."""
-    best = None
+_INK = re.compile(r"\S*")
+#: Digit groups that blanks, brackets, points, strokes and hyphens part.
+_RUN = re.compile(r"(?<![\w@])\+?\(?[0-9]++(?:[ ()./-]{1,2}[0-9]++)*(?![\w@])")
+_GROUP = re.compile(r"[+(]*[0-9]+")
+_DIGIT_RUNS, _LETTER_RUNS = re.compile(r"[0-9]+"), re.compile(r"[^\W\d_]+")
+#: Characters of the shortest identifier, of the longest form, and of the longest context.
+LEAST, LONGEST = 4, 40
+
+
+def cores_of(token: str) -> list[tuple[int, int]]:
+    """Where the identifier-like parts of a token are: four characters or more, a letter or a sign among them."""
+    out = []
     for m in _CORE.finditer(token):
         core = m[0].rstrip(".%+@-_")
-        if len(core) >= 4 and _MARKED.search(core) and (best is None or len(core) > best[1] - best[0]):
-            best = (m.start(), m.start() + len(core))
-    return best
+        if len(core) >= LEAST and _MARKED.search(core) and not _RUN.fullmatch(core):
+            out.append((m.start(), m.start() + len(core)))
+    return out
 
 
 def patterns_before(text: str, start: int) -> list[str]:
     """Lexical patterns of what begins at `start`: "w:" and the preceding word, "g:" and glued characters."""
-    low = max((text.rfind(c, 0, start) for c in " \n\t\r"), default=-1) + 1
+    far = max(0, start - LONGEST - 1)
+    low = max(far, max(text.rfind(c, far, start) for c in " \n\t\r") + 1)
     glue = text[low:start].lower()
     if glue:
-        return ["g:" + glue] if len(glue) <= 40 and any(map(str.isalpha, glue)) else []
+        return ["g:" + glue] if len(glue) <= LONGEST and any(map(str.isalpha, glue)) else []
     before = text[max(0, low - 60) : low].split()
     return ["w:" + before[-1].lower()] if before else []
 
 
+def forms_of(identifier: str) -> list[str]:
+    """Its form with every digit as 9 and runs of letters as a ("f:"), and with runs of digits merged too ("c:")."""
+    if len(identifier) > LONGEST:
+        return []
+    plain = _LETTER_RUNS.sub("a", identifier)
+    return ["f:" + _DIGITS.sub("9", plain), "c:" + _DIGIT_RUNS.sub("9", plain)]
+
+
+def patterns_at(text: str, start: int, end: int) -> list[str]:
+    """All patterns of an identifier: context, forms, and context with the merged form ("x:")."""
+    before, forms = patterns_before(text, start), forms_of(text[start:end])
+    return [*before, *forms, *(f"x:{b}|{forms[1]}" for b in before if forms)]
+
+
 @dataclass(frozen=True)
 class ContextModel:
-    """kind of each reliable pattern."""
+    """kind of each reliable pattern: contexts ("w:", "g:"), and forms ("f:", "c:", "x:")."""
 
     kinds: dict[str, str]
+    forms: dict[str, str] = field(default_factory=dict)
+
+    def by_form(self, text: str, start: int, end: int) -> str | None:
+        """Kind of an identifier by its form: with its context first, then in full, then merged."""
+        found = {p[0]: kind for p in patterns_at(text, start, end) if (kind := self.forms.get(p))} if self.forms else {}
+        return next((found[c] for c in "xfc" if c in found), None)
+
+    def by_context(self, text: str, start: int) -> str | None:
+        return next((kind for p in patterns_before(text, start) if (kind := self.kinds.get(p))), None)
+
+
+def _marked_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches without white space that hold a digit or a sign."""
+    at = 0
+    while m := _MARKED.search(text, at):
+        start, end = m.start(), _INK.match(text, m.start()).end()
+        while start > at and not text[start - 1].isspace():
+            start -= 1
+        yield start, end
+        at = end
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Identifier-like places: cores of tokens, and runs of digit groups."""
+    if not _MARKED.search(text):
+        return []
+    out = [(start + a, start + b) for start, end in _marked_tokens(text) for a, b in cores_of(text[start:end])]
+    return sorted(out + [m.span() for m in _RUN.finditer(text) if m.end() - m.start() >= LEAST])
+
+
+class _Taken:
+    """The base spans of a text, to be asked about overlaps."""
+
+    def __init__(self, base: dict[str, list[tuple[int, int]]]):
+        spans = sorted(s for found in base.values() for s in found)
+        self.starts, self.ends = [a for a, _ in spans], [0, *accumulate((b for _, b in spans), max)]
+
+    def touches(self, start: int, end: int) -> bool:
+        return self.ends[bisect_left(self.starts, end)] > start
+
+
+def _parts_of_run(text: str, start: int, end: int, longest: int = 6) -> list[tuple[int, int]]:
+    """A run of digit groups and its parts between blanks, of up to `longest` groups; leftmost and longest first."""
+    groups = [(start + m.start(), start + m.end()) for m in _GROUP.finditer(text[start:end])]
+    opens = [0, *(i for i in range(1, len(groups)) if " " in text[groups[i - 1][1] : groups[i][0]]), len(groups)]
+    out = []
+    for n, i in enumerate(opens[:-1]):
+        for j in reversed(opens[n + 1 : n + 1 + longest]):
+            out.append((groups[i][0], groups[j - 1][1]))
+    return out if out[0] == (start, end) else [(start, end), *out]
 
 
 def more_spans(text: str, base: dict[str, list[tuple[int, int]]], model: ContextModel) -> list[tuple[str, int, int]]:
-    """Identifiers that reliable patterns introduce and that touch no base span."""
-    if not model.kinds or not _MARKED.search(text):
+    """Identifiers that reliable patterns hold for and that touch no base span, without overlaps."""
+    if not model.kinds and not model.forms or not _MARKED.search(text):
         return []
-    taken = sorted(s for spans in base.values() for s in spans)
-    out, previous, at = [], "", 0
-    for m in _TOKEN.finditer(text):
-        token = m[0]
-        if _MARKED.search(token) and (core := core_of(token)):
-            a, b = m.start() + core[0], m.start() + core[1]
-            glue = token[: core[0]].lower()
-            kind = model.kinds.get("g:" + glue if glue else "w:" + previous)
-            if kind:
-                while at < len(taken) and taken[at][1] <= a:
-                    at += 1
-                if not any(s < b and e > a for s, e in taken[at : at + 8]):
-                    out.append((kind, a, b))
-        previous = token.lower()
+    taken, out, upto = _Taken(base), [], 0
+    for start, end in candidates(text):
+        before = len(out)
+        for a, b in _parts_of_run(text, start, end) if _RUN.fullmatch(text, start, end) else [(start, end)]:
+            if a >= upto and b - a >= LEAST and not taken.touches(a, b) and (kind := model.by_form(text, a, b)):
+                out.append((kind, a, b))
+                upto = b
+        # Without a known form in it, the whole is what its context says.
+        if len(out) == before and start >= upto and not taken.touches(start, end) and (kind := model.by_context(text, start)):
+            out.append((kind, start, end))
+            upto = end
     return out
 
 
 def _edges(docs: DataFrame) -> DataFrame:
-    """kind, pattern, instance, n: seeds and what stands before them."""
-    schema = pa.schema([("kind", pa.string()), ("pattern", pa.string()), ("instance", pa.int64()), ("n", pa.int64())])
+    """pattern, instance, kind, n: identifier-like strings and the patterns at their places; kind is a seed's, else null."""
+    schema = pa.schema([("pattern", pa.string()), ("instance", pa.int64()), ("kind", pa.string()), ("n", pa.int64())])
 
     def find(batches):
         for batch in slices(batches, 2048):
             seen: Counter = Counter()
             for text in texts_of(batch.column(0)):
-                for kind, spans in base_spans(text).items():
-                    for a, b in spans:
-                        name = xxhash.xxh3_64_intdigest(text[a:b].encode()) >> 1
-                        seen.update((kind, p, name) for p in patterns_before(text, a))
+                base = base_spans(text)
+                taken = _Taken(base)
+                places = [(k, a, b) for k, spans in base.items() for a, b in spans]
+                places += [(None, a, b) for a, b in candidates(text) if not taken.touches(a, b)]
+                for kind, a, b in places:
+                    name = xxhash.xxh3_64_intdigest(text[a:b].encode("utf-8", "surrogatepass")) >> 1
+                    seen.update((p, name, kind) for p in patterns_at(text, a, b))
             if seen:
                 yield record(schema, [*zip(*seen, strict=True), list(seen.values())])
 
-    return docs.mapInArrow(tidy(find), "kind string, pattern string, instance long, n long")
-
+    return docs.mapInArrow(tidy(find), "pattern string, instance long, kind string, n long")
 
-def _introduced(docs: DataFrame, patterns: set[str]) -> DataFrame:
-    """pattern, instance, n for identifiers that patterns introduce; instance null counts all places."""
-    shared = docs.sparkSession.sparkContext.broadcast(patterns)
-    schema = pa.schema([("pattern", pa.string()), ("instance", pa.int64()), ("n", pa.int64())])
-
-    def find(batches):
-        words = {p[2:] for p in shared.value if p[0] == "w"}
-        glues = {p[2:] for p in shared.value if p[0] == "g"}
-        sizes: dict[str, list[int]] = {}  # of glues, by first character, ascending
-        for first, size in sorted({(g[0], len(g)) for g in glues}):
-            sizes.setdefault(first, []).append(size)
-        for batch in slices(batches, 2048):
-            seen: Counter = Counter()
-            for text in texts_of(batch.column(0)):
-                tokens = text.lower().split()
-                seen.update(("w:" + w, None) for w in tokens[:-1] if w in words)
-                marked = [i for i, t in enumerate(tokens) if not t.isalpha() and _MARKED.search(t)] if _MARKED.search(text) else []
-                if glues:
-                    for t in tokens:
-                        for size in sizes.get(t[0], ()):
-                            if size >= len(t):
-                                break
-                            if t[:size] in glues:
-                                seen[("g:" + t[:size], None)] += 1
-                for i in marked:
-                    if core := core_of(tokens[i]):
-                        glue = tokens[i][: core[0]]
-                        name = xxhash.xxh3_64_intdigest(tokens[i][core[0] : core[1]].encode()) >> 1
-                        if glue and glue in glues:
-                            seen[("g:" + glue, name)] += 1
-                        elif not glue and i and tokens[i - 1] in words:
-                            seen[("w:" + tokens[i - 1], name)] += 1
-            if seen:
-                yield record(schema, [*zip(*seen, strict=True), list(seen.values())])
 
-    return docs.mapInArrow(tidy(find), "pattern string, instance long, n long")
+def score_patterns(edges: DataFrame, accepted: DataFrame) -> DataFrame:
+    """pattern, kind, r, strings: share of a pattern's places that accepted strings of a kind fill, each by its score, and how many strings."""
+    places = edges.groupBy("pattern", "instance").agg(F.sum("n").alias("n"))
+    total = places.groupBy("pattern").agg(F.sum("n").alias("total"))
+    held = places.join(accepted, "instance").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("ri")).alias("held"), F.count("*").alias("strings"))
+    return held.join(total, "pattern").select("pattern", "kind", (F.col("held") / F.col("total")).alias("r"), "strings")
 
 
 def learn_contexts(docs: DataFrame, rounds: int = 3, reliable: float = 0.8, support: int = 5, at_once: int = 200_000) -> ContextModel:
-    """Score the pattern-instance graph and keep reliable patterns.
+    """Score the pattern-instance graph in rounds and keep the patterns that end reliable.
 
-    A pattern takes part if its seeds are at least `support` different strings, at any size of
-    the table; patterns and scores are tables, and a pass over the text looks for about `at_once`
-    of them. Each round a pattern's reliability is the mean over all places it stands at of its
-    instances' reliability (places that introduce no identifier count as zero), and an instance
-    that is no seed gets the mean reliability of the patterns that introduce it.
+    Round by round: a pattern's reliability is the mean, over all identifier-like strings at its
+    places, of their scores for one kind; a pattern with `support` different accepted strings, at
+    any size of the table, and a reliability of `reliable` or more accepts the other strings at its
+    places with that score; patterns around these are induced and scored in the next round.
+    Seeds score one. The graph is a table; the driver fetches the final patterns `at_once` at a time.
     """
     text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    seeds = materialize(_edges(text).groupBy("kind", "pattern", "instance").agg(F.sum("n").alias("n")), "pii-seeds")
-    counted = seeds.groupBy("kind", "pattern").agg(F.count("*").alias("strings"), F.sum("n").alias("n"))
-    best = counted.where(F.col("strings") >= support).groupBy("pattern").agg(F.max(F.struct("n", "kind")).alias("best"))
-    strong = materialize(best.select("pattern", F.col("best.kind").alias("kind"), F.col("best.n").alias("seed_n")), "pii-patterns")
-    passes = -(-strong.count() // at_once)
-    if not passes:
-        return ContextModel({})
-    found = []
+    edges = materialize(_edges(text).groupBy("pattern", "instance", "kind").agg(F.sum("n").alias("n")), "pii-edges")
+    seeds = materialize(edges.where("kind IS NOT NULL").groupBy("instance", "kind").agg(F.lit(1.0).alias("ri")), "pii-seeds")
+    accepted = seeds
+    for turn in range(rounds):
+        scores = score_patterns(edges, accepted)
+        good = materialize(scores.where((F.col("strings") >= support) & (F.col("r") >= reliable)).select("pattern", "kind", "r"), "pii-scores")
+        if turn == rounds - 1:
+            break
+        others = edges.where("kind IS NULL").select("pattern", "instance").join(good, "pattern").groupBy("instance", "kind").agg(F.max("r").alias("ri"))
+        accepted = materialize(seeds.unionByName(others.join(seeds, "instance", "left_anti").select("instance", "kind", "ri")), "pii-accepted")
+    best = good.groupBy("pattern").agg(F.max(F.struct("r", "kind")).alias("best")).select("pattern", F.col("best.kind").alias("kind"))
+    passes, found = max(1, -(-best.count() // at_once)), {}
     for k in range(passes):
-        part = strong.where(F.pmod(F.xxhash64("pattern"), F.lit(passes)) == k).select("pattern").collect()
-        counts = _introduced(text, {r[0] for r in part}).groupBy("pattern", "instance").agg(F.sum("n").alias("n"))
-        found.append(materialize(counts, "pii-places"))
-    places = reduce(DataFrame.unionByName, found)
-    # A base span may be cut otherwise than a token's core: the places of seeds come from the base rules.
-    every = places.where("instance IS NULL").select("pattern", F.col("n").alias("all_n"))
-    base = strong.join(every, "pattern", "left").select("pattern", "seed_n", F.greatest("all_n", "seed_n").alias("all_n"))
-    known = seeds.select("instance").distinct()
-    other = materialize(places.where("instance IS NOT NULL").join(known, "instance", "left_anti"), "pii-unseen")
-    score = base.select("pattern", "seed_n", "all_n", (F.col("seed_n") / F.col("all_n")).alias("r"))
-    for _ in range(rounds):
-        instance = other.join(score.select("pattern", "r"), "pattern").groupBy("instance").agg((F.sum(F.col("n") * F.col("r")) / F.sum("n")).alias("ri"))
-        gained = other.join(instance, "instance").groupBy("pattern").agg(F.sum(F.col("n") * F.col("ri")).alias("gain"))
-        joined = score.join(gained, "pattern", "left")
-        value = F.least(F.lit(1.0), (F.col("seed_n") + F.coalesce("gain", F.lit(0.0))) / F.col("all_n"))
-        score = materialize(joined.select("pattern", "seed_n", "all_n", value.alias("r")), "pii-scores")
-    # Most of a reliable pattern's places must be seeds themselves.
-    good = score.where((F.col("r") >= reliable) & (F.col("seed_n") * 2 >= F.col("all_n"))).join(strong, "pattern").select("pattern", "kind").collect()
-    return ContextModel({r["pattern"]: r["kind"] for r in good})
+        found.update(best.where(F.pmod(F.xxhash64("pattern"), F.lit(passes)) == k).collect())
+    context = lambda p: p[:2] in ("w:", "g:")
+    return ContextModel({p: k for p, k in found.items() if context(p)}, {p: k for p, k in found.items() if not context(p)})
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
