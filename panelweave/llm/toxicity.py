@@ -4,7 +4,7 @@ With class prior p, positives P and unlabelled U, the risk of a scorer f under t
     p E_P[l(f)] + max(0, E_U[l(-f)] - p E_P[l(-f)])
 The second term estimates the risk on negatives without any negative label; where it would
 fall below zero, the step ascends it instead (non-negative estimator). f is linear in the
-presence of words.
+presence of words. p is estimated from the words themselves, for the unlabelled population.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ def words_of(text: str) -> set[bytes]:
 
 
 def feature(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) >> 1
+    """Number of a word, 32 bits of its hash."""
+    return xxhash.xxh3_64_intdigest(word) >> 32
 
 
 @dataclass(frozen=True)
@@ -41,33 +42,52 @@ class ToxicModel:
     bias: float
 
 
-def fit_nnpu(
-    positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 150, rate: float = 0.2, decay: float = 1e-4, min_documents: int = 8, surely: float = 6.0
-) -> ToxicModel:
+def _separation(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray], sizes: tuple[int, int], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shares of documents with each word on both sides, and how many deviations of chance lie between them.
+
+    That is the root of the Poisson deviance of its count in positives from what the unlabelled let expect.
+    """
+    n, m = (np.bincount(col, minlength=words) for _, col in (positive, unlabelled))
+    expected = sizes[0] * (m + 1) / (sizes[1] + 1)
+    deviance = n * np.log(np.maximum(n, 1) / expected) - (n - expected)
+    return n / sizes[0], m / sizes[1], np.sqrt(2 * np.maximum(deviance, 0))
+
+
+def estimate_prior(p: np.ndarray, u: np.ndarray, apart: np.ndarray) -> float:
+    """Share of positives among the unlabelled: how often these hold the words that set positives apart, against positives."""
+    weight = np.where(p > u, apart**4, 0.0)
+    return float(np.clip((weight * u * p).sum() / max((weight * p * p).sum(), 1e-300), 1e-3, 0.5))
+
+
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], rounds: int = 150, rate: float = 0.2, penalty: float = 0.015) -> ToxicModel:
     """Train on documents given as arrays of feature numbers; deterministic.
 
-    A word takes part if at least `min_documents` positives hold it, and its share of positives
-    is above its share of unlabelled documents by `surely` standard deviations of chance.
+    Every word of either side takes part at first, under a penalty that falls with a high power of
+    its separation; the words that keep a weight are then trained again without one.
     """
-    if not positive or not unlabelled or not 0 < prior < 1:
-        return ToxicModel({}, float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))) if positive else -20.0)
-    found, counts = np.unique(np.concatenate(positive), return_counts=True)
-    others, other_counts = np.unique(np.concatenate(unlabelled), return_counts=True)
-    at = np.minimum(np.searchsorted(others, found), max(0, len(others) - 1))
-    base = np.where(others[at] == found, other_counts[at], 0) / len(unlabelled) if len(others) else np.zeros(len(found))
-    chance = np.sqrt((base * (1 - base) + 1 / len(unlabelled)) * (1 / len(positive) + 1 / len(unlabelled)))
-    found = found[(counts >= min_documents) & (counts / len(positive) - base >= surely * chance)]
-
-    def compact(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        lengths, flat = np.array([len(d) for d in docs]), np.concatenate(docs)
-        row = np.repeat(np.arange(len(docs)), lengths)
-        at = np.searchsorted(found, flat)
-        ok = at < len(found)
-        ok[ok] = found[at[ok]] == flat[ok]
-        return row[ok], at[ok]
-
-    (prow, pcol), (urow, ucol) = compact(positive), compact(unlabelled)
-    np_, nu, n = len(positive), len(unlabelled), len(found)
+    if not positive or not unlabelled:
+        return ToxicModel({}, -20.0)
+    sizes = len(positive), len(unlabelled)
+    words, flat = np.unique(np.concatenate([*positive, *unlabelled]), return_inverse=True)
+    row, col = np.repeat(np.arange(sum(sizes), dtype=np.int32), [len(d) for d in (*positive, *unlabelled)]), flat.astype(np.int32)
+    cut = int(np.searchsorted(row, sizes[0]))
+    sides = (row[:cut], col[:cut]), (row[cut:] - sizes[0], col[cut:])
+    p, u, apart = _separation(*sides, sizes, len(words))
+    prior = estimate_prior(p, u, apart)
+    first, _ = _descend(*sides, sizes, prior, penalty / 16 / np.maximum(apart / 4, 1e-2) ** 6, rounds, rate)
+    kept = np.flatnonzero(first)
+    number = np.full(len(words), -1)
+    number[kept] = np.arange(len(kept))
+    sides = tuple((r[at], c[at]) for r, c in ((r, number[c]) for r, c in sides) for at in [c >= 0])
+    weights, bias = _descend(*sides, sizes, prior, np.full(len(kept), 1e-4), rounds, rate)
+    return ToxicModel(dict(zip(words[kept].tolist(), weights.tolist(), strict=True)), bias)
+
+
+def _descend(
+    positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray], sizes: tuple[int, int], prior: float, penalty: np.ndarray, rounds: int, rate: float
+) -> tuple[np.ndarray, float]:
+    """Weights and bias by proximal Adam steps on the non-negative risk; penalty: of each weight's absolute value."""
+    (prow, pcol), (urow, ucol), (np_, nu), n = positive, unlabelled, sizes, len(penalty)
     w = np.zeros(n + 1)
     w[n] = np.log(prior / (1 - prior))
     first, second = np.zeros(n + 1), np.zeros(n + 1)
@@ -84,13 +104,12 @@ def fit_nnpu(
         negative = softplus(fu).mean() - prior * softplus(fp).mean()
         gp_pos, gp_neg, gu_neg = -sigmoid(-fp) * prior / np_, -sigmoid(fp) * prior / np_, sigmoid(fu) / nu
         grad = back(gp_pos + gp_neg, gu_neg) if negative >= 0 else -back(gp_neg, gu_neg)
-        grad[:n] += decay * np.sign(w[:n])
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
-        pace = rate * (0.1 if step > 0.7 * rounds else 1)
-        w -= pace * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    keep = np.abs(w[:n]) > 0.05
-    return ToxicModel(dict(zip(found[keep].tolist(), w[:n][keep].tolist(), strict=True)), float(w[n]))
+        pace = rate * (0.1 if step > 0.7 * rounds else 1) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        w -= pace * first / (1 - 0.9**step)
+        w[:n] = np.sign(w[:n]) * np.maximum(np.abs(w[:n]) - pace[:n] * penalty, 0)
+    return w[:n], float(w[n])
 
 
 class _Scorer:
@@ -118,21 +137,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, m
     """Fit from labels whose id isn't held out, and text of documents that aren't.
 
     The fit sees at most `max_positive` confirmed toxic and `max_unlabelled` unlabelled
-    documents, those first by a hash of their id; the prior comes from all labels of the fold.
+    documents, those first by a hash of their id; one row of each id, whole texts.
     """
     spark = docs.sparkSession
     told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     told = told.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"), modulus))
-    sums = told.agg(F.avg("toxic").alias("p"), F.count("*").alias("n")).first()
-    if not sums["n"] or not sums["p"]:
-        return ToxicModel({}, -20.0)
-
     def first_ids(df: DataFrame, n: int) -> list[int]:
         return [r[0] for r in df.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus))
     positive = set(first_ids(told.where("toxic = 1").select("doc_id").distinct(), max_positive))
+    if not positive:
+        return ToxicModel({}, -20.0)
     unlabelled = set(first_ids(rows, max_unlabelled))
     ids = spark.sparkContext.broadcast((positive, unlabelled))
     schema = pa.schema([("doc_id", pa.int64()), ("features", pa.binary())])
@@ -143,13 +160,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, m
             mask = np.array([d in wanted for d in batch.column(0).to_pylist()], dtype=bool)
             if mask.any():
                 some = batch.filter(pa.array(mask))
-                made = [np.array(sorted(map(feature, words_of(t))), dtype="<i8").tobytes() for t in texts_of(some.column(1))]
+                made = [np.unique(np.array([*map(feature, words_of(t))], dtype="<u4")).tobytes() for t in texts_of(some.column(1))]
                 yield record(schema, [some.column(0), made])
 
-    got = rows.mapInArrow(tidy(features), "doc_id long, features binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], bytes(r["features"])))
-    pick = lambda wanted: [np.frombuffer(r["features"], "<i8") for r in got if r["doc_id"] in wanted]
-    return fit_nnpu(pick(positive), pick(unlabelled), float(sums["p"]))
+    made = rows.mapInArrow(tidy(features), "doc_id long, features binary")
+    got = sorted(made.groupBy("doc_id").agg(F.min("features").alias("features")).collect())
+    pick = lambda wanted: [np.frombuffer(r["features"], "<u4") for r in got if r["doc_id"] in wanted]
+    return fit_nnpu(pick(positive), pick(unlabelled))
 
 
 def toxicity_column(model: ToxicModel, text: Column, spark) -> Column:
