@@ -158,10 +158,10 @@ class Predictor:
         return names, scores
 
 
-def fit_language(docs: DataFrame, max_documents: int = 4000, windows: int = 5, modulus: int = 4, least: int = 50) -> LanguageModel:
+def fit_language(docs: DataFrame, max_documents: int = 4000, modulus: int = 4, least: int = 50) -> LanguageModel:
     """Fit on labelled documents that aren't held out, first by a hash of their id within each language:
-    an equal share of `max_documents` for each, `least` at any rate, and `windows` evenly spread
-    windows of each document. Every language whose documents have text to learn from is learned."""
+    an equal share of `max_documents` for each, `least` at any rate; one row of each id and language,
+    all its windows. Every language whose documents have text to learn from is learned."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), modulus))
     usable = rows.where(F.octet_length("text") >= WINDOW // 8).select("lang", "doc_id", F.xxhash64("doc_id").alias("hash"))
@@ -190,12 +190,11 @@ def fit_language(docs: DataFrame, max_documents: int = 4000, windows: int = 5, m
                 some, made = batch.filter(pa.array(mask)), []
                 for t in texts_of(some.column(1)):
                     x, letters = windows_of(t.encode("utf-8", "surrogatepass"))
-                    x = x[letters >= WINDOW // 8]
-                    made.append(x[np.unique(np.linspace(0, len(x) - 1, windows).astype(int))].tobytes() if len(x) else b"")
+                    made.append(x[letters >= WINDOW // 8].tobytes())
                 yield record(schema, [some.column(0), some.column(2), made])
 
-    got = rows.mapInArrow(tidy(cut), "doc_id long, lang string, windows binary").collect()
-    got = sorted((r for r in got if r["windows"]), key=lambda r: (r["doc_id"], r["lang"], bytes(r["windows"])))
+    made = rows.mapInArrow(tidy(cut), "doc_id long, lang string, windows binary").where(F.length("windows") > 0)
+    got = sorted(made.groupBy("doc_id", "lang").agg(F.min("windows").alias("windows")).collect())
     if not got:
         return LanguageModel((), (), np.zeros(0), np.zeros(0), np.zeros(0))
     names = tuple(sorted({r["lang"] for r in got}))
