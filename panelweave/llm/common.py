@@ -42,7 +42,9 @@ def ship(spark: SparkSession) -> None:
     """Ready a session: executors can import this package, and Arrow batches of texts stay small.
 
     The package goes out once for each Spark context; a batch size that the session set itself is kept.
+    What the driver's Python has freed since the last operator goes back to the system.
     """
+    _give_back()
     size = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(size) == "10000":
         spark.conf.set(size, BATCH_ROWS)
@@ -66,7 +68,19 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that materialize wrote, once nothing that is still to run reads them."""
+    for table in tables:
+        path = getattr(table, "_scratch", None)
+        if path:
+            context = table.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def held_out(doc_id: Column, modulus: int) -> Column:
@@ -112,6 +126,19 @@ def tidy(work, keeps: bool = False):
     return run
 
 
+def grouped(work):
+    """The same for a function of a group's rows."""
+
+    def run(pdf):
+        release()
+        try:
+            return work(pdf)
+        finally:
+            _give_back()
+
+    return run
+
+
 def release() -> None:
     """Drop what others have left in the worker."""
     _lean()
@@ -121,21 +148,20 @@ def release() -> None:
 
 
 #: A worker below this many MB is left alone.
-_SMALL_MB = 180
-#: Options of the C library's allocator: M_TRIM_THRESHOLD, M_MMAP_THRESHOLD and M_ARENA_MAX with their values.
-_ALLOCATOR = ((-1, 1 << 20), (-3, 1 << 18), (-8, 1))
+_SMALL_MB = 150
+#: An option of the C library's allocator: M_ARENA_MAX.
+_ARENAS = -8
 _LEAN: list[bool] = []
 
 
 def _lean() -> None:
-    """Once a worker: one arena, large blocks apart, and Arrow's buffers by the same allocator, so that what is freed can go back."""
+    """Once a worker: one arena, and Arrow's buffers by the same allocator, so that what is freed can go back."""
     if _LEAN:
         return
     _LEAN.append(True)
     pa.set_memory_pool(pa.system_memory_pool())
     try:
-        for option, value in _ALLOCATOR:
-            ctypes.CDLL(None).mallopt(option, value)
+        ctypes.CDLL(None).mallopt(_ARENAS, 1)
     except (OSError, AttributeError):  # not this C library
         pass
 

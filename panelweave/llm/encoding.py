@@ -58,7 +58,7 @@ class Encoder:
     Chunks are kept up to about `limit` bytes, and as many from before in case they come again.
     """
 
-    def __init__(self, path: str, limit: int = 56 << 20):
+    def __init__(self, path: str, limit: int = 28 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
