@@ -4,12 +4,16 @@ Cut into segments of length n, with means m and deviations s, two vectors satisf
     n((m_q - m_x)^2 + (s_q - s_x)^2)  <=  squared distance
 so the sum over segments is a lower bound of the squared distance, and with the norms
     q.x = (|q|^2 + |x|^2 - d^2) / 2  <=  sum of n(m_q m_x + s_q s_x)
-an upper bound of the inner product. Halving segments tightens it. Each level looks only at
-the pairs that the level before has left; what the finest level leaves is computed exactly.
+an upper bound of the inner product. Splitting segments tightens it. Both sides are first turned so
+that the queries' main directions come first, which changes no product, and segments are cut to
+hold equal shares of the queries' energy: short ones where it lies. A level is one matrix product over
+a tile; what the finest level leaves is computed exactly, by a product over the rows and columns left.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +29,10 @@ def whole_parts(x: np.ndarray) -> np.ndarray:
     return np.floor(256.0 * x)
 
 
-def statistics(x: np.ndarray, segments: int) -> np.ndarray:
-    """Means and deviations of each segment, times the root of its length, side by side."""
-    edges = np.unique(np.linspace(0, x.shape[1], min(segments, max(1, x.shape[1])) + 1).astype(int))
+def statistics(x: np.ndarray, segments: int, edges: np.ndarray | None = None) -> np.ndarray:
+    """Means and deviations of each segment, times the root of its length, side by side; segments of equal length unless given."""
+    if edges is None:
+        edges = np.unique(np.linspace(0, x.shape[1], min(segments, max(1, x.shape[1])) + 1).astype(int))
     out = []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         part = x[:, a:b]
@@ -36,9 +41,38 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.column_stack(out) if out else np.zeros((len(x), 0))
 
 
-def _prepare(x: np.ndarray):
+def directions(x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """An orthonormal turn to the main directions of these rows, and by level the edges of segments of equal energy."""
+    width = x.shape[1]
+    with np.errstate(over="ignore", invalid="ignore"):
+        moment = x.T @ x
+    if not width or not np.isfinite(moment).all():
+        turn, energy = np.eye(width), np.ones(width)
+    else:
+        energy, turn = np.linalg.eigh(moment)
+        energy, turn = np.maximum(energy[::-1], 0), turn[:, ::-1]
+    share = np.cumsum(energy) / max(energy.sum(), 1e-300) if energy.any() else np.linspace(0, 1, width + 1)[1:]
+    edges = [np.unique([0, *(np.searchsorted(share, np.arange(1, n) / n - 1e-12) + 1).clip(0, width), width]) for n in LEVELS]
+    return np.ascontiguousarray(turn), edges
+
+
+@dataclass
+class _Side:
+    """Queries as whole numbers, their turn, segments and statistics by level, norms; left: pairs met, and left by each level."""
+
+    whole: np.ndarray
+    turn: np.ndarray
+    edges: list[np.ndarray]
+    levels: list[np.ndarray]
+    norms: np.ndarray
+    left: np.ndarray
+
+
+def _prepare(x: np.ndarray) -> _Side:
     whole = whole_parts(x)
-    return whole, [statistics(whole, n) for n in LEVELS], np.sqrt((whole**2).sum(axis=1))
+    turn, edges = directions(whole)
+    turned = whole @ turn
+    return _Side(whole, turn, edges, [statistics(turned, n, e) for n, e in zip(LEVELS, edges, strict=True)], np.sqrt((whole**2).sum(axis=1)), np.zeros(len(LEVELS) + 1))
 
 
 def _scores(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,42 +87,40 @@ def _scores(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return exact.astype(np.float64), exact
 
 
-def _run(side, ids: np.ndarray, x: np.ndarray, best: Best) -> None:
-    q, levels, norms = side
+def _run(side: _Side, ids: np.ndarray, x: np.ndarray, best: Best) -> None:
     x = whole_parts(x)
-    xlevels, xnorms = [statistics(x, n) for n in LEVELS], np.sqrt((x**2).sum(axis=1))
-    for at in range(0, len(q), 1024):
+    turned, norms = x @ side.turn, np.sqrt((x**2).sum(axis=1))
+    levels = [statistics(turned, n, e) for n, e in zip(LEVELS, side.edges, strict=True)]
+    exact = np.abs(side.whole).max(initial=0.0) * np.abs(x).max(initial=0.0) * max(1, x.shape[1]) < 2**53
+    for at in range(0, len(side.whole), 1024):
         part = slice(at, at + 1024)
-        if len(ids) and np.isinf(best.bound[part]).any():
-            # No bound yet: exact scores of the most promising candidates of each query give one.
-            few = min(len(ids), best.k)
-            rough = levels[0][part] @ xlevels[0].T
-            column = np.argpartition(-rough, few - 1, axis=1)[:, :few].ravel()
-            row = np.repeat(np.arange(len(rough)), few)
-            low = _floor(q[part], x, row, column, few)
-            floor = np.where(few == best.k, low, -np.inf)
+        floor = -best.bound[part]
+        alive = np.ones((len(floor), len(ids)), dtype=bool)
+        side.left[0] += alive.size
+        if not np.isinf(floor).all():  # before a query has k candidates nothing can be ruled out
+            for n, (mine, theirs) in enumerate(zip(side.levels, levels, strict=True)):
+                bound = mine[part] @ theirs.T + 1e-9 * side.norms[part, None] * norms
+                # Written so that bounds that overflow keep their pair.
+                alive &= ~(bound < floor[:, None])
+                side.left[n + 1] += alive.sum()
+        else:
+            side.left[1:] += alive.size
+        r, c = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
+        if not len(r):
+            continue
+        if exact:
+            score = np.where(alive[np.ix_(r, c)], side.whole[at + r] @ x[c].T, -np.inf)
+            if len(c) > best.k:
+                # Equal scores stay together, so that ties are left to the heaps.
+                floor[r] = np.fmax(floor[r], np.partition(score, len(c) - best.k, axis=1)[:, len(c) - best.k])
+            row, column = np.nonzero((score >= floor[r, None]) & np.isfinite(score))
+            key = -score[row, column]
+            best.merge(at + r[row], ids[c[column]], key, key.astype(np.int64))
         else:
-            floor = np.full(len(q[part]), -np.inf)
-        floor = np.fmax(floor, -best.bound[part])
-        slack = 1e-9 * norms[part]
-        bound = levels[0][part] @ xlevels[0].T + slack[:, None] * xnorms
-        row, column = np.nonzero(~(bound < floor[:, None]))
-        for a in range(0, len(row), PAIR_ROWS):
-            r, c = row[a : a + PAIR_ROWS], column[a : a + PAIR_ROWS]
-            for mine, theirs in zip(levels[1:], xlevels[1:], strict=True):
-                bound = (mine[at + r] * theirs[c]).sum(axis=1) + slack[r] * xnorms[c]
-                ok = ~(bound < np.fmax(floor, -best.bound[part])[r])
-                r, c = r[ok], c[ok]
-            key, whole = _scores(q[at + r], x[c])
-            best.merge(at + r, ids[c], key, whole)
-
-
-def _floor(q: np.ndarray, x: np.ndarray, row: np.ndarray, column: np.ndarray, few: int) -> np.ndarray:
-    """The smallest of each query's `few` exact scores."""
-    out = np.empty(len(row))
-    for a in range(0, len(row), PAIR_ROWS):
-        out[a : a + PAIR_ROWS] = -_scores(q[row[a : a + PAIR_ROWS]], x[column[a : a + PAIR_ROWS]])[0]
-    return out.reshape(-1, few).min(axis=1)
+            row, column = np.nonzero(alive)
+            for a in range(0, len(row), PAIR_ROWS):
+                some = slice(a, a + PAIR_ROWS)
+                best.merge(at + row[some], ids[column[some]], *_scores(side.whole[at + row[some]], x[column[some]]))
 
 
 def _own(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,9 +1,8 @@
-"""Blocks of query vectors against all vectors: what both vector searches share.
+"""A block matrix join: blocks of query vectors against blocks of all vectors, what both searches share.
 
-Queries are a stated set. They are streamed through the driver in blocks of a fixed number of
-rows; a block is broadcast and every partition of vectors runs against it in tiles, keeping
-the k best of each query. So the broadcast and each task's memory have a fixed bound, and no
-row of vectors is moved.
+Queries are a stated set. Both sides are packed into tables of blocks; query block q and share v of
+the vector blocks meet in the grid's cell (q, v), where tiles of products keep the k best of each
+query in heaps. A cell's size is fixed, whatever the corpus; nothing passes through the driver.
 """
 
 from __future__ import annotations
@@ -14,13 +13,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, record, tidy
+from .common import materialize, record, slices, tidy
 
-#: Queries in a broadcast block, candidate rows in a tile, pairs recomputed at once.
+#: Queries in a block, candidate rows in a tile, pairs recomputed at once.
 QUERY_BLOCK, TILE_ROWS, PAIR_ROWS = 8192, 2048, 32768
+#: Bytes of a block of vectors, and such blocks in a cell.
+BLOCK_BYTES, CELL_BLOCKS = 4 << 20, 8
 
 RESULT = pa.schema(
     [("block", pa.int32()), ("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("key", pa.float64()), ("whole", pa.int64()), ("own", pa.bool_())]
@@ -103,51 +105,84 @@ class Kernel:
     own: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """task, seq, dim, ids, x: blocks of usable vectors of one dimension as doubles."""
+    schema = pa.schema([("task", pa.int32()), ("seq", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("x", pa.binary())])
+
+    def pack(batches):
+        task, seq, held = TaskContext.get().partitionId(), 0, {}
+
+        def flush(n: int):
+            nonlocal seq
+            ids, x = (np.concatenate(part) for part in zip(*held.pop(n), strict=True))
+            seq += 1
+            return record(schema, [[task], [seq], [n], [ids.astype("<i8").tobytes()], [x.astype("<f8").tobytes()]])
+
+        for batch in slices(batches, TILE_ROWS):
+            for n, part in vectors_of(batch).items():
+                held.setdefault(n, []).append(part)
+                if sum(len(ids) for ids, _ in held[n]) * 8 * max(1, n) >= BLOCK_BYTES:
+                    yield flush(n)
+        for n in sorted(held):
+            yield flush(n)
+
+    return rows.mapInArrow(tidy(pack), "task int, seq int, dim int, ids binary, x binary")
+
+
+def _side_by_dim(pdf, kernel: Kernel) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """ids and vectors that take part, by dimension, in the order of their blocks."""
+    out = {}
+    for n, part in pdf.sort_values(["dim", "seq"]).groupby("dim", sort=True):
+        ids = np.concatenate([np.frombuffer(i, "<i8") for i in part["ids"]])
+        x = np.concatenate([np.frombuffer(v, "<f8") for v in part["x"]]).reshape(len(ids), int(n))
+        ok = kernel.keep(x)
+        if ok.any():
+            out[int(n)] = ids[ok], x[ok]
+    return out
+
+
 def search(vectors: DataFrame, every: int, k: int, kernel: Kernel) -> DataFrame:
     """The k best rows for each row whose vec_id is divisible by `every`, by ascending key.
 
     vectors: columns vec_id and embedding. Returns query_id, rank, vec_id, key, whole. A query
     never finds its own row, but another row with the same id.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("embedding"))
-    found, held = [], []
-
-    def against(block: list, number: int) -> DataFrame:
-        grouped = {n: (ids[ok], x[ok]) for n, (ids, x) in usable([r[0] for r in block], [r[1] for r in block]).items() if (ok := kernel.keep(x)).any()}
-        shared = spark.sparkContext.broadcast(grouped)
-
-        def tiles(batches):
-            ready = {n: (ids, kernel.prepare(x), Best(len(ids), k + 1), kernel.own(x)) for n, (ids, x) in shared.value.items()}
-            for batch in batches:
-                for n, (ids, x) in vectors_of(batch).items():
-                    if n in ready:
-                        ok = kernel.keep(x)
-                        ids, x = ids[ok], x[ok]
-                        for at in range(0, len(ids), TILE_ROWS):
-                            kernel.run(ready[n][1], ids[at : at + TILE_ROWS], x[at : at + TILE_ROWS], ready[n][2])
-            for n, (ids, _, best, (own_key, own_whole)) in ready.items():
-                out = [
-                    (number, q + (n << 20), int(ids[q]), -i, -d, -w, -i == ids[q] and -d == own_key[q] and -w == own_whole[q])
+    wanted = rows.where(F.col("vec_id") % every == 0)
+    parts = max(1, -(-wanted.count() // QUERY_BLOCK))
+    queries = materialize(_packed(wanted.repartition(parts)), "query-blocks")
+    blocks = materialize(_packed(rows), "vector-blocks")
+    n, wide = blocks.count(), 2 * vectors.sparkSession.sparkContext.defaultParallelism
+    shares = max(1, min(n, wide), -(-n // CELL_BLOCKS))
+    left = queries.select(F.col("task").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("v"), "seq", "dim", "ids", "x")
+    share = F.pmod(F.xxhash64("task", "seq"), F.lit(shares)).cast("int").alias("v")
+    right = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("q"), share, "seq", "dim", "ids", "x")
+
+    def cell(mine, theirs):
+        import pandas as pd
+
+        out = []
+        if len(mine) and len(theirs):
+            number, theirs = int(mine["q"].iloc[0]), theirs.sort_values(["dim", "seq"])
+            for dim, (ids, x) in _side_by_dim(mine, kernel).items():
+                side, best, (own_key, own_whole) = kernel.prepare(x), Best(len(ids), k + 1), kernel.own(x)
+                for _, block in theirs[theirs["dim"] == dim].iterrows():
+                    them = np.frombuffer(block["ids"], "<i8")
+                    y = np.frombuffer(block["x"], "<f8").reshape(len(them), dim)
+                    ok = kernel.keep(y)
+                    them, y = them[ok], y[ok]
+                    for at in range(0, len(them), TILE_ROWS):
+                        kernel.run(side, them[at : at + TILE_ROWS], y[at : at + TILE_ROWS], best)
+                out += [
+                    (number, q + (dim << 20), int(ids[q]), -i, -d, -w, -i == ids[q] and -d == own_key[q] and -w == own_whole[q])
                     for q, heap in enumerate(best.heaps)
                     for d, w, i in heap
                 ]
-                for at in range(0, len(out), 65536):
-                    yield record(RESULT, list(zip(*out[at : at + 65536], strict=True)))
-
-        best = rows.mapInArrow(tidy(tiles), "block int, query long, query_id long, vec_id long, key double, whole long, own boolean")
-        return _ranked(best, k)
-
-    for row in rows.where(F.col("vec_id") % every == 0).toLocalIterator():
-        if len(held) == QUERY_BLOCK:
-            found.append(materialize(against(held, len(found)), "vector-block"))
-            held = []
-        held.append((row[0], row[1]))
-    found.append(materialize(against(held, len(found)), "vector-block") if found else against(held, 0))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+        return pd.DataFrame(out, columns=RESULT.names)
+
+    kinds = "block int, query long, query_id long, vec_id long, key double, whole long, own boolean"
+    best = left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInPandas(lambda a, b: cell(a, b), kinds)
+    return _ranked(best, k)
 
 
 def _ranked(best: DataFrame, k: int) -> DataFrame:
