@@ -39,7 +39,8 @@ BATCH_ROWS = 1024
 
 
 def ship(spark: SparkSession) -> None:
-    """Ready a session: executors can import this package, and Arrow batches of texts stay small.
+    """Ready a session: executors can import this package, Arrow batches of texts stay small, and an ended
+    query's shuffle files go.
 
     The package goes out once for each Spark context; a batch size that the session set itself is kept.
     What the driver's Python has freed since the last operator goes back to the system.
@@ -48,6 +49,7 @@ def ship(spark: SparkSession) -> None:
     size = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(size) == "10000":
         spark.conf.set(size, BATCH_ROWS)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     context = spark.sparkContext
     if getattr(context, "_package_shipped", False):
         return

@@ -11,7 +11,10 @@ regions around pivots, coarse to fine:
 2. Inside a region documents are pivots. |d(x,p) - d(y,p)| <= d(x,y) rules pairs out, sets
    within t of a pivot are linked at once, and a Voronoi cell holds its own sets and those within 2t of
    its border; cells are joined recursively, and only pairs that may join two components are compared.
-   A region too large for a task is first cut into chunks that meet the same pivots.
+   The recursion runs across tasks as long as a cell is too large for one, and then inside it.
+
+Documents alone can't be the first pivots: nearly all lie at distance 1 of each other, so every set
+would stand in every window. A single shingle is the pivot that tells such sets apart.
 
 Equal sets are one class throughout. Classes are named by a 64-bit hash of their set, and
 shingles are 64-bit hashes; links are decided on whole sets by integer arithmetic.
@@ -20,15 +23,18 @@ shingles are 64-bit hashes; links are decided on whole sets by integer arithmeti
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pack_deltas, pack_varints, record, slices, state_name, texts_of, tidy, unpack_deltas, unpack_varints, worker_state
+from .common import discard, grouped, materialize, pack_deltas, pack_varints, record, slices, state_name, texts_of, tidy, unpack_deltas, unpack_varints, worker_state
 from .components import connected_components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -144,7 +150,7 @@ def _common(first: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
         best = np.sort(best[total[best] >= 3])
         return pd.DataFrame({"range": [int(pdf["range"].iloc[0])], "a": [pack_deltas(every[best])], "b": [pack_varints(total[best])]})
 
-    got = sorted(first.where("kind = 1").select("range", "a", "b").groupBy("range").applyInPandas(add, "range int, a binary, b binary").collect())
+    got = sorted(first.where("kind = 1").select("range", "a", "b").groupBy("range").applyInPandas(grouped(add), "range int, a binary, b binary").collect())
     if not got:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     return np.concatenate([unpack_deltas(bytes(r["a"])) for r in got]), np.concatenate([unpack_varints(bytes(r["b"])) for r in got]).astype(np.int64)
@@ -268,7 +274,7 @@ def _neighbours(cells: DataFrame, join: JaccardJoin) -> DataFrame:
         pairs = np.unique(np.concatenate([np.column_stack([a, b]), ready]), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return cells.groupBy("range").applyInPandas(star, "a long, b long")
+    return cells.groupBy("range").applyInPandas(grouped(star), "a long, b long")
 
 
 # --- Regions: document pivots ----------------------------------------------------------------
@@ -303,14 +309,35 @@ class Sets:
         return np.add.reduceat((pivot[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
 
 
-def join_region(sets: list[np.ndarray], join: JaccardJoin, few: int = 24) -> np.ndarray:
-    """Root place of each set's component in one region that fits into memory; sets are not empty."""
-    all_sets, roots = Sets(sets), Roots(len(sets))
+#: A set farther than this from every pivot of a cell belongs to none of them yet.
+FAR = 0.6
+
+
+def windows_of(table: np.ndarray, radius: float, slack: float = 1e-9) -> np.ndarray:
+    """Which Voronoi cells hold a set, from its distances to the pivots; the last column is the rest, far from all of them.
+
+    Of two sets within the radius, let x be the one nearer to its pivot, at distance m <= FAR. The other
+    is within m + radius of that pivot, so within its own nearest distance + radius and within FAR +
+    radius. Where both are farther than FAR from all pivots, both are in the rest. So they meet in one cell.
+    """
+    nearest = table.min(axis=1, keepdims=True)
+    inside = table <= np.minimum(nearest, FAR) + radius + slack
+    return np.column_stack([inside, nearest[:, 0] > FAR])
+
+
+def join_region(sets: list[np.ndarray], join: JaccardJoin, seen: Counter | None = None, few: int = 3) -> np.ndarray:
+    """Root place of each set's component in one region that fits into memory; sets are not empty.
+
+    seen: counts regions, pivots met, cells by depth, and pairs compared.
+    """
+    all_sets, roots, seen = Sets(sets), Roots(len(sets)), Counter() if seen is None else seen
+    seen["regions"] += 1
     radius, slack = 1 - join.percent / 100, 1e-9
 
     def meet(pivot: int, places: np.ndarray) -> np.ndarray:
         """Link what lies within the radius of a pivot; distances of the places from it."""
         both = all_sets.shared(sets[pivot], places)
+        seen["pairs"] += len(places)
         union = all_sets.sizes[places] + len(sets[pivot]) - both
         roots.link(pivot, places[100 * both >= join.percent * union])
         return 1 - both / union
@@ -342,12 +369,13 @@ def join_region(sets: list[np.ndarray], join: JaccardJoin, few: int = 24) -> np.
         step = max(1, len(places) // min(8, math.isqrt(len(places))))
         pivots = places[::step]
         distances = [meet(p, places) for p in pivots]
-        table = np.column_stack(distances)
-        home, nearest = table.argmin(axis=1), table.min(axis=1)
-        inside = [places[(home == c) | (table[:, c] <= nearest + 2 * radius + slack)] for c in range(len(pivots))]
-        if max(map(len, inside)) > 0.7 * len(places):
+        held = windows_of(np.column_stack(distances), radius)
+        inside = [cell for cell in (places[held[:, c]] for c in range(held.shape[1])) if len(cell) > 1]
+        seen["pivots_met"] += len(pivots) * len(places)
+        if max(map(len, inside), default=0) > 0.7 * len(places):
             scan(places, distances)
             return
+        seen[f"cells_at_depth_{depth + 1}"] += len(inside)
         for cell in inside:
             done[cell] = False
             cells(cell, depth + 1)
@@ -389,7 +417,7 @@ def _filter(wanted: DataFrame) -> np.ndarray:
         return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "bits": [np.packbits(out).tobytes()]})
 
     table = np.zeros((1 << (FILTER_BITS - FILTER_PART), 1 << (FILTER_PART - 3)), dtype=np.uint8)
-    for r in wanted.select("key", "rep").mapInArrow(tidy(bits), "part int, bits binary").groupBy("part").applyInPandas(merge, "part int, bits binary").collect():
+    for r in wanted.select("key", "rep").mapInArrow(tidy(bits), "part int, bits binary").groupBy("part").applyInPandas(grouped(merge), "part int, bits binary").collect():
         table[r["part"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return table.ravel()
 
@@ -413,87 +441,158 @@ def _members(docs: DataFrame, wanted: np.ndarray, join: JaccardJoin) -> DataFram
     return docs.mapInArrow(tidy(read), "key long, shingles binary")
 
 
-def _small_regions(members: DataFrame, join: JaccardJoin, groups: int) -> DataFrame:
-    """key, root of the classes in regions that fit into a task; many regions share a task."""
+def _leaves(members: DataFrame, join: JaccardJoin, groups: int, tally=None) -> DataFrame:
+    """Links a, b (a class and its root) inside cells that fit into a task; many cells share a task."""
 
     def work(pdf):
         import pandas as pd
 
-        keys, roots = [], []
-        for _, region in pdf.sort_values(["label", "key"]).groupby("label", sort=False):
-            key = region["key"].to_numpy()
-            of = join_region([np.frombuffer(s, dtype=np.uint64) for s in region["shingles"]], join)
-            keys.append(key), roots.append(key[of])
-        return pd.DataFrame({"key": np.concatenate(keys), "root": np.concatenate(roots)})
+        a, b, seen = [], [], Counter()
+        for _, cell in pdf.sort_values(["cell", "key"]).groupby("cell", sort=False):
+            key = cell["key"].to_numpy()
+            of = join_region([np.frombuffer(s, dtype=np.uint64) for s in cell["shingles"]], join, seen)
+            a.append(key), b.append(key[of])
+        if tally is not None:
+            tally.add(seen)
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    spread = members.withColumn("g", F.pmod(F.xxhash64("label"), F.lit(groups)))
-    return spread.groupBy("g").applyInPandas(lambda pdf: work(pdf), "key long, root long")
+    spread = members.select("cell", "key", "shingles", F.pmod(F.xxhash64("cell"), F.lit(groups)).alias("g"))
+    return spread.groupBy("g").applyInPandas(grouped(work), "a long, b long")
 
 
-def _met(chunks: DataFrame, pivots: DataFrame, join: JaccardJoin) -> DataFrame:
-    """Links a, b between pivots and the sets of the chunks that they meet."""
-    columns = ["label", "chunk", "part", "pivot", "key", "shingles"]
+def _measured(chunks: DataFrame, pivots: DataFrame, join: JaccardJoin, tally=None) -> DataFrame:
+    """One step of the recursion: links a, b of sets with pivots of their cell; and, where cell isn't null, the Voronoi
+    cells (of parent) whose window holds a set, with its sum of distances to all pivots. A cell's rest is one of them.
+    """
+    radius = 1 - join.percent / 100
+    schema = "a long, b long, cell long, parent long, rest boolean, key long, far double, shingles binary"
 
     def work(pdf):
         import pandas as pd
 
-        here, centres = pdf[~pdf["pivot"]], pdf[pdf["pivot"]]
-        sets, a, b = Sets([np.frombuffer(s, dtype=np.uint64) for s in here["shingles"]]), [], []
-        keys, every = here["key"].to_numpy(), np.arange(len(here))
-        for key, raw in zip(centres["key"], centres["shingles"], strict=True):
+        here, centres = pdf[~pdf["pivot"]], pdf[pdf["pivot"]].sort_values("key")
+        if not len(here):
+            return pd.DataFrame(columns=names_of)
+        sets, keys, every = Sets([np.frombuffer(s, dtype=np.uint64) for s in here["shingles"]]), here["key"].to_numpy(), np.arange(len(here))
+        parent, table, links = int(here["cell"].iloc[0]), np.empty((len(here), len(centres))), []
+        for c, (key, raw) in enumerate(zip(centres["key"], centres["shingles"], strict=True)):
             pivot = np.frombuffer(raw, dtype=np.uint64)
-            near = every[(100 * sets.sizes >= join.percent * len(pivot)) & (join.percent * sets.sizes <= 100 * len(pivot))]
-            both = sets.shared(pivot, near)
-            found = near[100 * both >= join.percent * (sets.sizes[near] + len(pivot) - both)]
-            found = found[keys[found] != key]
-            a.append(np.full(len(found), key)), b.append(keys[found])
-        none = np.zeros(0, dtype=np.int64)
-        return pd.DataFrame({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
-
-    both = chunks.select(*columns).unionByName(pivots.select(*columns))
-    return both.groupBy("label", "chunk", "part").applyInPandas(work, "a long, b long")
-
+            both = sets.shared(pivot, every)
+            union = sets.sizes + len(pivot) - both
+            near = (100 * both >= join.percent * union) & (keys != key)
+            links.append(np.column_stack([np.full(near.sum(), key), keys[near]]))
+            table[:, c] = 1 - both / union
+        links = np.concatenate(links)
+        row, column = np.nonzero(windows_of(table, radius))
+        names = [np.int64(np.uint64(xxhash.xxh3_64_intdigest(np.array([parent, *k], dtype="<i8").tobytes()))) for k in [*([k] for k in centres["key"]), []]]
+        if tally is not None:
+            tally.add(Counter(pivots_met=len(here) * len(centres), windows=len(row), split_across_tasks=len(here)))
+        met = pd.DataFrame({"a": links[:, 0], "b": links[:, 1]}, dtype="Int64")
+        cells = pd.DataFrame({"cell": np.array(names, dtype=np.int64)[column], "parent": parent, "key": keys[row]}, dtype="Int64")
+        cells["rest"], cells["far"], cells["shingles"] = column == len(centres), table.sum(axis=1)[row], here["shingles"].to_numpy()[row]
+        return pd.concat([met, cells], ignore_index=True)[names_of]
+
+    names_of = [c.split()[0] for c in schema.split(", ")]
+    columns = ["cell", "chunk", "pivot", "key", "shingles"]
+    return chunks.select(*columns).unionByName(pivots.select(*columns)).groupBy("cell", "chunk").applyInPandas(grouped(work), schema)
+
+
+def _against_chunks(members: DataFrame, roots: DataFrame, join: JaccardJoin, part_size: int = 64) -> DataFrame:
+    """Links of cells that pivots don't part: each set outside a cell's largest component meets every chunk of its cell."""
 
-def _large_regions(members: DataFrame, join: JaccardJoin, rounds: int = 3, pivots: int = 16, part_size: int = 64) -> DataFrame | None:
-    """key, root of the classes in regions cut into chunks.
+    def work(pdf):
+        import pandas as pd
 
-    Rounds of pivots connect nearly all; a pivot has met every set of its region. Then each set
-    outside its region's largest component that has not been a pivot meets every chunk.
-    So every pair that may join two components is tested.
+        here, left = pdf[~pdf["pivot"]], pdf[pdf["pivot"]]
+        sets, out = Sets([np.frombuffer(s, dtype=np.uint64) for s in here["shingles"]]), [np.zeros((0, 2), dtype=np.int64)]
+        keys, every = here["key"].to_numpy(), np.arange(len(here))
+        for key, raw in zip(left["key"], left["shingles"], strict=True):
+            one = np.frombuffer(raw, dtype=np.uint64)
+            near = every[(100 * sets.sizes >= join.percent * len(one)) & (join.percent * sets.sizes <= 100 * len(one)) & (keys != key)]
+            both = sets.shared(one, near)
+            found = near[100 * both >= join.percent * (sets.sizes[near] + len(one) - both)]
+            out.append(np.column_stack([np.full(len(found), key), keys[found]]))
+        links = np.concatenate(out)
+        return pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
+
+    named = members.join(roots, F.col("key") == F.col("node"), "left").select("cell", "key", "shingles", "chunk", "chunks", F.coalesce("root", "key").alias("root"))
+    main = named.groupBy("cell", "root").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    left = named.join(main, "cell").where("root <> main")
+    parts = materialize(left.groupBy("cell").agg(F.ceil(F.count("*") / part_size).cast("int").alias("parts")), "jaccard-parts")
+    left = left.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("key", F.lit(5)), F.col("parts")).cast("int"))
+    left = left.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)))
+    here = named.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    columns = ["cell", "chunk", "part", "key", "shingles"]
+    both = here.select(*columns, F.lit(False).alias("pivot")).unionByName(left.select(*columns, F.lit(True).alias("pivot")))
+    return both.groupBy("cell", "chunk", "part").applyInPandas(grouped(work), "a long, b long")
+
+
+def _recursion(members: DataFrame, join: JaccardJoin, region_sets: int, region_shingles: int, groups: int, tally=None, pivots: int = 48, central: int = 4, levels: int = 12) -> DataFrame:
+    """Links that connect the classes of cells (cell, key, shingles): whatever a cell's size, by recursion across tasks.
+
+    A cell that fits into a task is joined there. A larger one gets document pivots, about `pivots` by hash and those
+    that were nearest to all pivots of the level before, as the middle of a cluster is; its sets go to the Voronoi cells
+    whose windows hold them, but for cells that are connected already. Where a pivot's cell keeps
+    over four fifths of its parent, the pivots tell nothing apart; there, and beyond the last
+    level, a cell's unconnected sets meet its chunks.
     """
-    members = materialize(members.withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(77)), F.col("chunks"))), "jaccard-large")
-    if not members.take(1):
-        return None
-    here = members.select("label", "chunk", "key", "shingles", F.lit(False).alias("pivot"))
-    roots, met, links = members.select("label", "key", F.col("key").alias("root")), None, None
-    left = members.select("label", "key")
-    for turn in range(rounds + 1):
-        if turn < rounds:
-            picked = left.groupBy("label").agg(F.array_distinct(F.array(*(F.min_by("key", F.xxhash64("key", F.lit(1000 * turn + i))) for i in range(pivots)))).alias("keys"))
-            picked = materialize(picked.select("label", F.explode("keys").alias("key"), F.lit(0).alias("part")), "jaccard-pivots")
-            parts = here.withColumn("part", F.lit(0))
-        else:
-            counts = left.groupBy("label").agg(F.ceil(F.count("*") / part_size).cast("int").alias("parts"))
-            picked = materialize(left.join(counts, "label").select("label", "key", F.pmod(F.xxhash64("key", F.lit(5)), F.col("parts")).cast("int").alias("part")), "jaccard-pivots")
-            parts = here.join(counts, "label").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        centres = picked.join(members.select("label", "key", "shingles", "chunks"), ["label", "key"])
-        centres = centres.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1))).withColumn("pivot", F.lit(True))
-        found = materialize(_met(parts, centres, join), "jaccard-links")
-        links = found if links is None else links.unionByName(found)
-        roots = connected_components(links)
-        roots = members.select("label", "key").join(roots, F.col("key") == F.col("node"), "left").select("label", "key", F.coalesce("root", "key").alias("root"))
-        if turn == rounds:
+    now, links = materialize(members.select("cell", "key", "shingles", F.lit(None).cast("double").alias("far")), "jaccard-cells"), []
+    for level in range(levels + 1):
+        sizes = now.groupBy("cell").agg(F.count("*").alias("sets"), F.sum(F.octet_length("shingles") / 8).alias("shingles"))
+        sizes = sizes.select("cell", "sets", F.greatest(F.ceil(F.col("sets") / region_sets), F.ceil(F.col("shingles") / region_shingles)).alias("chunks"))
+        sizes = materialize(sizes, "jaccard-sizes")
+        links.append(materialize(_leaves(now.join(sizes.where("chunks = 1"), "cell"), join, groups, tally), "jaccard-links"))
+        large = now.join(sizes.where("chunks > 1"), "cell").withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(77)), F.col("chunks")))
+        large = materialize(large, "jaccard-large")
+        discard(now)
+        if not large.take(1):
             break
-        met = picked.select("key") if met is None else met.union(picked.select("key"))
-        sizes = roots.groupBy("label", "root").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("label").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-        left = materialize(roots.join(main, "label").where("root <> main").select("label", "key").join(met, "key", "left_anti"), "jaccard-left")
-        if not left.take(1):
+        if level == levels:
+            links.append(materialize(_against_chunks(large, connected_components(_union(links)), join), "jaccard-links"))
             break
-    return roots.select("key", "root")
+        bucket = F.pmod(F.xxhash64("key", F.lit(level)), F.lit(central))
+        nearest = [F.min(F.when(F.col("far").isNotNull() & (bucket == i), F.struct("far", "key")))["key"] for i in range(central)]
+        some = F.array_compact(F.array(F.min_by("key", F.xxhash64("key", F.lit(level))), *nearest))
+        picked = large.groupBy("cell", "chunks").agg(some.alias("keys")).select("cell", "chunks", F.explode("keys").alias("key"))
+        by_hash = large.where(F.pmod(F.xxhash64("key", F.lit(100 + level)), F.ceil(F.col("sets") / pivots)) == 0)
+        picked = materialize(picked.unionByName(by_hash.select("cell", "chunks", "key")).distinct(), "jaccard-pivots")
+        centres = large.select("cell", "key", "shingles").join(picked, ["cell", "key"])
+        centres = centres.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1))).withColumn("pivot", F.lit(True))
+        met = materialize(_measured(large.withColumn("pivot", F.lit(False)), centres, join, tally), "jaccard-met")
+        links.append(met.where("cell IS NULL").select("a", "b"))
+        roots = connected_components(_union(links))
+        cells = met.where("cell IS NOT NULL").join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
+        grown = cells.groupBy("parent", "cell", "rest").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        grown = materialize(grown.join(sizes.select(F.col("cell").alias("parent"), "sets"), "parent"), "jaccard-grown")
+        stuck = grown.where("NOT rest AND n > 0.8 * sets").select(F.col("parent").alias("cell")).distinct()
+        links.append(materialize(_against_chunks(large.join(stuck, "cell", "left_semi"), roots, join), "jaccard-links"))
+        fresh = grown.join(stuck.withColumnRenamed("cell", "parent"), "parent", "left_anti").select("cell")
+        now = materialize(cells.join(fresh, "cell", "left_semi").select("cell", "key", "shingles", "far"), "jaccard-cells")
+        discard(large, grown)
+    return _union(links)
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def accumulator(spark):
+    """Counts what the tasks of a join do; a task that runs twice counts twice."""
+    return spark.sparkContext.accumulator(Counter(), _Tally())
+
+
+class _Tally(AccumulatorParam):
+    """Adds up counters of what tasks did."""
+
+    def zero(self, value):
+        return Counter()
+
+    def addInPlace(self, a, b):
+        a.update(b)
+        return a
 
 
-def jaccard_components(docs: DataFrame, join: JaccardJoin | None = None, region_sets: int = 256, region_shingles: int = 1 << 21) -> DataFrame:
+def jaccard_components(docs: DataFrame, join: JaccardJoin | None = None, region_sets: int = 256, region_shingles: int = 1 << 21, tally=None) -> DataFrame:
     """Per document doc_id, n_shingles, component_id, class_id, set_key, head_key.
 
     Words are runs between ASCII white space, lower-cased A to Z; a document's set is its distinct
@@ -503,6 +602,7 @@ def jaccard_components(docs: DataFrame, join: JaccardJoin | None = None, region_
     component's first document. Null text and text without words have an empty set (n_shingles 0,
     keys null) and link with nothing. Repeated rows and ids keep a row each. A null id counts as the
     largest and is returned as null; an empty table gives no rows. Other columns are not read.
+    tally: an accumulator() of this module that counts pivots, windows, cells and pairs.
     """
     join = join or JaccardJoin()
     last = (1 << 63) - 1
@@ -515,16 +615,12 @@ def jaccard_components(docs: DataFrame, join: JaccardJoin | None = None, region_
     rarity = Rarity(*_common(first, bits))
     regions = connected_components(_neighbours(_cells(docs.select("text"), join, rarity, bits), join))
     regions = materialize(regions.join(classes, F.col("node") == F.col("key")).select("key", F.col("root").alias("label"), "rep", "n"), "jaccard-regions")
-    sizes = regions.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / region_sets), F.ceil(F.sum("n") / region_shingles)).alias("chunks"))
-    wanted = regions.join(sizes, "label").select("key", "label", "chunks")
-    members = materialize(_members(docs, _filter(regions), join).join(wanted, "key").dropDuplicates(["key"]), "jaccard-members")
+    wanted = regions.select("key", F.col("label").alias("cell"))
+    members = _members(docs, _filter(regions), join).join(wanted, "key").dropDuplicates(["key"])
     total = regions.agg(F.sum("n")).first()[0] or 0
     shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    roots = _small_regions(members.where("chunks = 1"), join, max(4 * shuffles, total // 500_000 + 1))
-    large = _large_regions(members.where("chunks > 1"), join)
-    if large is not None:
-        roots = roots.unionByName(large)
-    named = classes.join(roots, "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
+    roots = connected_components(_recursion(members, join, region_sets, region_shingles, max(4 * shuffles, total // 500_000 + 1), tally))
+    named = classes.join(roots, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     named = materialize(named, "jaccard-roots")
     heads = named.groupBy("root").agg(F.min(F.struct("rep", "key")).alias("head"))
     named = named.join(heads, "root").select("key", "rep", F.col("head.rep").alias("component"), F.col("head.key").alias("head_key"))
