@@ -122,11 +122,16 @@ class Thresholds:
 
 @dataclass(frozen=True)
 class Decision:
-    """A frozen set of thresholds with where it came from; earlier ones are kept."""
+    """A frozen set of thresholds: when, on what and why it was taken, what it measured, and what is known to be wrong with it."""
 
     version: int
     thresholds: Thresholds
     note: str
+    dated: str
+    reason: str
+    measured: str
+    limitations: str
+    data_snapshot_id: str = "synthetic"
 
     def fingerprint(self) -> str:
         return self.thresholds.fingerprint()
@@ -138,8 +143,13 @@ HISTORY = (
         1,
         Thresholds(0.0235, 0.75, 0.1065, 10.7123, 0.6561, 0, 1.0, -1.1528),
         "900 sessions x 120 instruments, volatility regime 0.4",
+        dated="2026-09-19",
+        reason="The first measurement. The least IC is the null's 99.9 % point; the others keep 98 % of planted signals at the weakest IC that the power budget names.",
+        measured="A null candidate passes the screen in 0.143 % of cases, and the other tests in 61.9 % where its IC is in the null's top 1 %; one null survivor is expected in 1131 candidates.",
+        limitations="Measured on a generator, not on a market. All ratios divide by a candidate's own IC, so a lucky one looks stable; signals that live in rough sessions alone fail in 55 % of cases.",
     ),
 )
+CURRENT = HISTORY[-1]
 
 
 @dataclass(frozen=True)
@@ -201,9 +211,17 @@ def delay_shape(ics: dict[int, float | None]) -> float:
 
 
 class Gauntlet:
-    """Measures all statistics of a tree; judges those whose threshold is known."""
+    """Measures all statistics of a tree; judges those whose threshold is known.
 
-    def __init__(self, panel: DataFrame, thresholds: Thresholds | None = None, horizon: int = 1, n_folds: int = DEFAULT_FOLDS):
+    calibration: the null that the least IC comes from; it must be of this panel (snapshot) and horizon.
+    """
+
+    def __init__(self, panel: DataFrame, thresholds: Thresholds | None = None, horizon: int = 1, n_folds: int = DEFAULT_FOLDS, calibration=None, snapshot: str | None = None):
+        if calibration is not None:
+            calibration.assert_applies_to(snapshot, horizon)
+            thresholds = thresholds or Thresholds.from_calibration(calibration)
+            if thresholds.min_abs_ic != calibration.tau:
+                raise ValueError("min_abs_ic isn't the calibrated threshold; use Thresholds.from_calibration")
         self.panel, self.thresholds, self.horizon, self.n_folds = panel, thresholds or Thresholds(), horizon, n_folds
         self.forward = ranked_forward(panel, horizon).cache()
         self.n_days = (panel.agg(F.max("t")).first()[0] or 0) + 1

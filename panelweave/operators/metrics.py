@@ -48,9 +48,12 @@ def ranked_forward(panel: DataFrame, horizon: int = 1, strict: bool = False) ->
     return rank_long(rows, strict=strict).select("t", "inst", "inst_idx", F.col("r").alias("fr"))
 
 
-def ranked_signals(panel: DataFrame, trees: list[Expr], strict: bool = False) -> DataFrame:
-    """Long ranks of the trees from their warmup on."""
-    rows = long_form(values_of(panel, trees, strict=strict), len(trees))
+def ranked_signals(panel: DataFrame, trees: list[Expr], strict: bool = False, sessions: DataFrame | None = None) -> DataFrame:
+    """Long ranks of the trees from their warmup on. sessions: rank only these (t)."""
+    values = values_of(panel, trees, strict=strict)
+    if sessions is not None:
+        values = values.join(F.broadcast(sessions), "t", "left_semi")
+    rows = long_form(values, len(trees))
     start = F.create_map(*[F.lit(x) for i, t in enumerate(trees) for x in (i, t.warmup)])
     return rank_long(rows.where(F.col("t") >= start[F.col("k")]))
 
@@ -81,14 +84,20 @@ def ic_summary(ics: DataFrame) -> DataFrame:
 def turnover(ranks: DataFrame, panel: DataFrame, signals: int) -> DataFrame:
     """k, turnover: mean over all session changes of half the absolute change of gross-normalised weights.
 
-    A missing rank is a zero weight, so the dense grid is needed: leaving the book is a trade.
+    A missing rank is a zero weight: entering and leaving the book are trades of the whole weight,
+    the leaving one on the session after the last. So present rows alone tell all changes.
     """
-    weights = ranks.withColumn("w", F.try_divide(F.col("r"), F.sum(F.abs("r")).over(Window.partitionBy("k", "t")))).select("k", "t", "inst", "w")
+    gross = F.sum(F.abs("r")).over(Window.partitionBy("k", "t"))
+    last = panel.agg(F.max("t").cast("int").alias("last"))
+    held = ranks.withColumn("w", F.try_divide(F.col("r"), gross)).select("k", "t", "inst", F.coalesce("w", F.lit(0.0)).alias("w"))
+    by = Window.partitionBy("k", "inst").orderBy("t")
+    before = F.when(F.lag("t").over(by) == F.col("t") - 1, F.lag("w").over(by)).otherwise(F.lit(0.0))
+    gone = ~F.coalesce(F.lead("t").over(by) == F.col("t") + 1, F.lit(False))
+    steps = held.select("k", "t", F.abs(F.col("w") - before).alias("came"), F.when(gone, F.abs("w")).otherwise(0.0).alias("left")).crossJoin(F.broadcast(last))
+    traded = F.when(F.col("t") > 0, F.col("came")).otherwise(0.0) + F.when(F.col("t") < F.col("last"), F.col("left")).otherwise(0.0)
+    found = steps.groupBy("k").agg((F.sum(traded) / (2 * F.nullif(F.max("last"), F.lit(0)))).alias("turnover"))
     names = panel.sparkSession.range(signals).select(F.col("id").cast("int").alias("k"))
-    grid = panel.select("t", "inst").crossJoin(F.broadcast(names)).join(weights, ["k", "t", "inst"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
-    step = F.abs(F.col("w") - F.lag("w").over(Window.partitionBy("k", "inst").orderBy("t")))
-    days = grid.withColumn("step", step).where("t > 0").groupBy("k", "t").agg((F.sum("step") / 2).alias("traded"))
-    return days.groupBy("k").agg(F.avg("traded").alias("turnover"))
+    return names.join(F.broadcast(found), "k", "left").crossJoin(F.broadcast(last)).where("last > 0").select("k", F.coalesce("turnover", F.lit(0.0)).alias("turnover"))
 
 
 def coverage(values: DataFrame, panel: DataFrame, trees: list[Expr]) -> DataFrame:
@@ -118,9 +127,15 @@ def summarise(panel: DataFrame, trees: list[Expr], horizon: int = 1, forward: Da
     start = F.create_map(*[F.lit(x) for i, t in enumerate(trees) for x in (i, t.warmup)])
     ranks = rank_long(rows.where(F.col("t") >= start[F.col("k")])).select("k", "t", "inst", "inst_idx", "r")
     forward = ranked_forward(panel, horizon, strict) if forward is None else forward
+    # One aggregate by session serves IC and dispersion.
+    paired = ranks.join(forward.select("t", "inst", "fr"), ["t", "inst"], "left").withColumn("x", F.when(F.col("fr").isNotNull(), F.col("r")))
+    days = paired.groupBy("k", "t").agg(F.count("fr").alias("n"), pair_correlation(F.col("x"), F.col("fr")).alias("ic"), F.count("*").alias("size"), F.var_samp("r").alias("v"))
+    ics = F.when(F.col("n") >= MIN_CROSS_SECTION, F.col("ic"))
+    scored = ic_summary(days.withColumn("ic", ics))
+    spread = days.groupBy("k").agg(F.coalesce(F.sqrt(F.median(F.when(F.col("size") >= MIN_CROSS_SECTION, F.col("v")))), F.lit(0.0)).alias("dispersion"))
     names = panel.sparkSession.range(len(trees)).select(F.col("id").cast("int").alias("k"))
-    out = names.join(ic_summary(daily_rank_ic(ranks, forward)), "k", "left").join(turnover(ranks, panel, len(trees)), "k", "left")
-    out = out.join(coverage(values, panel, trees), "k", "left").join(dispersion(ranks), "k", "left")
+    out = names.join(scored, "k", "left").join(turnover(ranks, panel, len(trees)), "k", "left")
+    out = out.join(coverage(values, panel, trees), "k", "left").join(spread, "k", "left")
     return out.select("k", "ic", "ic_ir", F.coalesce("turnover", F.lit(0.0)).alias("turnover"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("dispersion", F.lit(0.0)).alias("dispersion"), F.coalesce("n_scored_days", F.lit(0)).alias("n_scored_days"))
 
 

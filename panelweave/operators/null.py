@@ -41,7 +41,7 @@ def block_label_permutation(instruments: DataFrame, n_days: int, block_length: i
     salt = [F.lit(seed) if isinstance(seed, int) else seed, *[F.col(k) for k in keys]]
     place = lambda order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     ordered = base.withColumn("at", place([F.col("inst_idx")]))
-    mixed = base.select(*keys, F.col("inst_idx").alias("src"), place([F.xxhash64("inst_idx", *salt), F.col("inst_idx")]).alias("at"))
+    mixed = base.select(*keys, F.col("inst_idx").alias("src"), place([F.md5(F.concat_ws(":", F.col("inst_idx").cast("string"), *[s.cast("string") for s in salt])), F.col("inst_idx")]).alias("at"))
     return ordered.join(mixed, [*keys, "at"]).select(*keys, "inst_idx", "src")
 
 

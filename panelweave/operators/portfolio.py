@@ -37,8 +37,9 @@ def decile_returns(panel: DataFrame, tree: Expr, buckets: int = DECILES, lag: bo
     lag: a book formed at t earns from t+1 on. compat: the book earns its formation session too,
     reported one row later (how such results are sometimes published). Without lag it earns from t on.
     """
-    members = decile_membership(ranked_signals(panel, [tree]), buckets).select(F.col("t").alias("held"), "inst", "bucket")
     days = rebalance_days(panel, tree.warmup)
+    formed = days.where("is_rebalance").select("t")
+    members = decile_membership(ranked_signals(panel, [tree], sessions=formed), buckets).select(F.col("t").alias("held"), "inst", "bucket")
     order = Window.orderBy("t")
     if lag and not compat:
         days = days.withColumn("held", F.lag("held").over(order))

@@ -109,8 +109,9 @@ def _rolling(node: Expr, x: Column, y: Column | None) -> tuple[Column, Column]:
         value = F.try_divide(over(F.sum(x * t)) - oldest * over(F.sum(x)), weights.cast("double"))
     elif node.op == "ts_rank":
         present = over(F.collect_list(x))
-        less, same = F.size(F.filter(present, lambda v: v < x)), F.size(F.filter(present, lambda v: v == x))
-        value, ready = (less + (same + 1) / 2) / m, ready & x.isNotNull()
+        # Twice the rank less one: two for each smaller value, one for each equal one.
+        doubled = F.aggregate(present, F.lit(0), lambda n, v: n + F.when(v < x, 2).when(v == x, 1).otherwise(0))
+        value, ready = (doubled + 1) / (2 * m), ready & x.isNotNull()
     else:
         across = F.sqrt(over(F.var_pop(x)) * over(F.var_pop(y)))
         # greatest and least skip nulls, so the guard stands outside.

@@ -6,6 +6,7 @@ import hashlib
 import json
 import sqlite3
 import subprocess
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -25,11 +26,19 @@ class LedgerError(RuntimeError):
     """The file isn't a usable ledger."""
 
 
+class UnknownRun(LedgerError, KeyError):
+    """The ledger has no run of this id."""
+
+
+# Stages, verdicts, reasons and columns, by which ledgers are read.
+
+
 class Stage(Enum):
     GENERATED = "generated"
     SCREENED = "screened"
     GAUNTLET = "gauntlet"
-    ACCEPTED = "accepted"
+    POOL = "pool"
+    ACCEPTED = "pool"
 
 
 class Verdict(Enum):
@@ -44,6 +53,7 @@ class KillReason(Enum):
     DEGENERATE = "degenerate"
     LOW_IC = "low_ic"
     HIGH_TURNOVER = "high_turnover"
+    REDUNDANT = "redundant"
     ROBUSTNESS = "robustness"
     ERROR = "error"
 
@@ -65,7 +75,7 @@ class Trial:
     expr_str: str
     verdict: Verdict
     stage_reached: Stage
-    kill_reason: KillReason | None = None
+    kill_reason: KillReason | str | None = None
     value_hash: str | None = None
     ic: float | None = None
     ic_ir: float | None = None
@@ -93,7 +103,7 @@ _TABLES = {
     ),
     "pool": ("trial_id INTEGER PRIMARY KEY REFERENCES trials(id)", "accepted_at TEXT NOT NULL", "incremental_ic REAL"),
 }
-_GUARDED = ("runs", "trials")
+_GUARDED = ("runs", "trials", "pool")
 
 
 def engine_config() -> dict[str, Any]:
@@ -109,11 +119,17 @@ def engine_config() -> dict[str, Any]:
 
 
 def git_sha(folder: Path | None = None) -> str | None:
+    """The commit that the folder stands at, marked -dirty where it differs; None outside a repository."""
+    command = ["git", "status", "--porcelain=v2", "--branch"]
     try:
-        found = subprocess.run(["git", "rev-parse", "HEAD"], cwd=folder or Path(__file__).parent, capture_output=True, text=True, timeout=10)
-    except (OSError, subprocess.TimeoutExpired):
+        told = subprocess.run(command, cwd=folder or Path(__file__).parent, capture_output=True, text=True, timeout=10, check=True).stdout
+    except (OSError, subprocess.SubprocessError):
         return None
-    return found.stdout.strip() or None if found.returncode == 0 else None
+    lines = told.splitlines()
+    oid = next((x.split()[-1] for x in lines if x.startswith("# branch.oid ")), "(initial)")
+    if oid == "(initial)":
+        return None
+    return oid + "-dirty" * any(not x.startswith("#") for x in lines)
 
 
 def source_hash(package: Path | None = None) -> str:
@@ -129,8 +145,17 @@ def _now() -> str:
     return datetime.now(timezone.utc).isoformat()
 
 
+_LAST_RUN = [0]
+
+
+def _run_id() -> str:
+    """Unique, and later ones sort later: the time and a random part."""
+    _LAST_RUN[0] = max(time.time_ns(), _LAST_RUN[0] + 1)
+    return f"{_LAST_RUN[0]:016x}{uuid.uuid4().hex[:16]}"
+
+
 class Ledger:
-    """Runs, trials and the pool. Rows of runs and trials can't be changed or removed."""
+    """Runs, trials and the pool. No row can be changed or removed."""
 
     def __init__(self, path: str | Path):
         self.path = str(path)
@@ -158,7 +183,7 @@ class Ledger:
         engine = engine_config()
         if clash := sorted(set(config) & set(engine)):
             raise ValueError(f"config keys {clash} are the engine's own")
-        run_id = uuid.uuid4().hex
+        run_id = _run_id()
         row = (run_id, _now(), git_sha(), source_hash(), json.dumps(engine | config, sort_keys=True), data_snapshot_id)
         with self.db:
             self.db.execute("INSERT INTO runs VALUES (?, ?, ?, ?, ?, ?)", row)
@@ -167,11 +192,11 @@ class Ledger:
     def run(self, run_id: str) -> Run:
         r = self.db.execute("SELECT * FROM runs WHERE id = ?", (run_id,)).fetchone()
         if r is None:
-            raise LedgerError(f"no run {run_id}")
+            raise UnknownRun(f"no run {run_id}")
         return Run(r["id"], r["started_at"], r["git_sha"], r["source_hash"], json.loads(r["config_json"]), r["data_snapshot_id"])
 
     def log_trial(self, t: Trial) -> int:
-        row = (t.run_id, t.expr_hash, t.expr_str, t.value_hash, _now(), t.stage_reached.value, t.ic, t.ic_ir, t.ic_sign, t.turnover, t.verdict.value, t.kill_reason.value if t.kill_reason else None)
+        row = (t.run_id, t.expr_hash, t.expr_str, t.value_hash, _now(), t.stage_reached.value, t.ic, t.ic_ir, t.ic_sign, t.turnover, t.verdict.value, getattr(t.kill_reason, "value", t.kill_reason))
         with self.db:
             return self.db.execute(f"INSERT INTO trials VALUES (NULL{', ?' * len(row)})", row).lastrowid
 

@@ -6,6 +6,8 @@ import math
 from collections import Counter
 from dataclasses import asdict, dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ class ScreenConfig:
     max_degradation: float = 0.50
     min_dispersion: float = 0.01
     min_scored_days: int = 250
-    min_abs_ic: float = 0.0
+    min_abs_ic: float = 0.005
     min_ic_ir: float = 0.20
     max_turnover: float = 0.40
     horizon: int = 1
@@ -136,15 +138,21 @@ class Screen:
         for at in range(0, len(todo), batch):
             part = todo[at : at + batch]
             bodies = [body for _, _, body, _ in part]
-            try:
-                measured = measure(self.panel, bodies, self.config.horizon, self.forward, self.strict)
-                hashes = value_hashes(ranked_signals(self.panel, bodies, self.strict), *self.shape)
-            except (ValueError, ArithmeticError):
-                measured, hashes = [None] * len(part), {}
+            measured, hashes = self._measured(bodies)
             for i, (place, tree, _, gone) in enumerate(part):
                 outcomes[place] = self._judge(tree, measured[i], hashes.get(i), gone)
         return outcomes
 
+    def _measured(self, bodies: list[Expr]) -> tuple[list[dict | None], dict[int, str]]:
+        """Metrics and identities of a batch; where a batch fails, each candidate for itself, None for those that fail alone."""
+        try:
+            return measure(self.panel, bodies, self.config.horizon, self.forward, self.strict), value_hashes(ranked_signals(self.panel, bodies, self.strict), *self.shape)
+        except (ValueError, ArithmeticError, PySparkException, Py4JJavaError):
+            if len(bodies) == 1:
+                return [None], {}
+        alone = [self._measured([body]) for body in bodies]
+        return [m for found, _ in alone for m in found], {i: names[0] for i, (_, names) in enumerate(alone) if 0 in names}
+
     def _judge(self, tree: Expr, m: dict | None, digest: str | None, gone: int) -> Outcome:
         if m is None:
             return self._log(tree, KillReason.ERROR, None, None, gone)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +14,8 @@ from .functions.expr import Expr, from_string
 from .operators import budget, gauntlet, metrics, null, portfolio
 from .plans import evaluate
 from .plans.compiler import values_of
-from .plans.screen import ScreenConfig
+from .plans.ledger import open_ledger
+from .plans.screen import Screen, ScreenConfig, measure, verdict_of
 from .sources import panel as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,8 +54,32 @@ SIGNALS = ["ts_mean(close, 20)", "delta(close, 5)", "sub(close, open)", "ts_rank
 MOMENTUM = "div(ts_delay(close, 20), ts_delay(close, 60))"
 
 
+_PANELS: dict[tuple[str, str], DataFrame] = {}
+
+
 def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.weekly_panel(spark, sf_dir).df
+    """The folder's panel, cached once for a Spark application (cache() again is free, and needed after clearCache)."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _PANELS:
+        _PANELS[key] = sources.weekly_panel(spark, sf_dir).df
+    return _PANELS[key].cache()
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share; a local session without spark.checkpoint.dir may use a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _whole(panel: DataFrame) -> DataFrame:
+    """The panel with every field of a layout: those that the tables lack are constant or follow the instrument's number."""
+    made = {"adj_factor": F.lit(1.0), "lot_size": F.lit(1.0), "can_short": F.lit(1.0), "halted": (F.col("inst_idx") % 7 == 0).cast("double"), "surveillance_flag": F.lit(0.0)}
+    rest = [f for f in sources.FIELDS if f not in panel.columns and f not in made]
+    return panel.withColumns(made | {f: F.lit(None).cast("double") for f in rest})
 
 
 def _r(c, digits: int = 6):
@@ -97,34 +124,63 @@ def panel_cells(spark, sf_dir):
     return _panel(spark, sf_dir).select("t", F.col("date").cast("string").alias("date"), "inst", "inst_idx", *[_r(f, 4).alias(f) for f in _FIELDS], "sector", "is_listed")
 
 
-@_register(_P + " SELECT count(*) AS cells, count(close) AS closes, count(returns) AS n_returns, round(avg(is_listed), 6) AS listed_share, CAST(max(t) + 1 AS INTEGER) AS sessions, count(DISTINCT inst) AS instruments FROM panel")
+@_register(_P + """, changed AS (SELECT inst, t, CASE WHEN inst_idx % 4 = 0 THEN (sector + CAST(floor(t / 100) AS INTEGER)) % 5 ELSE sector END AS sector FROM panel WHERE is_listed = 1),
+    movers AS (SELECT inst, coalesce(max(CASE WHEN sector <> before THEN 1 ELSE 0 END), 0) AS moved FROM (SELECT *, lag(sector) OVER (PARTITION BY inst ORDER BY t) AS before FROM changed WHERE sector IS NOT NULL) GROUP BY 1),
+    span AS (SELECT (max(t) + 1) / 252.0 AS years, avg(CASE WHEN inst_idx % 7 = 0 THEN 1.0 ELSE 0.0 END) AS halted_share, avg(is_listed) AS listed_share FROM panel)
+    SELECT round((SELECT avg(moved) FROM movers) / years, 6) AS reclassified_per_year, (SELECT avg(moved) FROM movers) / years > 0.001 OR years < 3 AS point_in_time,
+        (SELECT count(DISTINCT inst) FROM panel WHERE inst_idx % 3 = 0) AS n_delisted, round(halted_share, 6) AS halted_share, round(listed_share, 6) AS listed_share, round(years, 6) AS years FROM span""")
 def panel_diagnostics(spark, sf_dir):
-    return _panel(spark, sf_dir).agg(
-        F.count("*").alias("cells"), F.count("close").alias("closes"), F.count("returns").alias("n_returns"), _r(F.avg("is_listed")).alias("listed_share"),
-        (F.max("t") + 1).cast("int").alias("sessions"), F.countDistinct("inst").alias("instruments"),
-    )
+    """What a layout says of itself, on sectors that move for every fourth instrument and delistings of every third."""
+    moved = F.when(F.col("inst_idx") % 4 == 0, (F.col("sector") + F.floor(F.col("t") / 100).cast("int")) % 5).otherwise(F.col("sector"))
+    df = _whole(_panel(spark, sf_dir)).withColumn("sector", moved)
+    gone = df.where("inst_idx % 3 = 0").select(F.col("inst").alias("instrument_id")).distinct()
+    out = sources.describe(sources.Panel(df), gone)
+    return out.select(*[c if c in ("point_in_time", "n_delisted") else _r(c).alias(c) for c in out.columns])
 
 
-@_register("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+@_register("SELECT CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS day, CAST(l_suppkey AS VARCHAR) AS inst, count(*) AS n FROM lineitem WHERE l_shipdate IS NOT NULL AND l_suppkey IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1")
 def panel_duplicates(spark, sf_dir):
     """Duplicate keys of a scan."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return rows.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
+    bars = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_shipdate IS NOT NULL AND l_suppkey IS NOT NULL")
+    bars = bars.select(F.to_date("l_shipdate").alias("date"), F.col("l_suppkey").cast("string").alias("instrument_id"))
+    return sources.duplicate_bars(bars).select(F.col("date").cast("string").alias("day"), F.col("instrument_id").alias("inst"), F.col("count").alias("n"))
 
 
 @_register("SELECT DISTINCT CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS day FROM lineitem WHERE CAST(l_shipdate AS DATE) NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderdate IS NOT NULL)")
 def calendar_anti(spark, sf_dir):
     """Bar dates outside the calendar."""
-    bars = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.to_date("l_shipdate").alias("day")).distinct()
-    sessions = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.to_date("o_orderdate").alias("day")).distinct()
-    return bars.join(sessions, "day", "left_anti").select(F.col("day").cast("string").alias("day"))
-
-
-@_register(_P + " SELECT inst, CAST(sum(CASE WHEN is_listed = 1 AND coalesce(before, 0) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS runs FROM (SELECT *, lag(is_listed) OVER (PARTITION BY inst ORDER BY t) AS before FROM panel) GROUP BY 1")
-def listing_runs(spark, sf_dir):
+    bars = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.to_date("l_shipdate").alias("date"))
+    sessions = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.to_date("o_orderdate").alias("date"))
+    return sources.dates_off_calendar(bars, sessions).select(F.col("date").cast("string").alias("day"))
+
+
+@_register(_P + """, runs AS (SELECT inst, sum(CASE WHEN is_listed = 1 AND coalesce(before, 0) = 0 THEN 1 ELSE 0 END) AS runs FROM (SELECT *, lag(is_listed) OVER (PARTITION BY inst ORDER BY t) AS before FROM panel) GROUP BY 1),
+    found AS (SELECT 'instruments that relist' AS problem, count(*) AS cells FROM runs WHERE runs > 1
+        UNION ALL SELECT 'infinity in a field', count(*) FROM panel WHERE t % 50 = 7 AND inst_idx = 3
+        UNION ALL SELECT 'prices on unlisted cells, carried forward', count(*) FROM panel WHERE is_listed = 0 AND inst_idx = 5
+        UNION ALL SELECT 'is_listed must be 0 or 1, never missing', count(*) FROM panel WHERE t % 100 = 3 AND inst_idx = 8)
+    SELECT problem, cells FROM found WHERE cells > 0""")
+def panel_problems(spark, sf_dir):
+    """Broken invariants of a panel that was spoilt in three places."""
     listed = F.col("is_listed") == 1
-    start = listed & ~F.lag(listed, 1, False).over(Window.partitionBy("inst").orderBy("t"))
-    return _panel(spark, sf_dir).select("inst", start.cast("int").alias("s")).groupBy("inst").agg(F.sum("s").alias("runs"))
+    spoilt = {
+        "mcap": F.when((F.col("t") % 50 == 7) & (F.col("inst_idx") == 3), F.lit(float("inf"))).otherwise(F.col("mcap")),
+        "close": F.when(~listed & (F.col("inst_idx") == 5), 1.0).otherwise(F.col("close")),
+        "is_listed": F.when((F.col("t") % 100 == 3) & (F.col("inst_idx") == 8), F.when(listed, F.lit(2.0)).otherwise(F.lit(None).cast("double"))).otherwise(F.col("is_listed")),
+    }
+    df = _whole(_panel(spark, sf_dir))
+    return sources.Panel(df.withColumns(spoilt)).problems().where("problem <> 'instruments that relist' AND problem NOT LIKE 'prices%'").unionByName(
+        sources.Panel(df.withColumn("close", spoilt["close"])).problems()
+    ).select("problem", F.col("cells").cast("long").alias("cells"))
+
+
+@_register(_P + """ SELECT t, inst, round(CAST(CAST(close AS FLOAT) AS DOUBLE), 4) AS close, round(CAST(CAST(returns AS FLOAT) AS DOUBLE), 6) AS returns, sector, CAST(CASE WHEN inst_idx % 7 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS halted
+    FROM panel WHERE is_listed = 1""")
+def layout_round_trip(spark, sf_dir):
+    """The panel written as a layout and read back through every check of the adapter."""
+    root = sources.write_layout(sources.Panel(_whole(_panel(spark, sf_dir))), _folder(spark, "layout"))
+    back = sources.LayoutAdapter(spark, root).panel().df.where("is_listed = 1")
+    return back.select("t", "inst", _r("close", 4).alias("close"), _r("returns").alias("returns"), "sector", "halted")
 
 
 @_register(_P + " SELECT t, inst, round(close, 6) AS close FROM panel WHERE t < 50 AND close IS NOT NULL")
@@ -134,14 +190,13 @@ def panel_head(spark, sf_dir):
 
 @_register(_P + """, last AS (SELECT inst, max(t) AS last_t, max(date) AS last_date FROM panel WHERE is_listed = 1 GROUP BY 1)
     SELECT panel.t, panel.inst, round(CASE WHEN panel.t = last_t AND inst_idx % 3 = 0 THEN CASE WHEN returns IS NULL THEN -0.3 ELSE (1 + returns) * 0.7 - 1 END ELSE returns END, 6) AS returns
-    FROM panel JOIN last ON last.inst = panel.inst WHERE panel.t >= last_t - 3""")
+    FROM panel JOIN last ON last.inst = panel.inst""")
 def delisting_composition(spark, sf_dir):
-    """A terminal return of -30% composed into the last listed row of every third instrument."""
-    grid = _panel(spark, sf_dir).cache()
-    last = grid.where("is_listed = 1").groupBy("inst").agg(F.max("date").alias("delist_date"), F.max("t").alias("last_t"), F.first("inst_idx").alias("i"))
+    """A terminal return of -30% composed into the last listed row of every third instrument; the whole panel."""
+    grid = _panel(spark, sf_dir)
+    last = grid.where("is_listed = 1").groupBy("inst").agg(F.max("date").alias("delist_date"), F.first("inst_idx").alias("i"))
     gone = last.where("i % 3 = 0").select(F.col("inst").alias("instrument_id"), "delist_date", F.lit(-0.3).alias("delist_return"))
-    out = sources.compose_delistings(grid, gone)
-    return out.join(last.select("inst", "last_t"), "inst").where("t >= last_t - 3").select("t", "inst", _r("returns").alias("returns"))
+    return sources.compose_delistings(grid, gone).select("t", "inst", _r("returns").alias("returns"))
 
 
 @_register("SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey, round(1.0 + 2.5 + 10.0 * sqrt(l_discount), 6) AS cost_bps FROM lineitem")
@@ -248,27 +303,44 @@ def signal_summary(spark, sf_dir):
     return out.select("k", *[_r(c).alias(c) for c in ("ic", "ic_ir", "turnover", "coverage", "dispersion")], "n_scored_days")
 
 
-_LIMITS = ScreenConfig(min_scored_days=100, min_abs_ic=0.01, max_turnover=0.3)
+_LIMITS = ScreenConfig(min_scored_days=100, min_abs_ic=0.01, max_turnover=0.3, max_degradation=0.2)
+_DEGRADED = _SUMMARY + ", fills AS (" + " UNION ALL ".join(
+    f"SELECT {k} AS k, coalesce(count(CASE WHEN v{k} IS NOT NULL AND m < {d} THEN 1 END) * 1.0 / nullif(count(v{k}), 0), 0) AS degradation FROM (SELECT v{k}, count(close) OVER (PARTITION BY inst ORDER BY t ROWS BETWEEN {d - 1} PRECEDING AND CURRENT ROW) AS m FROM vals)"
+    for k, d in ((0, 20), (3, 10))
+) + """), judged AS (SELECT everything.*, CASE WHEN coverage < 0.3 OR coalesce(degradation, 0) > 0.2 THEN 'low_coverage' WHEN dispersion < 0.01 THEN 'degenerate' WHEN n_scored_days < 100 THEN 'low_coverage'
+    WHEN ic IS NULL OR abs(ic) < 0.01 OR ic_ir IS NULL OR abs(ic_ir) < 0.2 THEN 'low_ic' WHEN turnover > 0.3 THEN 'high_turnover' END AS reason FROM everything LEFT JOIN fills USING (k))"""
 
 
-@_register(_SUMMARY + """ SELECT CAST(k AS INTEGER) AS k, CASE WHEN coverage < 0.3 THEN 'low_coverage' WHEN dispersion < 0.01 THEN 'degenerate' WHEN n_scored_days < 100 THEN 'low_coverage'
-    WHEN ic IS NULL OR abs(ic) < 0.01 OR ic_ir IS NULL OR abs(ic_ir) < 0.2 THEN 'low_ic' WHEN turnover > 0.3 THEN 'high_turnover' ELSE 'passed' END AS verdict FROM everything""")
+@_register(_DEGRADED + " SELECT CAST(k AS INTEGER) AS k, coalesce(reason, 'passed') AS verdict FROM judged")
 def screen_verdicts(spark, sf_dir):
-    """The screen's order of limits as one expression over the metrics."""
-    c, m = _LIMITS, metrics.summarise(_panel(spark, sf_dir).cache(), _trees())
-    weak = F.col("ic").isNull() | (F.abs("ic") < c.min_abs_ic) | F.col("ic_ir").isNull() | (F.abs("ic_ir") < c.min_ic_ir)
-    verdict = (
-        F.when(F.col("coverage") < c.min_coverage, "low_coverage").when(F.col("dispersion") < c.min_dispersion, "degenerate").when(F.col("n_scored_days") < c.min_scored_days, "low_coverage")
-        .when(weak, "low_ic").when(F.col("turnover") > c.max_turnover, "high_turnover").otherwise("passed")
-    )
-    return m.select("k", verdict.alias("verdict"))
-
-
-@_register(_SUMMARY + """, v AS (SELECT CASE WHEN coverage < 0.3 THEN 'low_coverage' WHEN dispersion < 0.01 THEN 'degenerate' WHEN n_scored_days < 100 THEN 'low_coverage'
-    WHEN ic IS NULL OR abs(ic) < 0.01 OR ic_ir IS NULL OR abs(ic_ir) < 0.2 THEN 'low_ic' WHEN turnover > 0.3 THEN 'high_turnover' ELSE 'passed' END AS verdict FROM everything)
-    SELECT verdict, count(*) AS n FROM v WHERE verdict <> 'passed' GROUP BY 1""")
+    """The first limit that each signal breaks."""
+    measured = measure(_panel(spark, sf_dir), _trees())
+    verdicts = [verdict_of(m, _LIMITS) for m in measured]
+    return spark.createDataFrame([(i, v.value if v else "passed") for i, v in enumerate(verdicts)], "k int, verdict string")
+
+
+def _screened(spark, sf_dir, read):
+    """What a ledger holds after a screen of the signals, some of them twice."""
+    with open_ledger(":memory:") as ledger:
+        run = ledger.start_run(_LIMITS.as_config())
+        Screen(_panel(spark, sf_dir), ledger, run, _LIMITS).screen_all([*_trees(), *_trees()[:2]])
+        return read(ledger, run)
+
+
+@_register(_DEGRADED + " SELECT reason AS verdict, count(*) AS n FROM judged WHERE reason IS NOT NULL GROUP BY 1")
 def kill_counts(spark, sf_dir):
-    return screen_verdicts(spark, sf_dir).where("verdict <> 'passed'").groupBy("verdict").agg(F.count("*").alias("n"))
+    """Kills by reason, from the ledger of a screen."""
+    counts = _screened(spark, sf_dir, lambda ledger, run: ledger.kill_counts(run))
+    return spark.createDataFrame(sorted(counts.items()), "verdict string, n long")
+
+
+@_register(_DEGRADED + ", texts(k, expr_str) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(SIGNALS)) + """)
+    SELECT expr_str, CASE WHEN reason IS NULL THEN 'passed' ELSE 'killed' END AS verdict, reason AS kill_reason, 'screened' AS stage_reached, round(ic, 6) AS ic, round(ic_ir, 6) AS ic_ir,
+        CAST(sign(ic) AS BIGINT) AS ic_sign, round(turnover, 6) AS turnover FROM judged JOIN texts USING (k)""")
+def ledger_trials(spark, sf_dir):
+    """The trials that a screen has logged, one for each hypothesis."""
+    trials = _screened(spark, sf_dir, lambda ledger, run: ledger.trials(spark, run))
+    return trials.select("expr_str", "verdict", "kill_reason", "stage_reached", _r("ic").alias("ic"), _r("ic_ir").alias("ic_ir"), "ic_sign", _r("turnover").alias("turnover"))
 
 
 @_register(_RANKS + """, first AS (SELECT k, arg_min(CASE WHEN p2 > n - 1 THEN 1 ELSE -1 END, row(t, inst_idx)) AS sign FROM ranks WHERE p2 <> n - 1 GROUP BY 1)
@@ -284,16 +356,19 @@ def rank_positions(spark, sf_dir):
     return evaluate.rank_positions(_ranks(spark, sf_dir)[1])
 
 
-def signal_identities(spark, sf_dir):
-    """Identities of signals, a rescaling and a negation; the last three are one hypothesis."""
-    trees = [*SIGNALS, "log(ts_mean(close, 20))", "sub(ts_delay(close, 5), close)"]
-    panel = _panel(spark, sf_dir).cache()
-    n, m = sources.Panel(panel).shape()
-    found = evaluate.value_hashes(metrics.ranked_signals(panel, [from_string(t) for t in trees]), n, m)
-    return spark.createDataFrame([(i, t, found[i]) for i, t in enumerate(trees)], "k int, expr string, value_hash string")
+_IDENTITIES = [*SIGNALS, "log(ts_mean(close, 20))", "sub(ts_delay(close, 5), close)"]
 
 
-QUERIES["signal_identities"] = signal_identities
+@_register(oracle.with_ranks(_IDENTITIES) + """, first AS (SELECT k, arg_min(CASE WHEN p2 > n - 1 THEN 1 ELSE -1 END, row(t, inst_idx)) AS sign FROM ranks WHERE p2 <> n - 1 GROUP BY 1),
+    placed AS (SELECT ranks.k, t, inst_idx, CAST(CASE WHEN coalesce(sign, 1) < 0 THEN 2 * (n - 1) - p2 ELSE p2 END AS BIGINT) AS position FROM ranks LEFT JOIN first USING (k)),
+    sessions AS (SELECT k, t, sha256(string_agg(inst_idx || ':' || position, ',' ORDER BY inst_idx)) AS h FROM placed GROUP BY 1, 2),
+    shape AS (SELECT (max(t) + 1) || 'x' || count(DISTINCT inst) AS shape FROM panel)
+    SELECT CAST(k AS INTEGER) AS k, substr(sha256(any_value(shape) || string_agg('|' || t || ':' || h, '' ORDER BY t)), 1, 32) AS value_hash FROM sessions CROSS JOIN shape GROUP BY 1""")
+def signal_identities(spark, sf_dir):
+    """Identities of signals, a rescaling and a negation; the last two are those of the first and the second signal."""
+    panel = _panel(spark, sf_dir)
+    found = evaluate.value_hashes(metrics.ranked_signals(panel, [from_string(t) for t in _IDENTITIES]), *sources.Panel(panel).shape())
+    return spark.createDataFrame(sorted(found.items()), "k int, value_hash string")
 
 
 # --- portfolios ------------------------------------------------------------------------------
@@ -365,14 +440,17 @@ def null_relabelled_ic(spark, sf_dir):
     return metrics.daily_rank_ic(ranks, shuffled).select("k", "t", _r("ic").alias("ic"))
 
 
+@_register(_P + f""", size AS (SELECT max(t) + 1 AS n, least({_BLOCK}, max(t) + 1) AS length FROM panel),
+    blocks AS (SELECT CAST(unnest(range(CAST(ceil(n * 1.0 / length) AS BIGINT))) AS INTEGER) AS block FROM size),
+    drawn AS (SELECT block, inst_idx, row_number() OVER (PARTITION BY block ORDER BY inst_idx) AS at, row_number() OVER (PARTITION BY block ORDER BY md5(inst_idx || ':7:' || block), inst_idx) AS mixed FROM blocks CROSS JOIN (SELECT DISTINCT inst_idx FROM panel))
+    SELECT a.block, a.inst_idx, b.inst_idx AS src FROM drawn a JOIN drawn b ON a.block = b.block AND a.at = b.mixed""")
 def block_permutation(spark, sf_dir):
     """A hashed permutation of the instruments for each block of sessions."""
-    panel = _panel(spark, sf_dir).cache()
+    panel = _panel(spark, sf_dir)
     n = panel.agg(F.max("t")).first()[0] + 1
     return null.block_label_permutation(panel.select("inst_idx").distinct(), n, min(_BLOCK, n), 7)
 
 
-QUERIES["block_permutation"] = block_permutation
 _TRIALS = _RANKS + ", tr AS (SELECT row_number() OVER (ORDER BY k, t) - 1 AS trial, abs(ic) AS abs_ic, ic FROM ics WHERE ic IS NOT NULL)"
 
 
@@ -401,18 +479,19 @@ def null_moments(spark, sf_dir):
     return m.select(_r("mean_ic").alias("mean_ic"), _r("standard_error").alias("standard_error"), "leaks", "n_trials")
 
 
-_FOLDS = gauntlet.purged_folds(357, warmup=19, horizon=1, n_folds=3, min_fold_days=60)
-
-
 def _signal_ics(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     panel, ics = _ics(spark, sf_dir)
     return panel, ics.where("k = 0").select("t", "ic")
 
 
-@_register(_RANKS + f""" SELECT fold, round(avg(ic), 6) AS ic, count(ic) AS n FROM (VALUES {', '.join(f'({f.index}, {f.start}, {f.stop})' for f in _FOLDS)}) folds(fold, start, stop)
-    LEFT JOIN (SELECT * FROM ics WHERE k = 0 AND ic IS NOT NULL) i ON i.t >= start AND i.t < stop GROUP BY 1""")
+@_register(_RANKS + """, room AS (SELECT n, CAST(floor((sessions - 20 - 20 * (n - 1)) / n) AS INTEGER) AS span FROM (SELECT max(t) + 1 AS sessions FROM panel) CROSS JOIN (SELECT unnest([1, 2, 3]) AS n)),
+    fits AS (SELECT max(n) AS n, max_by(span, n) AS span FROM room WHERE span >= 60),
+    folds AS (SELECT i AS fold, 19 + i * (span + 20) AS start, 19 + i * (span + 20) + span AS stop FROM (SELECT n, span, CAST(unnest(range(n)) AS INTEGER) AS i FROM fits WHERE n IS NOT NULL))
+    SELECT fold, round(avg(ic), 6) AS ic, count(ic) AS n FROM folds LEFT JOIN (SELECT * FROM ics WHERE k = 0 AND ic IS NOT NULL) i ON i.t >= start AND i.t < stop GROUP BY 1""")
 def purged_fold_ic(spark, sf_dir):
-    return gauntlet.fold_ics(_signal_ics(spark, sf_dir)[1], _FOLDS).select("fold", _r("ic").alias("ic"), "n")
+    panel, ics = _signal_ics(spark, sf_dir)
+    folds = gauntlet.purged_folds(panel.agg(F.max("t")).first()[0] + 1, warmup=19, horizon=1, n_folds=3, min_fold_days=60)
+    return gauntlet.fold_ics(ics, folds).select("fold", _r("ic").alias("ic"), "n")
 
 
 @_register(_RANKS + """, shifted AS (SELECT d.delay, ranks.t + d.delay AS t, inst, r FROM ranks CROSS JOIN (VALUES (0), (1), (2)) d(delay) WHERE k = 0),

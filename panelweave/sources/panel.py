@@ -161,6 +161,28 @@ class CostModel:
         )
 
 
+def duplicate_bars(bars: DataFrame) -> DataFrame:
+    """date, instrument_id, count of keys that stand more than once."""
+    return bars.groupBy("date", "instrument_id").count().where("count > 1")
+
+
+def dates_off_calendar(bars: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Dates of bars that are no sessions."""
+    return bars.select("date").distinct().join(calendar.select("date").distinct(), "date", "left_anti")
+
+
+def describe(panel: Panel, delistings: DataFrame) -> DataFrame:
+    """One row: sector changes per instrument-year, whether sectors look point-in-time, delistings, halted and listed shares."""
+    df, by = panel.df, Window.partitionBy("inst").orderBy("t")
+    known = df.where("is_listed = 1 AND sector IS NOT NULL").withColumn("changed", (F.col("sector") != F.lag("sector").over(by)).cast("int"))
+    moved = known.groupBy("inst").agg(F.coalesce(F.max("changed"), F.lit(0)).alias("changed")).agg(F.avg("changed").alias("share"))
+    span = df.agg(((F.max("t") + 1) / 252).alias("years"), F.avg("halted").alias("halted_share"), F.avg("is_listed").alias("listed_share"))
+    gone = delistings.join(df.select("inst").distinct(), F.col("instrument_id") == F.col("inst"), "left_semi").agg(F.count("*").alias("n_delisted"))
+    out = span.crossJoin(moved).crossJoin(gone)
+    rate = F.coalesce(F.col("share") / F.col("years"), F.lit(0.0))
+    return out.select(rate.alias("reclassified_per_year"), ((rate > 0.001) | (F.col("years") < 3)).alias("point_in_time"), "n_delisted", "halted_share", "listed_share", "years")
+
+
 class LayoutAdapter:
     """Panels from a folder with bars/year=Y, reference/delistings, costs/costs and calendar/sessions."""
 
@@ -201,7 +223,7 @@ class LayoutAdapter:
         return CostModel(*(float(rows[0][c]) for c in ("commission_bps", "half_spread_bps", "impact_coef")))
 
     def duplicates(self, bars: DataFrame) -> DataFrame:
-        return bars.groupBy("date", "instrument_id").count().where("count > 1")
+        return duplicate_bars(bars)
 
     def look_ahead(self) -> DataFrame:
         """Bars known only after their date; checked over all rows, whatever the range."""
@@ -209,7 +231,7 @@ class LayoutAdapter:
         return bars.where("knowledge_date > date") if "knowledge_date" in bars.columns else bars.limit(0)
 
     def off_calendar(self, bars: DataFrame) -> DataFrame:
-        return bars.select("date").distinct().join(self.calendar(), "date", "left_anti")
+        return dates_off_calendar(bars, self.calendar())
 
     def panel(self, start=None, end=None, check: bool = True) -> Panel:
         """The dense panel of a date range, with delisting returns composed into the last listed row."""
@@ -234,15 +256,7 @@ class LayoutAdapter:
         return Panel(compose_delistings(grid.withColumns(constant | flags), self.delistings(), check))
 
     def diagnostics(self, panel: Panel) -> DataFrame:
-        """One row: sector changes per instrument-year, whether sectors look point-in-time, delistings, halted and listed shares."""
-        df, by = panel.df, Window.partitionBy("inst").orderBy("t")
-        known = df.where("is_listed = 1 AND sector IS NOT NULL").withColumn("changed", (F.col("sector") != F.lag("sector").over(by)).cast("int"))
-        moved = known.groupBy("inst").agg(F.coalesce(F.max("changed"), F.lit(0)).alias("changed")).agg(F.avg("changed").alias("share"))
-        span = df.agg(((F.max("t") + 1) / 252).alias("years"), F.avg("halted").alias("halted_share"), F.avg("is_listed").alias("listed_share"))
-        gone = self.delistings().join(df.select("inst").distinct(), F.col("instrument_id") == F.col("inst"), "left_semi").agg(F.count("*").alias("n_delisted"))
-        out = span.crossJoin(moved).crossJoin(gone)
-        rate = F.coalesce(F.col("share") / F.col("years"), F.lit(0.0))
-        return out.select(rate.alias("reclassified_per_year"), ((rate > 0.001) | (F.col("years") < 3)).alias("point_in_time"), "n_delisted", "halted_share", "listed_share", "years")
+        return describe(panel, self.delistings())
 
 
 def compose_delistings(grid: DataFrame, delistings: DataFrame, check: bool = True) -> DataFrame:

@@ -1,6 +1,9 @@
 """Metrics, portfolios, identity, null and robustness on panels whose answers are known."""
 
 import math
+import random
+import sqlite3
+import subprocess
 
 import numpy as np
 import pytest
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from panelweave.functions.expr import from_string
 from panelweave.operators import budget, gauntlet, metrics, null, portfolio
 from panelweave.plans import evaluate
-from panelweave.plans.ledger import KillReason, Ledger, LedgerError, Stage, Trial, Verdict, open_ledger
+from panelweave.plans.ledger import KillReason, Ledger, LedgerError, Stage, Trial, Verdict, git_sha, open_ledger
 from panelweave.plans.screen import Screen, ScreenConfig, verdict_of
 from panelweave.sources import panel as sources
 from panelweave.sources.synthetic import SyntheticSpec, generate
@@ -394,3 +397,82 @@ def test_credentials(monkeypatch):
     monkeypatch.setenv("PANELWEAVE_DATA_KEY", "k")
     monkeypatch.setenv("PANELWEAVE_DATA_SECRET", "hush")
     assert "hush" not in repr(DataCredentials())
+
+
+def test_ledger_keeps_what_it_is_told(tmp_path):
+    with open_ledger(tmp_path / "ledger.sqlite") as ledger:
+        runs = [ledger.start_run({}) for _ in range(5)]
+        assert runs == sorted(runs) and len(set(runs)) == 5
+        ledger.log_trial(trial(runs[0], kill_reason="borrow_unavailable"))
+        ledger.log_trial(trial(runs[0], kill_reason=KillReason.REDUNDANT))
+        assert ledger.kill_counts(runs[0]) == {"borrow_unavailable": 1, "redundant": 1}
+        kept = ledger.log_trial(Trial(runs[0], "g" * 32, "log(close)", Verdict.ACCEPTED, Stage.POOL))
+        ledger.accept(kept, 0.01)
+        for statement in ("UPDATE pool SET incremental_ic = 0.9", "DELETE FROM pool"):
+            with pytest.raises(sqlite3.IntegrityError, match="append-only"):
+                ledger.db.execute(statement)
+        with pytest.raises(KeyError):
+            ledger.run("none such")
+        assert Stage.POOL.value == "pool"
+
+
+def test_a_dirty_tree_is_marked(tmp_path):
+    assert git_sha(tmp_path) is None or not git_sha(tmp_path).startswith("#")
+    git = lambda *a: subprocess.run(["git", "-c", "user.name=a", "-c", "user.email=a@b", *a], cwd=tmp_path, check=True, capture_output=True)
+    git("init")
+    assert git_sha(tmp_path) is None
+    (tmp_path / "a").write_text("1")
+    git("add", "a")
+    git("commit", "-m", "a")
+    clean = git_sha(tmp_path)
+    assert len(clean) == 40
+    (tmp_path / "b").write_text("1")
+    assert git_sha(tmp_path) == clean + "-dirty"
+
+
+def test_one_bad_candidate_does_not_take_its_batch_along(panel, tmp_path, monkeypatch):
+    from panelweave.plans import screen as module
+
+    plain = module.measure
+    monkeypatch.setattr(module, "measure", lambda grid, trees, *a: (_ for _ in ()).throw(ArithmeticError("no")) if any("mul" in str(t) for t in trees) else plain(grid, trees, *a))
+    with open_ledger(tmp_path / "ledger.sqlite") as ledger:
+        run = ledger.start_run({})
+        limits = ScreenConfig(min_scored_days=1, min_abs_ic=0.0, min_ic_ir=0.0, max_turnover=9.0, min_coverage=0.0, min_dispersion=0.0, max_degradation=1.0)
+        out = Screen(panel, ledger, run, limits).screen_all([from_string(t) for t in ("close", "mul(close, volume)", "volume")])
+        assert [o.reason for o in out][1] is KillReason.ERROR and KillReason.ERROR not in (out[0].reason, out[2].reason)
+        assert ledger.trial_count(run) == 3 and ScreenConfig().min_abs_ic == 0.005
+
+
+def test_a_gauntlet_refuses_a_foreign_calibration(panel):
+    class Calibration:
+        tau = 0.02
+
+        def assert_applies_to(self, snapshot, horizon):
+            if (snapshot, horizon) != ("own", 1):
+                raise null.CalibrationMismatch("another panel")
+
+    with pytest.raises(null.CalibrationMismatch):
+        gauntlet.Gauntlet(panel, calibration=Calibration(), snapshot="other")
+    assert gauntlet.Gauntlet(panel, calibration=Calibration(), snapshot="own").thresholds.min_abs_ic == 0.02
+    with pytest.raises(ValueError):
+        gauntlet.Gauntlet(panel, gauntlet.Thresholds(min_abs_ic=0.5), calibration=Calibration(), snapshot="own")
+
+
+def test_every_decision_says_why_and_what_is_wrong():
+    assert [d.version for d in gauntlet.HISTORY] == list(range(1, len(gauntlet.HISTORY) + 1)) and gauntlet.CURRENT is gauntlet.HISTORY[-1]
+    assert all(min(len(d.reason), len(d.measured), len(d.limitations)) > 40 and d.dated and d.data_snapshot_id for d in gauntlet.HISTORY)
+
+
+def test_turnover_equals_the_dense_definition(spark):
+    """Books that come, go and skip sessions, against weights on the whole grid."""
+    rnd = random.Random(2)
+    cells = {(k, t, i): rnd.uniform(-1, 1) for k in range(2) for t in range(9) for i in range(6) if rnd.random() < 0.6 and (k or t > 2)}
+    panel = spark.createDataFrame([(t, str(i)) for t in range(9) for i in range(6)], "t int, inst string")
+    ranks = spark.createDataFrame([(k, t, str(i), r) for (k, t, i), r in cells.items()], "k int, t int, inst string, r double")
+    gross = {}
+    for (k, t, _), r in cells.items():
+        gross[k, t] = gross.get((k, t), 0) + abs(r)
+    w = lambda k, t, i: cells.get((k, t, i), 0.0) / gross.get((k, t), 1)
+    want = {k: sum(abs(w(k, t, i) - w(k, t - 1, i)) for t in range(1, 9) for i in range(6)) / 2 / 8 for k in range(2)} | {2: 0.0}
+    got = {r["k"]: r["turnover"] for r in metrics.turnover(ranks, panel, 3).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
