@@ -24,8 +24,10 @@ from .sources.synthetic import SyntheticSpec, generate
 MOMENTUM = "div(ts_delay(close, 20), ts_delay(close, 250))"
 # Limits of the decile control, shapes of planted signals, and signals that find them.
 NULL_SPREAD, PLANTED_SPREAD = 0.15, 0.25
-PLANTS = {"plain": {}, "fading": {"momentum_decay": 0.5}, "narrow": {"momentum_universe": 0.5}, "rough_only": {"momentum_in_regime": True, "vol_regime": 0.4}}
-TRUE_SIGNALS = (MOMENTUM, "ts_mean(ts_delay(returns, 20), 250)", "sub(ts_delay(close, 20), ts_delay(close, 250))")
+PLANTS = {"plain": {}, "fading": {"momentum_decay": 0.36}, "narrow": {"momentum_universe": 0.5}, "rough_only": {"momentum_in_regime": True, "vol_regime": 0.4}}
+TRUE_SIGNALS = (MOMENTUM, "div(ts_delay(close, 20), ts_delay(close, 120))", "div(ts_delay(close, 10), ts_delay(close, 250))", f"rank({MOMENTUM})")
+PLAIN_STRENGTH, SHAPED_STRENGTH = 0.08, 0.12
+SEARCH_SIZES = (100, 1_000, 10_000, 100_000, 1_000_000)
 
 
 def prefix_differences(panel: DataFrame, trees: list[Expr], cuts: list[int]) -> DataFrame:
@@ -89,7 +91,8 @@ def calibrate_gauntlet(spark: SparkSession, args) -> int:
     null = [flat.run(random_tree(rng, 4)).measured for _ in range(args.trials)]
     planted = []
     for shape in PLANTS.values():
-        strong = Gauntlet(generate(spark, rng, spec(**({"momentum": 0.08} | {k: v for k, v in shape.items() if k != "vol_regime"}))).panel.df.cache())
+        strength = SHAPED_STRENGTH if shape else PLAIN_STRENGTH
+        strong = Gauntlet(generate(spark, rng, spec(**({"momentum": strength} | {k: v for k, v in shape.items() if k != "vol_regime"}))).panel.df.cache())
         planted += [strong.run(from_string(t)).measured for t in TRUE_SIGNALS]
     table = lambda rows: spark.createDataFrame([tuple(min(r[t], 1e9) for t in TESTS) for r in rows], ", ".join(f"{t} double" for t in TESTS))
     limits = budget.propose_thresholds(table(null), table(planted), {t: up for t, (up, _) in TESTS.items()})
@@ -97,10 +100,28 @@ def calibrate_gauntlet(spark: SparkSession, args) -> int:
     verdicts = spark.createDataFrame([tuple(passes(r).values()) for r in null], ", ".join(f"{t} boolean" for t in TESTS))
     pairs = [r.asDict() for r in budget.redundant_pairs(budget.rejection_correlation(verdicts, list(TESTS))).collect()]
     power = sum(all(passes(r).values()) for r in planted)
-    print(json.dumps({"limits": limits, "null": vars(budget.wilson(sum(all(passes(r).values()) for r in null), len(null))), "planted": vars(budget.wilson(power, len(planted))), "redundant": pairs}, default=str))
+    report = {"limits": limits, "null": vars(budget.wilson(sum(all(passes(r).values()) for r in null), len(null))), "planted": vars(budget.wilson(power, len(planted))), "redundant": pairs}
+    print(json.dumps(report | survival(spark, [(r["ic_magnitude"], all(v for t, v in passes(r).items() if t != "ic_magnitude")) for r in null], limits["ic_magnitude"]), default=str))
     return 0
 
 
+def survival(spark: SparkSession, null: list[tuple[float, bool]], tau: float) -> dict:
+    """Rates of robust null candidates by magnitude, and the searches that they allow.
+
+    At tau itself too few are left to tell, and the rate rises with magnitude: the highest cut with
+    enough candidates bounds it from below, and the search sizes from above.
+    """
+    samples = spark.createDataFrame(null, "magnitude double, robust boolean").cache()
+    cuts = samples.agg(*[F.percentile("magnitude", F.lit(p)).alias(n) for n, p in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))]).first().asDict() | {"tau": tau}
+    rates = [r.asDict() for r in budget.conditional_pass_rate(samples, "magnitude", "robust", cuts).collect()]
+    usable = max((r for r in rates if r["enough"]), key=lambda r: r["level"], default=None)
+    if usable is None:
+        return {"conditional": rates, "budget": None}
+    passed = sum(m >= tau for m, _ in null)
+    found = budget.SurvivalBudget(budget.wilson(passed, len(null)), budget.wilson(usable["passes"], usable["n"]))
+    return {"conditional": rates, "conditional_at": usable["cut"], "survival": found.survival, "one_survivor_at": found.budget_at(1.0), "expected": found.curve(SEARCH_SIZES)}
+
+
 def verify_momentum(spark: SparkSession, args) -> int:
     if not args.factor:
         print("a monthly factor file is needed (--factor)", file=sys.stderr)

@@ -476,3 +476,15 @@ def test_turnover_equals_the_dense_definition(spark):
     want = {k: sum(abs(w(k, t, i) - w(k, t - 1, i)) for t in range(1, 9) for i in range(6)) / 2 / 8 for k in range(2)} | {2: 0.0}
     got = {r["k"]: r["turnover"] for r in metrics.turnover(ranks, panel, 3).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_survival_takes_the_highest_cut_with_enough_candidates(spark):
+    from panelweave import tools
+
+    null_rows = [(i / 1000, i % 4 == 0) for i in range(1000)]
+    got = tools.survival(spark, null_rows, 0.999)
+    rates = {r["cut"]: r for r in got["conditional"]}
+    assert rates["p50"]["n"] == 500 and rates["tau"]["n"] == 1 and not rates["tau"]["enough"] and not rates["p99"]["enough"]
+    assert got["conditional_at"] == "p90" and got["survival"][0] == pytest.approx(0.001 * rates["p90"]["passes"] / rates["p90"]["n"])
+    assert [n for n, *_ in got["expected"]] == list(tools.SEARCH_SIZES) and tools.survival(spark, null_rows[:5], 1.0)["budget"] is None
+    assert len(tools.TRUE_SIGNALS) == 4 and all(from_string(t) for t in tools.TRUE_SIGNALS)
