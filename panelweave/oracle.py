@@ -94,9 +94,13 @@ def _value(node: Expr, name: dict[str, str]) -> list[str]:
     raise NotImplementedError(node.op)
 
 
-def with_values(texts: list[str], panel: str = PANEL) -> str:
+def _trees(texts: list[str | Expr]) -> list[Expr]:
+    return [t if isinstance(t, Expr) else from_string(t) for t in texts]
+
+
+def with_values(texts: list[str | Expr], panel: str = PANEL) -> str:
     """WITH clauses whose last table, vals, is the panel with v0, v1, ... of the expressions."""
-    trees = [from_string(t) for t in texts]
+    trees = _trees(texts)
     name: dict[str, str] = {}
     layers, table = [], "panel"
     for tree in trees:
@@ -130,9 +134,9 @@ def _rank(source: str, value: str, out: str) -> str:
     FROM {source})"""
 
 
-def with_ranks(texts: list[str], horizon: int = 1) -> str:
+def with_ranks(texts: list[str | Expr], horizon: int = 1) -> str:
     """WITH clauses up to ranks (k, t, inst, inst_idx, r, p2, n), franks (fr) and ics (k, t, ic)."""
-    trees = [from_string(t) for t in texts]
+    trees = _trees(texts)
     long = " UNION ALL ".join(f"SELECT {i} AS k, t, date, inst, inst_idx, v{i} AS v FROM vals WHERE v{i} IS NOT NULL AND t >= {t.warmup}" for i, t in enumerate(trees))
     return ",\n".join(
         [

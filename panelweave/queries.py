@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import oracle
-from .functions.expr import Expr, from_string
+from .functions.expr import Expr, from_string, jittered
 from .operators import budget, gauntlet, metrics, null, portfolio
 from .plans import evaluate
 from .plans.compiler import values_of
@@ -566,13 +566,38 @@ def conditional_pass_rate(spark, sf_dir):
     return budget.conditional_pass_rate(trials, "abs_ic", "passed", {k: v for k, v in cuts.items() if v is not None}).select("cut", "n", "passes", "enough")
 
 
+_ROBUST = from_string("ts_mean(close, 20)")
+_PROBES = jittered(_ROBUST)
+
+
+@_register(oracle.with_ranks([_ROBUST, *_PROBES]) + """, own AS (SELECT t, ic FROM ics WHERE k = 0 AND ic IS NOT NULL), o AS (SELECT avg(ic) AS overall, count(ic) AS n FROM own),
+    room AS (SELECT n, CAST(floor((sessions - 20 - 20 * (n - 1)) / n) AS INTEGER) AS span FROM (SELECT max(t) + 1 AS sessions FROM panel) CROSS JOIN (SELECT unnest([1, 2]) AS n)),
+    fits AS (SELECT max(n) AS n, max_by(span, n) AS span FROM room WHERE span >= 120),
+    folds AS (SELECT i AS fold, 19 + i * (span + 20) AS start, 19 + i * (span + 20) + span AS stop FROM (SELECT n, span, CAST(unnest(range(n)) AS INTEGER) AS i FROM fits WHERE n IS NOT NULL)),
+    fold_ic AS (SELECT fold, avg(ic) AS ic FROM folds JOIN own ON t >= start AND t < stop GROUP BY 1),
+    fold_stats AS (SELECT coalesce(avg(CASE WHEN sign(ic) = sign(overall) THEN 1.0 ELSE 0.0 END), 0) AS agree, coalesce(min(abs(ic)) / abs(any_value(overall)), 0) AS worst FROM fold_ic CROSS JOIN o),
+    shifted AS (SELECT d.delay, ranks.t + d.delay AS t, inst, r FROM ranks CROSS JOIN (VALUES (0), (1), (2)) d(delay) WHERE k = 0),
+    delay_day AS (SELECT delay, shifted.t, covar_pop(shifted.r, franks.r) / nullif(sqrt(var_pop(shifted.r) * var_pop(franks.r)), 0) AS ic FROM shifted JOIN franks ON franks.t = shifted.t AND franks.inst = shifted.inst GROUP BY 1, 2 HAVING count(*) >= 20),
+    delay_ic AS (SELECT delay, avg(ic) AS ic FROM delay_day GROUP BY 1),
+    abc AS (SELECT max(CASE WHEN delay = 0 THEN ic END) AS a, max(CASE WHEN delay = 1 THEN ic END) AS b, max(CASE WHEN delay = 2 THEN ic END) AS c FROM delay_ic),
+    steps AS (SELECT a * sign(a) AS a, (a - b) * sign(a) AS one, (b - c) * sign(a) AS two FROM abc),
+    ratios AS (SELECT k, avg(ic) * sign(any_value(overall)) / abs(any_value(overall)) AS ratio FROM ics CROSS JOIN o WHERE k > 0 AND ic IS NOT NULL GROUP BY 1),
+    vol AS (SELECT t, CASE WHEN count(returns) >= 20 THEN stddev_samp(returns) END AS vol FROM panel GROUP BY 1),
+    split AS (SELECT t, CASE WHEN vol <= (SELECT quantile_cont(vol, 0.5) FROM vol) THEN 'calm' ELSE 'rough' END AS regime FROM vol WHERE vol IS NOT NULL),
+    regimes AS (SELECT regime, avg(ic) AS ic FROM split JOIN own USING (t) GROUP BY 1),
+    placed AS (SELECT ic * sign(overall) AS a, n, row_number() OVER (ORDER BY ic * sign(overall) DESC, t) AS place FROM own CROSS JOIN o),
+    every AS (SELECT 'ic_magnitude' AS test, abs(overall) AS x FROM o
+        UNION ALL SELECT 'fold_sign', agree FROM fold_stats UNION ALL SELECT 'fold_ic', worst FROM fold_stats
+        UNION ALL SELECT 'delay_shape', CASE WHEN one IS NULL OR two IS NULL OR a = 0 THEN 1e9 WHEN two > 0 THEN one / two WHEN one <= 0 THEN 0 ELSE one / greatest(a, 1e-12) END FROM steps
+        UNION ALL SELECT 'jitter_plateau', min(ratio) FROM ratios UNION ALL SELECT 'jitter_sign', count(CASE WHEN ratio <= 0 THEN 1 END) FROM ratios
+        UNION ALL SELECT 'regime_sign', CASE WHEN count(*) = 2 THEN sum(CASE WHEN sign(ic) = sign((SELECT overall FROM o)) THEN 1 ELSE 0 END) / 2.0 ELSE 0 END FROM regimes
+        UNION ALL SELECT 'breadth', CASE WHEN any_value(n) >= 20 THEN avg(CASE WHEN place > ceil(n * 0.1) THEN a END) / abs((SELECT overall FROM o)) ELSE 0 END FROM placed)
+    SELECT test, round(least(x, 1e9), 5) AS statistic FROM every""")
 def gauntlet_statistics(spark, sf_dir):
     """All robustness statistics of one signal."""
-    result = gauntlet.Gauntlet(_panel(spark, sf_dir).cache(), n_folds=2).run(from_string("ts_mean(close, 20)"))
-    return spark.createDataFrame([(o.name, o.statistic) for o in result.outcomes], "test string, statistic double")
-
-
-QUERIES["gauntlet_statistics"] = gauntlet_statistics
+    result = gauntlet.Gauntlet(_panel(spark, sf_dir), n_folds=2).run(_ROBUST)
+    rows = spark.createDataFrame([(o.name, min(o.statistic, 1e9)) for o in result.outcomes], "test string, statistic double")
+    return rows.select("test", _r("statistic", 5).alias("statistic"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
