@@ -6,12 +6,14 @@ import ctypes
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,14 +64,24 @@ def ship(spark: SparkSession) -> None:
     context._package_shipped = True
 
 
-def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage durably."""
+#: Rows of a file of a table of narrow rows.
+FILE_ROWS = 500_000
+
+
+def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), narrow: bool = False) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: cuts lineage durably.
+
+    narrow: rows are few bytes each; they are counted first and written as files of FILE_ROWS, not one for each task.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    if narrow:
+        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+        kept.coalesce(max(1, -(-kept.count() // FILE_ROWS))).write.option("compression", "zstd").parquet(path)
+        kept.unpersist()
+    else:
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -129,14 +141,15 @@ def tidy(work, keeps: bool = False):
 
 
 def grouped(work):
-    """The same for a function of a group's rows."""
+    """The same for a function of a group's rows; groups may be many and small, so memory goes back every other second at most."""
 
     def run(pdf):
         release()
         try:
             return work(pdf)
         finally:
-            _give_back()
+            if time.monotonic() > _GIVEN[0] + 2:
+                _give_back()
 
     return run
 
@@ -154,6 +167,7 @@ _SMALL_MB = 150
 #: An option of the C library's allocator: M_ARENA_MAX.
 _ARENAS = -8
 _LEAN: list[bool] = []
+_GIVEN = [0.0]
 
 
 def _lean() -> None:
@@ -169,6 +183,7 @@ def _lean() -> None:
 
 
 def _give_back() -> None:
+    _GIVEN[0] = time.monotonic()
     try:
         with open("/proc/self/statm") as f:
             if int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") < _SMALL_MB << 20:

@@ -18,7 +18,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     bottleneck. Loops and repeated links are allowed; nulls are not links.
     """
     edges = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct()
-    edges = materialize(edges, "cc-links")
+    edges = materialize(edges, "cc-links", narrow=True)
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     steps = []
     edges = edges.where("a <> b")
@@ -27,13 +27,13 @@ def connected_components(links: DataFrame) -> DataFrame:
         least = F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("v"))).alias("m")
         own = F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("v"))
         to = both.groupBy("a").agg(least).select(F.col("a").alias("from"), F.least(F.col("m"), own)["v"].alias("to"))
-        to = materialize(to, "cc-steps")
+        to = materialize(to, "cc-steps", narrow=True)
         steps.append(to)
         ends = edges.join(to, edges["a"] == to["from"]).select(F.col("to").alias("a"), "b")
         ends = ends.join(to, ends["b"] == to["from"]).select("a", F.col("to").alias("b")).where("a <> b")
-        edges = materialize(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-links")
+        edges = materialize(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-links", narrow=True)
     # Every round's pointers are tables, so following them one after the other is one plan of joins.
     roots = nodes.select("node", F.col("node").alias("root"))
     for to in steps:
         roots = roots.join(to, roots["root"] == to["from"], "left").select("node", F.coalesce("to", "root").alias("root"))
-    return materialize(roots, "cc-roots")
+    return materialize(roots, "cc-roots", narrow=True)

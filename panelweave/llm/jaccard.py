@@ -102,11 +102,11 @@ def key_of(shingles: np.ndarray) -> int:
 #: Bits of a shingle that tell its counter, and how many of the most frequent counters are kept.
 COUNTER_BITS, COMMON = 34, 1 << 20
 
-_FIRST = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("range", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+_FIRST = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("text_hash", pa.int64()), ("range", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 
 
 def _sets(docs: DataFrame, join: JaccardJoin, bits: int, hold: int = 1 << 21) -> DataFrame:
-    """kind 0: doc_id, set size and class of each document. kind 1: by range of shingles, counters and counts."""
+    """kind 0: doc_id, set size, class and text_hash of each document. kind 1: by range of shingles, counters and counts."""
 
     def read(batches):
         shingler, held, size = Shingler(join.words), [], 0
@@ -118,12 +118,12 @@ def _sets(docs: DataFrame, join: JaccardJoin, bits: int, hold: int = 1 << 21) ->
             a = [pack_deltas(counter[edges[r] : edges[r + 1]]) for r in some]
             b = [pack_varints(times[edges[r] : edges[r + 1]]) for r in some]
             none = [None] * len(some)
-            return record(_FIRST, [[1] * len(some), none, none, none, some, a, b])
+            return record(_FIRST, [[1] * len(some), none, none, none, none, some, a, b])
 
         for batch in slices(batches):
             sets = [shingler.set_of(t) for t in texts_of(batch.column(1))]
             none = [None] * len(sets)
-            yield record(_FIRST, [[0] * len(sets), batch.column(0), [len(s) for s in sets], [key_of(s) for s in sets], none, none, none])
+            yield record(_FIRST, [[0] * len(sets), batch.column(0), [len(s) for s in sets], [key_of(s) for s in sets], batch.column(2), none, none, none])
             held += [s for s in sets if len(s)]
             size += sum(map(len, sets))
             if size >= hold:
@@ -132,7 +132,7 @@ def _sets(docs: DataFrame, join: JaccardJoin, bits: int, hold: int = 1 << 21) ->
         if held:
             yield flush()
 
-    return docs.mapInArrow(tidy(read), "kind int, doc_id long, n long, key long, range int, a binary, b binary")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(tidy(read), "kind int, doc_id long, n long, key long, text_hash long, range int, a binary, b binary")
 
 
 def _common(first: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -518,7 +518,7 @@ def _against_chunks(members: DataFrame, roots: DataFrame, join: JaccardJoin, par
     named = members.join(roots, F.col("key") == F.col("node"), "left").select("cell", "key", "shingles", "chunk", "chunks", F.coalesce("root", "key").alias("root"))
     main = named.groupBy("cell", "root").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
     left = named.join(main, "cell").where("root <> main")
-    parts = materialize(left.groupBy("cell").agg(F.ceil(F.count("*") / part_size).cast("int").alias("parts")), "jaccard-parts")
+    parts = materialize(left.groupBy("cell").agg(F.ceil(F.count("*") / part_size).cast("int").alias("parts")), "jaccard-parts", narrow=True)
     left = left.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("key", F.lit(5)), F.col("parts")).cast("int"))
     left = left.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)))
     here = named.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -540,22 +540,22 @@ def _recursion(members: DataFrame, join: JaccardJoin, region_sets: int, region_s
     for level in range(levels + 1):
         sizes = now.groupBy("cell").agg(F.count("*").alias("sets"), F.sum(F.octet_length("shingles") / 8).alias("shingles"))
         sizes = sizes.select("cell", "sets", F.greatest(F.ceil(F.col("sets") / region_sets), F.ceil(F.col("shingles") / region_shingles)).alias("chunks"))
-        sizes = materialize(sizes, "jaccard-sizes")
-        links.append(materialize(_leaves(now.join(sizes.where("chunks = 1"), "cell"), join, groups, tally), "jaccard-links"))
+        sizes = materialize(sizes, "jaccard-sizes", narrow=True)
+        links.append(materialize(_leaves(now.join(sizes.where("chunks = 1"), "cell"), join, groups, tally), "jaccard-links", narrow=True))
         large = now.join(sizes.where("chunks > 1"), "cell").withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(77)), F.col("chunks")))
         large = materialize(large, "jaccard-large")
         discard(now)
         if not large.take(1):
             break
         if level == levels:
-            links.append(materialize(_against_chunks(large, connected_components(_union(links)), join), "jaccard-links"))
+            links.append(materialize(_against_chunks(large, connected_components(_union(links)), join), "jaccard-links", narrow=True))
             break
         bucket = F.pmod(F.xxhash64("key", F.lit(level)), F.lit(central))
         nearest = [F.min(F.when(F.col("far").isNotNull() & (bucket == i), F.struct("far", "key")))["key"] for i in range(central)]
         some = F.array_compact(F.array(F.min_by("key", F.xxhash64("key", F.lit(level))), *nearest))
         picked = large.groupBy("cell", "chunks").agg(some.alias("keys")).select("cell", "chunks", F.explode("keys").alias("key"))
         by_hash = large.where(F.pmod(F.xxhash64("key", F.lit(100 + level)), F.ceil(F.col("sets") / pivots)) == 0)
-        picked = materialize(picked.unionByName(by_hash.select("cell", "chunks", "key")).distinct(), "jaccard-pivots")
+        picked = materialize(picked.unionByName(by_hash.select("cell", "chunks", "key")).distinct(), "jaccard-pivots", narrow=True)
         centres = large.select("cell", "key", "shingles").join(picked, ["cell", "key"])
         centres = centres.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1))).withColumn("pivot", F.lit(True))
         met = materialize(_measured(large.withColumn("pivot", F.lit(False)), centres, join, tally), "jaccard-met")
@@ -563,9 +563,9 @@ def _recursion(members: DataFrame, join: JaccardJoin, region_sets: int, region_s
         roots = connected_components(_union(links))
         cells = met.where("cell IS NOT NULL").join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
         grown = cells.groupBy("parent", "cell", "rest").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        grown = materialize(grown.join(sizes.select(F.col("cell").alias("parent"), "sets"), "parent"), "jaccard-grown")
+        grown = materialize(grown.join(sizes.select(F.col("cell").alias("parent"), "sets"), "parent"), "jaccard-grown", narrow=True)
         stuck = grown.where("NOT rest AND n > 0.8 * sets").select(F.col("parent").alias("cell")).distinct()
-        links.append(materialize(_against_chunks(large.join(stuck, "cell", "left_semi"), roots, join), "jaccard-links"))
+        links.append(materialize(_against_chunks(large.join(stuck, "cell", "left_semi"), roots, join), "jaccard-links", narrow=True))
         fresh = grown.join(stuck.withColumnRenamed("cell", "parent"), "parent", "left_anti").select("cell")
         now = materialize(cells.join(fresh, "cell", "left_semi").select("cell", "key", "shingles", "far"), "jaccard-cells")
         discard(large, grown)
@@ -593,13 +593,13 @@ class _Tally(AccumulatorParam):
 
 
 def jaccard_components(docs: DataFrame, join: JaccardJoin | None = None, region_sets: int = 256, region_shingles: int = 1 << 21, tally=None) -> DataFrame:
-    """Per document doc_id, n_shingles, component_id, class_id, set_key, head_key.
+    """Per document doc_id, n_shingles, component_id, class_id, set_key, head_key, text_hash.
 
     Words are runs between ASCII white space, lower-cased A to Z; a document's set is its distinct
     shingles, or its whole sequence where that has fewer words. Documents link when their sets'
     Jaccard similarity reaches the join's percentage; component_id is the smallest doc_id that
     links reach, class_id the smallest with an equal set. set_key names the set, head_key the set of the
-    component's first document. Null text and text without words have an empty set (n_shingles 0,
+    component's first document, text_hash (xxhash64) a row's text. Null text and text without words have an empty set (n_shingles 0,
     keys null) and link with nothing. Repeated rows and ids keep a row each. A null id counts as the
     largest and is returned as null; an empty table gives no rows. Other columns are not read.
     tally: an accumulator() of this module that counts pivots, windows, cells and pairs.
@@ -609,26 +609,26 @@ def jaccard_components(docs: DataFrame, join: JaccardJoin | None = None, region_
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     bits = max(6, math.ceil(math.log2(max(1, docs.count()) / 8000)))
     first = materialize(_sets(docs, join, bits), "jaccard-sets", ("kind",))
-    rows = first.where("kind = 0").select("doc_id", "n", "key")
+    rows = first.where("kind = 0").select("doc_id", "n", "key", "text_hash")
     classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    classes = materialize(classes, "jaccard-classes")
+    classes = materialize(classes, "jaccard-classes", narrow=True)
     rarity = Rarity(*_common(first, bits))
     regions = connected_components(_neighbours(_cells(docs.select("text"), join, rarity, bits), join))
-    regions = materialize(regions.join(classes, F.col("node") == F.col("key")).select("key", F.col("root").alias("label"), "rep", "n"), "jaccard-regions")
+    regions = materialize(regions.join(classes, F.col("node") == F.col("key")).select("key", F.col("root").alias("label"), "rep", "n"), "jaccard-regions", narrow=True)
     wanted = regions.select("key", F.col("label").alias("cell"))
     members = _members(docs, _filter(regions), join).join(wanted, "key").dropDuplicates(["key"])
     total = regions.agg(F.sum("n")).first()[0] or 0
     shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     roots = connected_components(_recursion(members, join, region_sets, region_shingles, max(4 * shuffles, total // 500_000 + 1), tally))
     named = classes.join(roots, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
-    named = materialize(named, "jaccard-roots")
+    named = materialize(named, "jaccard-roots", narrow=True)
     heads = named.groupBy("root").agg(F.min(F.struct("rep", "key")).alias("head"))
     named = named.join(heads, "root").select("key", "rep", F.col("head.rep").alias("component"), F.col("head.key").alias("head_key"))
-    full = rows.where("n > 0").join(named, "key").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("rep").alias("class_id"), F.col("key").alias("set_key"), "head_key")
+    full = rows.where("n > 0").join(named, "key").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("rep").alias("class_id"), F.col("key").alias("set_key"), "head_key", "text_hash")
     none = F.lit(None).cast("long")
-    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), none.alias("set_key"), none.alias("head_key"))
+    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), none.alias("set_key"), none.alias("head_key"), "text_hash")
     known = lambda c: F.when(F.col(c) != last, F.col(c)).alias(c)
-    return full.unionByName(empty).select(known("doc_id"), "n_shingles", known("component_id"), known("class_id"), "set_key", "head_key")
+    return full.unionByName(empty).select(known("doc_id"), "n_shingles", known("component_id"), known("class_id"), "set_key", "head_key", "text_hash")
 
 
 def set_key_column(join: JaccardJoin, text):

@@ -238,16 +238,16 @@ def learn_contexts(docs: DataFrame, rounds: int = 3, reliable: float = 0.8, supp
     Seeds score one. The graph is a table; the driver fetches the final patterns `at_once` at a time.
     """
     text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    edges = materialize(_edges(text).groupBy("pattern", "instance", "kind").agg(F.sum("n").alias("n")), "pii-edges")
-    seeds = materialize(edges.where("kind IS NOT NULL").groupBy("instance", "kind").agg(F.lit(1.0).alias("ri")), "pii-seeds")
+    edges = materialize(_edges(text).groupBy("pattern", "instance", "kind").agg(F.sum("n").alias("n")), "pii-edges", narrow=True)
+    seeds = materialize(edges.where("kind IS NOT NULL").groupBy("instance", "kind").agg(F.lit(1.0).alias("ri")), "pii-seeds", narrow=True)
     accepted = seeds
     for turn in range(rounds):
         scores = score_patterns(edges, accepted)
-        good = materialize(scores.where((F.col("strings") >= support) & (F.col("r") >= reliable)).select("pattern", "kind", "r"), "pii-scores")
+        good = materialize(scores.where((F.col("strings") >= support) & (F.col("r") >= reliable)).select("pattern", "kind", "r"), "pii-scores", narrow=True)
         if turn == rounds - 1:
             break
         others = edges.where("kind IS NULL").select("pattern", "instance").join(good, "pattern").groupBy("instance", "kind").agg(F.max("r").alias("ri"))
-        accepted = materialize(seeds.unionByName(others.join(seeds, "instance", "left_anti").select("instance", "kind", "ri")), "pii-accepted")
+        accepted = materialize(seeds.unionByName(others.join(seeds, "instance", "left_anti").select("instance", "kind", "ri")), "pii-accepted", narrow=True)
     best = good.groupBy("pattern").agg(F.max(F.struct("r", "kind")).alias("best")).select("pattern", F.col("best.kind").alias("kind"))
     passes, found = max(1, -(-best.count() // at_once)), {}
     for k in range(passes):
