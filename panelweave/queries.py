@@ -14,7 +14,7 @@ from .functions.expr import Expr, from_string, jittered
 from .operators import budget, gauntlet, metrics, null, portfolio
 from .plans import evaluate
 from .plans.compiler import values_of
-from .plans.ledger import open_ledger
+from .plans.ledger import Stage, Trial, Verdict, open_ledger
 from .plans.screen import Screen, ScreenConfig, measure, verdict_of
 from .sources import panel as sources
 
@@ -206,6 +206,13 @@ def trade_costs(spark, sf_dir):
     return rows.select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", _r(cost).alias("cost_bps"))
 
 
+@_register(_P + " SELECT t, inst, round(close, 4) AS close, sector, CAST(is_listed AS DOUBLE) AS is_listed FROM panel WHERE t < 200")
+def cache_round_trip(spark, sf_dir):
+    """The first 200 sessions, kept as a panel cache and read back by their columns."""
+    path = sources.write_cache(sources.Panel(_panel(spark, sf_dir)).head(200), _folder(spark, "cache"))
+    return sources.read_cache(spark, path).df.select("t", "inst", _r("close", 4).alias("close"), "sector", "is_listed")
+
+
 # --- windows ---------------------------------------------------------------------------------
 
 
@@ -343,6 +350,35 @@ def ledger_trials(spark, sf_dir):
     return trials.select("expr_str", "verdict", "kill_reason", "stage_reached", _r("ic").alias("ic"), _r("ic_ir").alias("ic_ir"), "ic_sign", _r("turnover").alias("turnover"))
 
 
+@_register(_DEGRADED + ", texts(k, expr_str) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(SIGNALS)) + ") SELECT expr_str, round(abs(ic), 6) AS incremental_ic FROM judged JOIN texts USING (k) WHERE coalesce(reason, 'high_turnover') = 'high_turnover'")
+def pool_members(spark, sf_dir):
+    """Signals that pass the screen but for their turnover, accepted into the pool and read back with their trials."""
+
+    def accept(ledger, run):
+        for r in ledger.trials(spark, run).where("coalesce(kill_reason, 'high_turnover') = 'high_turnover'").collect():
+            kept = ledger.log_trial(Trial(run, r["expr_hash"], r["expr_str"], Verdict.ACCEPTED, Stage.POOL, None, r["value_hash"], r["ic"], r["ic_ir"], r["ic_sign"], r["turnover"]))
+            ledger.accept(kept, abs(r["ic"]))
+        return [(e.expr_str, e.incremental_ic) for e in ledger.pool_entries(run)]
+
+    rows = spark.createDataFrame(_screened(spark, sf_dir, accept), "expr_str string, incremental_ic double")
+    return rows.select("expr_str", _r("incremental_ic").alias("incremental_ic"))
+
+
+_TWINS = [SIGNALS[0], f"rank({SIGNALS[0]})", f"log({SIGNALS[0]})", SIGNALS[0]]
+
+
+@_register("SELECT CAST(4 AS INTEGER) AS seen, CAST(1 AS INTEGER) AS structural_duplicates, CAST(2 AS INTEGER) AS semantic_collapses, CAST(1 AS INTEGER) AS elided_nodes, CAST(1 AS INTEGER) AS logged")
+def screen_report(spark, sf_dir):
+    """One hypothesis in four spellings: a repetition, a rank at the root, and a rescaling collapse into one logged trial."""
+    with open_ledger(":memory:") as ledger:
+        limits = ScreenConfig(min_scored_days=1, min_coverage=0.0, max_degradation=1.0, min_dispersion=0.0)
+        screen = Screen(_panel(spark, sf_dir), ledger, ledger.start_run(limits.as_config()), limits)
+        screen.screen_all([from_string(t) for t in _TWINS])
+        r = screen.report
+    names = ("seen", "structural_duplicates", "semantic_collapses", "elided_nodes", "logged")
+    return spark.createDataFrame([tuple(getattr(r, n) for n in names)], ", ".join(f"{n} int" for n in names))
+
+
 @_register(_RANKS + """, first AS (SELECT k, arg_min(CASE WHEN p2 > n - 1 THEN 1 ELSE -1 END, row(t, inst_idx)) AS sign FROM ranks WHERE p2 <> n - 1 GROUP BY 1)
     SELECT DISTINCT CAST(ranks.k AS INTEGER) AS k, CAST(coalesce(sign, 1) AS INTEGER) AS sign FROM ranks LEFT JOIN first USING (k)""")
 def orientation(spark, sf_dir):
