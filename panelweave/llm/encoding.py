@@ -17,8 +17,8 @@ _RUN = f"[{_LATIN}]++(?![^\\x00-@\\[-`{{-\\x7f])"
 _LEADING = re.compile(f" ?{_RUN}| ?[^ \\n]+|[ \\n]+(?![^ \\n])|[ \\n]+")
 _DROPPED = re.compile(f"{_RUN}|[^ \\n]+")
 _WORD = re.compile(f" ?[{_LATIN}]+")
-#: Bytes of a kept chunk and its ids besides their lengths.
-_ENTRY = 190
+#: Bytes that a kept chunk of a dozen characters and its ids take.
+_ENTRY = 215
 
 
 def _byte_characters() -> dict[int, str]:
@@ -49,6 +49,18 @@ def _mode(spec: dict) -> str:
     return "whole"
 
 
+class _Known(dict):
+    """Ids of chunks; those it lacks are learned when they are asked for."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, chunk: str) -> bytes | None:
+        value = self[chunk] = self.learn(chunk)
+        return value
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, without special tokens added.
 
@@ -58,17 +70,16 @@ class Encoder:
     Chunks are kept up to about `limit` bytes, and as many from before in case they come again.
     """
 
-    def __init__(self, path: str, limit: int = 28 << 20):
+    def __init__(self, path: str, limit: int = 96 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.mode = _mode(json.load(f))
-        self.limit = limit
+        self.chunks = max(1, limit // _ENTRY)
         self.model, self.stand_ins = self.tokenizer.model, _byte_characters()
         self.blank = self.stand_ins[32]
-        self.held = 0
-        self.known: dict[str, bytes | None] = {}
+        self.known = _Known(self._learn)
         self.before: dict[str, bytes | None] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -83,43 +94,34 @@ class Encoder:
             word = word.encode().decode("latin-1").translate(self.stand_ins)
         return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
-    def _learn(self, chunks: set[str]) -> None:
-        known, before, rest = self.known, self.before, []
-        for c in chunks:
-            if before.get(c) is not None:
-                known[c] = before[c]
-                continue
-            letters = c[1:] if c[0] == " " else c
-            if letters.isascii() and letters.isalpha() or _WORD.fullmatch(c):
-                known[c] = self._word(c)
-            else:
-                rest.append(c)
-        known.update(zip(rest, self._library(rest), strict=True))
-        self.held += sum(_ENTRY + len(c) + len(known[c]) for c in chunks)
-        if self.mode == "leading":
-            known.update((c, None) for c in rest if _OTHER_SPACE.search(c))
+    def _learn(self, chunk: str) -> bytes | None:
+        """Ids of a chunk; None where its white space sends the whole text the long way."""
+        found = self.before.get(chunk)
+        if found is not None:
+            return found
+        letters = chunk[1:] if chunk[0] == " " else chunk
+        if letters.isascii() and letters.isalpha() or _WORD.fullmatch(chunk):
+            return self._word(chunk)
+        if self.mode == "leading" and _OTHER_SPACE.search(chunk):
+            return None
+        return self._library([chunk])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.mode == "whole":
             return self._library(texts)
         find = (_DROPPED if self.mode == "dropped" else _LEADING).findall
-        parts = [find(t) for t in texts]
-        missing = set().union(*parts).difference(self.known)
-        if missing:
-            if self.held > self.limit:
-                self.before, self.known, self.held = self.known, {}, 0
-                missing = set().union(*parts)
-            self._learn(missing)
+        if len(self.known) > self.chunks:
+            self.before, self.known = self.known, _Known(self._learn)
         get, out = self.known.__getitem__, []
-        for text, chunks in zip(texts, parts, strict=True):
+        for text in texts:
             try:
-                out.append(b"".join(map(get, chunks)))
+                out.append(b"".join(map(get, find(text))))
             except TypeError:
                 out.append(self._library([text])[0])
         return out
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder of this file."""
+def encoder(path: str, limit: int = 96 << 20) -> Encoder:
+    """The worker's encoder of this file, which keeps up to twice `limit` bytes."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return worker_state(f"encoder {path}", lambda: Encoder(path))
+    return worker_state(f"encoder {limit} {path}", lambda: Encoder(path, limit))

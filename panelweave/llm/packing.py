@@ -119,14 +119,14 @@ PIECES = pa.schema(
 )
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int, cache: int) -> DataFrame:
     """One row per piece of each document, with its running number among the task's pieces of its length."""
 
     def cut(batches):
         task, seen = TaskContext.get().partitionId(), np.zeros(max_tokens + 1, dtype=np.int64)
         end = int(end_id).to_bytes(4, "little")
         for batch in slices(batches):
-            ids = encoder(tokenizer).encode(texts_of(batch.column(1)))
+            ids = encoder(tokenizer, cache).encode(texts_of(batch.column(1)))
             out = [[] for _ in PIECES]
             for doc, code in zip(batch.column(0).to_pylist(), ids, strict=True):
                 code += end
@@ -143,17 +143,18 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int) -> Dat
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: Capacity | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: Capacity | None = None, cache: int = 96 << 20) -> DataFrame:
     """Pack all documents into sequences of at most `capacity.tokens` ids.
 
     A document is its text's ids and then `end_id`; only documents longer than a sequence are
     cut. Returns per piece doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     Null or empty text: the end id alone. Null or repeated ids: each row is a document of its
-    own. An empty table gives no rows. Other columns of `docs` are not read.
+    own. An empty table gives no rows. Other columns of `docs` are not read. cache: bytes of
+    encoded words that a worker may keep, twice.
     """
     capacity = capacity or Capacity()
-    cut = materialize(pieces(docs, tokenizer, end_id, capacity.tokens), "pieces")
-    counted = materialize(cut.groupBy("task", "length").agg(F.count("*").alias("n")), "piece-counts")
+    cut = materialize(pieces(docs, tokenizer, end_id, capacity.tokens, cache), "pieces")
+    counted = materialize(cut.groupBy("task", "length").agg(F.count("*").alias("n")), "piece-counts", narrow=True)
     totals = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = docs.sparkSession.sparkContext.broadcast(plan_bins(totals, capacity))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
@@ -167,7 +168,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: C
             bins, offset = place(plan.value, length, number)
             yield record(schema, [*batch.columns[:5], pa.array(bins), pa.array(offset)])
 
-    numbered = cut.join(bases, ["task", "length"]).select(
+    numbered = cut.join(bases.hint("shuffle_merge"), ["task", "length"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("number")
     )
     return numbered.mapInArrow(

@@ -103,7 +103,7 @@ def _tokenized(docs: DataFrame, tokenizer: str, end_id: int, image_tokens: int)
             return tokens, record(schema, [[0], [shard], [seq], [head], [body]])
 
         for batch in slices(batches):
-            codes = encoder(tokenizer).encode(texts_of(batch.column(1)))
+            codes = encoder(tokenizer, 144 << 20).encode(texts_of(batch.column(1)))
             for doc, code in zip(batch.column(0).to_pylist(), codes, strict=True):
                 held.append((doc, code + end))
                 size += len(code) // 4 + 1
@@ -132,8 +132,8 @@ def _tokenized(docs: DataFrame, tokenizer: str, end_id: int, image_tokens: int)
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, image_tokens: int = 1 << 20) -> TokenFiles:
     """Encode every whole text, append `end_id`, and write the ids in ascending doc_id order.
 
-    Shards are ranges of doc_id; documents with equal ids are ordered by their text. A null id
-    comes first. Null text counts as empty. Other columns are not read.
+    Shards are ranges of doc_id; documents with equal ids are ordered by a hash of their text. A null
+    id comes first. Null text counts as empty. Other columns are not read.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -142,13 +142,24 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, image_to
     ordered = keys.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     blocks = materialize(_tokenized(ordered, tokenizer, end_id, image_tokens), "token-blocks", ("kind",))
 
-    counts = np.zeros(0, dtype=np.int64)
-    tallies = blocks.where("kind = 1").select("docs", "ids")
-    for row in tallies.toLocalIterator():  # a vector of the vocabulary's size from each task, one task at a time
-        used, count = np.frombuffer(row["docs"], "<u4"), np.frombuffer(row["ids"], "<i8")
-        if used[-1] >= len(counts):
-            counts = np.pad(counts, (0, int(used[-1]) + 1 - len(counts)))
-        counts[used] += count
+    tally = pa.schema([("counts", pa.binary())])
+
+    def total(batches):
+        counts = np.zeros(0, dtype=np.int64)
+        for batch in slices(batches, 16):
+            for used, count in zip(batch.column(0), batch.column(1), strict=True):
+                used, count = np.frombuffer(used.as_buffer(), "<u4"), np.frombuffer(count.as_buffer(), "<i8")
+                if used[-1] >= len(counts):
+                    counts = np.pad(counts, (0, int(used[-1]) + 1 - len(counts)))
+                counts[used] += count
+        yield record(tally, [[counts.tobytes()]])
+
+    # A vector of the vocabulary's size from each of at most 32 tasks.
+    parts = blocks.where("kind = 1").select("docs", "ids").coalesce(32).mapInArrow(tidy(total), "counts binary").collect()
+    parts = [np.frombuffer(bytes(r["counts"]), "<i8") for r in parts]
+    counts = np.zeros(max(map(len, parts), default=0), dtype=np.int64)
+    for part in parts:
+        counts[: len(part)] += part
     ranking = np.argsort(-counts, kind="stable").astype("<u4")
     rank_of = np.zeros(len(ranking), dtype="<u4")
     rank_of[ranking] = np.arange(len(ranking), dtype="<u4")
