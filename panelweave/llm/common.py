@@ -135,7 +135,7 @@ def tidy(work, keeps: bool = False):
         try:
             yield from work(batches)
         finally:
-            _give_back()
+            _give_back(every=10.0 if keeps else 0.0)
 
     return run
 
@@ -148,8 +148,7 @@ def grouped(work):
         try:
             return work(pdf)
         finally:
-            if time.monotonic() > _GIVEN[0] + 2:
-                _give_back()
+            _give_back(every=2.0)
 
     return run
 
@@ -182,8 +181,12 @@ def _lean() -> None:
         pass
 
 
-def _give_back() -> None:
-    _GIVEN[0] = time.monotonic()
+def _give_back(every: float = 0.0) -> None:
+    """Collect what nothing refers to and hand it to the system; not again within `every` seconds."""
+    now = time.monotonic()
+    if now < _GIVEN[0] + every:
+        return
+    _GIVEN[0] = now
     try:
         with open("/proc/self/statm") as f:
             if int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") < _SMALL_MB << 20:

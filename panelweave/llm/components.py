@@ -32,8 +32,10 @@ def connected_components(links: DataFrame) -> DataFrame:
         ends = edges.join(to, edges["a"] == to["from"]).select(F.col("to").alias("a"), "b")
         ends = ends.join(to, ends["b"] == to["from"]).select("a", F.col("to").alias("b")).where("a <> b")
         edges = materialize(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-links", narrow=True)
-    # Every round's pointers are tables, so following them one after the other is one plan of joins.
+    # Every round's pointers are tables, so following them one after the other is a plan of joins, eight at a time.
     roots = nodes.select("node", F.col("node").alias("root"))
-    for to in steps:
+    for n, to in enumerate(steps):
+        if n and n % 8 == 0:
+            roots = materialize(roots, "cc-roots", narrow=True)
         roots = roots.join(to, roots["root"] == to["from"], "left").select("node", F.coalesce("to", "root").alias("root"))
     return materialize(roots, "cc-roots", narrow=True)

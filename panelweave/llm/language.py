@@ -165,13 +165,13 @@ def fit_language(docs: DataFrame, max_documents: int = 4000, modulus: int = 4, l
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), modulus))
     usable = rows.where(F.octet_length("text") >= WINDOW // 8).select("lang", "doc_id", F.xxhash64("doc_id").alias("hash"))
-    usable = usable.withColumn("part", F.shiftright("hash", 54))
-    counts = materialize(usable.groupBy("lang", "part").agg(F.count("*").alias("n")), "language-counts")
+    usable = usable.withColumn("part", F.shiftright("hash", 46))
+    counts = materialize(usable.groupBy("lang", "part").agg(F.count("*").alias("n")), "language-counts", narrow=True)
     languages = counts.select("lang").distinct().count()
     if not languages:
         return LanguageModel((), (), np.zeros(0), np.zeros(0), np.zeros(0))
     share = max(least, max_documents // languages)
-    # Parts of the hash that hold the first documents of a language; at most one part of it is taken in vain.
+    # Parts of the hash (2^18 of them) that hold the first documents of a language; at most one part of it is taken in vain.
     before = F.sum("n").over(Window.partitionBy("lang").orderBy("part")) - F.col("n")
     parts = counts.withColumn("before", before).where(F.col("before") < share).select("lang", "part")
     first = usable.join(F.broadcast(parts), ["lang", "part"]).select("lang", "hash", "doc_id").collect()

@@ -74,15 +74,25 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], rounds: i
     sides = (row[:cut], col[:cut]), (row[cut:] - sizes[0], col[cut:])
     p, u, apart = _separation(*sides, sizes, len(words))
     prior = estimate_prior(p, u, apart)
-    first, _ = _descend(*sides, sizes, prior, penalty / 16 / np.maximum(apart / 4, 1e-2) ** 6, rounds, rate)
+    charge = penalty / 16 / np.maximum(apart / 4, 1e-2) ** 6
+    # No gradient is larger than this, so a word under a larger penalty would never leave zero.
+    moved = np.flatnonzero(charge < prior * p + u)
+    sides = _restricted(sides, moved, len(words))
+    first, _ = _descend(*sides, sizes, prior, charge[moved], rounds, rate)
     kept = np.flatnonzero(first)
-    number = np.full(len(words), -1)
-    number[kept] = np.arange(len(kept))
-    sides = tuple((r[at], c[at]) for r, c in ((r, number[c]) for r, c in sides) for at in [c >= 0])
+    sides = _restricted(sides, kept, len(moved))
+    kept = moved[kept]
     weights, bias = _descend(*sides, sizes, prior, np.full(len(kept), 1e-4), rounds, rate)
     return ToxicModel(dict(zip(words[kept].tolist(), weights.tolist(), strict=True)), bias)
 
 
+def _restricted(sides, kept: np.ndarray, words: int):
+    """Both sides with only these words, numbered anew."""
+    number = np.full(words, -1, dtype=np.int32)
+    number[kept] = np.arange(len(kept), dtype=np.int32)
+    return tuple((r[at], c[at]) for r, c in ((r, number[c]) for r, c in sides) for at in [c >= 0])
+
+
 def _descend(
     positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray], sizes: tuple[int, int], prior: float, penalty: np.ndarray, rounds: int, rate: float
 ) -> tuple[np.ndarray, float]:
@@ -143,7 +153,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, m
     told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     told = told.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"), modulus))
     def first_ids(df: DataFrame, n: int) -> list[int]:
-        return [r[0] for r in df.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
+        ids, total = df.select("doc_id", F.xxhash64("doc_id").alias("hash")), df.count()
+        if total > 8 * n:
+            # Tasks would each send n rows: a part of the hash that should hold twice as many does, unless ids repeat.
+            few = ids.where(F.col("hash") < -(1 << 63) + (1 << 64) * 2 * n // total)
+            ids = few if few.count() >= n else ids
+        return [r[0] for r in ids.orderBy("hash", "doc_id").limit(n).collect()]
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus))
