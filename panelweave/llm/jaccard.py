@@ -389,14 +389,14 @@ def join_region(sets: list[np.ndarray], join: JaccardJoin, seen: Counter | None
 FILTER_BITS, FILTER_PART = 27, 16
 
 
-def _places(key: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
-    """Filter places of (class, document)."""
-    mixed = _mix(key.astype(np.int64).view(np.uint64) * _SPREAD + _mix(doc_id.astype(np.int64).view(np.uint64)))
+def _places(text_hash: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    """Filter places of (text, document)."""
+    mixed = _mix(text_hash.astype(np.int64).view(np.uint64) * _SPREAD + _mix(doc_id.astype(np.int64).view(np.uint64)))
     return (mixed >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
 def _filter(wanted: DataFrame) -> np.ndarray:
-    """Packed bits of the rows (key, rep) of `wanted`."""
+    """Packed bits of the rows (text_hash, rep) of `wanted`."""
     schema = pa.schema([("part", pa.int32()), ("bits", pa.binary())])
 
     def bits(batches):
@@ -417,28 +417,26 @@ def _filter(wanted: DataFrame) -> np.ndarray:
         return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "bits": [np.packbits(out).tobytes()]})
 
     table = np.zeros((1 << (FILTER_BITS - FILTER_PART), 1 << (FILTER_PART - 3)), dtype=np.uint8)
-    for r in wanted.select("key", "rep").mapInArrow(tidy(bits), "part int, bits binary").groupBy("part").applyInPandas(grouped(merge), "part int, bits binary").collect():
+    for r in wanted.select("text_hash", "rep").mapInArrow(tidy(bits), "part int, bits binary").groupBy("part").applyInPandas(grouped(merge), "part int, bits binary").collect():
         table[r["part"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return table.ravel()
 
 
 def _members(docs: DataFrame, wanted: np.ndarray, join: JaccardJoin) -> DataFrame:
-    """key, n, shingles of documents in the filter, read again from their text."""
+    """key and shingles of documents in the filter, read again from their text; no other text is cut into words."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
     schema = pa.schema([("key", pa.int64()), ("shingles", pa.binary())])
 
     def read(batches):
         shingler = Shingler(join.words)
         for batch in slices(batches):
-            sets = [shingler.set_of(t) for t in texts_of(batch.column(1))]
-            keys = np.array([key_of(s) for s in sets], dtype=np.int64)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            at = _places(keys, ids)
+            at = _places(batch.column(2).to_numpy(), batch.column(0).to_numpy(zero_copy_only=False))
             hit = (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-            some = [i for i in np.flatnonzero(hit) if len(sets[i])]
-            yield record(schema, [keys[some], [sets[i].tobytes() for i in some]])
+            if hit.any():
+                sets = [s for t in texts_of(batch.column(1).filter(pa.array(hit.astype(bool)))) if len(s := shingler.set_of(t))]
+                yield record(schema, [[key_of(s) for s in sets], [s.tobytes() for s in sets]])
 
-    return docs.mapInArrow(tidy(read), "key long, shingles binary")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(tidy(read), "key long, shingles binary")
 
 
 def _leaves(members: DataFrame, join: JaccardJoin, groups: int, tally=None) -> DataFrame:
@@ -610,11 +608,12 @@ def jaccard_components(docs: DataFrame, join: JaccardJoin | None = None, region_
     bits = max(6, math.ceil(math.log2(max(1, docs.count()) / 8000)))
     first = materialize(_sets(docs, join, bits), "jaccard-sets", ("kind",))
     rows = first.where("kind = 0").select("doc_id", "n", "key", "text_hash")
-    classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    classes = rows.where("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("n").alias("n"))
+    classes = classes.select("key", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("text_hash"), "n")
     classes = materialize(classes, "jaccard-classes", narrow=True)
     rarity = Rarity(*_common(first, bits))
     regions = connected_components(_neighbours(_cells(docs.select("text"), join, rarity, bits), join))
-    regions = materialize(regions.join(classes, F.col("node") == F.col("key")).select("key", F.col("root").alias("label"), "rep", "n"), "jaccard-regions", narrow=True)
+    regions = materialize(regions.join(classes, F.col("node") == F.col("key")).select("key", F.col("root").alias("label"), "rep", "text_hash", "n"), "jaccard-regions", narrow=True)
     wanted = regions.select("key", F.col("label").alias("cell"))
     members = _members(docs, _filter(regions), join).join(wanted, "key").dropDuplicates(["key"])
     total = regions.agg(F.sum("n")).first()[0] or 0
