@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import materialize, ship
-from panelweave.llm.jaccard import JaccardJoin, jaccard_components, set_key_column
+from panelweave.llm.common import discard, materialize, ship
+from panelweave.llm.jaccard import JaccardJoin, jaccard_components
 from panelweave.llm.language import fit_language, language_column
 from panelweave.llm.packing import Capacity, pack_documents
 from panelweave.llm.pii import learn_contexts, redact_column
@@ -26,7 +26,11 @@ def _new_name(docs: DataFrame, wish: str) -> str:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose toxicity is below TOXIC; text that is null or empty is kept."""
+    """Keep documents whose toxicity is below TOXIC, the score of a text without words being the model's bias.
+
+    Null text counts as empty. Rows are judged each: null and repeated ids stay as they are. Without
+    labels, or on an empty table, nothing goes.
+    """
     ship(spark)
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     name = _new_name(docs, "toxicity")
@@ -34,7 +38,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in which a language is found: und and probabilities below UNSURE go."""
+    """Keep documents in which a language is found: und and probabilities below UNSURE go.
+
+    Null or empty text is und; so is everything where no row has a label to learn from. Rows are
+    judged each, whatever their ids; an empty table stays empty.
+    """
     ship(spark)
     name = _new_name(docs, "language")
     found = docs.withColumn(name, language_column(fit_language(docs), F.col("text"), spark))
@@ -42,21 +50,28 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def merge_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each component of links; documents without words all stay."""
+    """Keep the document with the smallest id of each component of links; documents without words all stay.
+
+    A null id counts as the largest. Of rows that repeat a kept document's id and set of shingles one
+    stays, that of the smallest hash of its text. An empty table stays empty.
+    """
     ship(spark)
     last = F.lit((1 << 63) - 1)
-    key, doc = _new_name(docs, "set_key"), _new_name(docs, "kept_id")
+    doc, text = _new_name(docs, "kept_id"), _new_name(docs, "text_hash")
     found = jaccard_components(docs, NEAR)
-    heads = found.where("set_key = head_key AND doc_id <=> component_id")
-    heads = heads.select(F.coalesce("doc_id", last).alias(doc), F.col("set_key").alias(key)).distinct()
-    named = docs.withColumn(key, set_key_column(NEAR, F.col("text"))).withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), last))
-    # Repeats of a head (same id, same set) have met in one partition by the join's keys.
-    kept = named.where(F.col(key).isNotNull()).join(heads, [doc, key], "left_semi").dropDuplicates([doc, key])
-    return kept.unionByName(named.where(F.col(key).isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
+    heads = found.where("set_key = head_key AND doc_id <=> component_id").groupBy(F.coalesce("doc_id", last).alias(doc), "set_key").agg(F.min("text_hash").alias(text))
+    wordless = found.where("set_key IS NULL").select(F.coalesce("doc_id", last).alias(doc), F.col("text_hash").alias(text)).distinct()
+    named = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), last)).withColumn(text, F.xxhash64(F.col("text").cast("string")))
+    kept = named.join(heads.select(doc, text).distinct(), [doc, text], "left_semi").dropDuplicates([doc, text])
+    empty = named.join(wordless, [doc, text], "left_semi")
+    return kept.unionByName(empty).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace each span of personal data by its kind; n_chars follows the text where both are there."""
+    """Replace each span of personal data by its kind; n_chars follows the text where both are there.
+
+    Null text stays null, as does a null n_chars; ids aren't looked at, an empty table stays empty.
+    """
     ship(spark)
     clean = docs.withColumn("text", redact_column(learn_contexts(docs), F.col("text"), spark))
     if "n_chars" in docs.columns:
@@ -66,11 +81,14 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 ids: a row per piece."""
+    """Sequences of at most 4096 ids: a row per piece. Null text: the end id alone; repeated and null ids are documents of their own.
+
+    Workers that have served the stages before keep a smaller cache of words here.
+    """
     import public_tokenizers
 
     ship(spark)
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=Capacity(tokens=4096))
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=Capacity(tokens=4096), cache=28 << 20)
 
 
 STAGES = [
@@ -89,5 +107,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each on the written result of the one before."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    discard(docs)  # the pieces are a table by now
+    return packed
