@@ -221,10 +221,6 @@ def record(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def blob(array: np.ndarray) -> bytes:
-    return np.ascontiguousarray(array).tobytes()
-
-
 def pack_deltas(values: np.ndarray) -> bytes:
     """Ascending unsigned integers as differences, seven bits a byte, low bits first."""
     values = np.asarray(values, dtype=np.uint64)

@@ -34,7 +34,7 @@ from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, grouped, materialize, pack_deltas, pack_varints, record, slices, state_name, texts_of, tidy, unpack_deltas, unpack_varints, worker_state
+from .common import discard, grouped, materialize, pack_deltas, pack_varints, record, slices, texts_of, tidy, unpack_deltas, unpack_varints
 from .components import connected_components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -628,18 +628,3 @@ def jaccard_components(docs: DataFrame, join: JaccardJoin | None = None, region_
     empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), none.alias("set_key"), none.alias("head_key"), "text_hash")
     known = lambda c: F.when(F.col(c) != last, F.col(c)).alias(c)
     return full.unionByName(empty).select(known("doc_id"), "n_shingles", known("component_id"), known("class_id"), "set_key", "head_key", "text_hash")
-
-
-def set_key_column(join: JaccardJoin, text):
-    """The set_key of a whole text as a column: null where it has no words."""
-    name = state_name("shingler")
-
-    @F.pandas_udf("long")
-    def key(texts):
-        import pandas as pd
-
-        shingler = worker_state(name, lambda: Shingler(join.words))
-        sets = (shingler.set_of(t or "") for t in texts)
-        return pd.Series([key_of(s) if len(s) else None for s in sets], index=texts.index, dtype="Int64")
-
-    return key(text.cast("string"))
