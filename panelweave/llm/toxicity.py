@@ -68,8 +68,10 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], rounds: i
     if not positive or not unlabelled:
         return ToxicModel({}, -20.0)
     sizes = len(positive), len(unlabelled)
-    words, flat = np.unique(np.concatenate([*positive, *unlabelled]), return_inverse=True)
-    row, col = np.repeat(np.arange(sum(sizes), dtype=np.int32), [len(d) for d in (*positive, *unlabelled)]), flat.astype(np.int32)
+    flat = np.concatenate([*positive, *unlabelled])
+    words = np.unique(flat)
+    row, col = np.repeat(np.arange(sum(sizes), dtype=np.int32), [len(d) for d in (*positive, *unlabelled)]), np.searchsorted(words, flat).astype(np.int32)
+    del flat
     cut = int(np.searchsorted(row, sizes[0]))
     sides = (row[:cut], col[:cut]), (row[cut:] - sizes[0], col[cut:])
     p, u, apart = _separation(*sides, sizes, len(words))
