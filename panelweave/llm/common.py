@@ -87,13 +87,13 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), na
     return out
 
 
-def discard(*tables: DataFrame | None) -> None:
-    """Delete tables that materialize wrote, once nothing that is still to run reads them."""
+def discard(*tables: DataFrame | None, part: str = "") -> None:
+    """Delete tables that materialize wrote, or the folder `part` of them, once nothing that is still to run reads them."""
     for table in tables:
         path = getattr(table, "_scratch", None)
         if path:
             context = table.sparkSession.sparkContext
-            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place = context._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}" if part else path)
             place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 

@@ -7,7 +7,10 @@ regions around pivots, coarse to fine:
    s, so a set's cells are those of its shingles; with shingles ordered by how few documents
    use them, the triangle inequality leaves a window: two sets within t share one of their
    first n - ceil(threshold n) + 1 shingles, and their sizes differ by the threshold at most.
-   A set is replicated to the cells in its window, and cells that share a set become one region.
+   A set is replicated to the cells in its window. A sketch of each set, the parities of its counts in a
+   table, bounds its difference from another from below: a set that no other one in its cells can be
+   linked with goes, and cells that share a set that stays become one region. Chance meetings grow with
+   the corpus, and without this they would join nearly all sets to one region.
 2. Inside a region documents are pivots. |d(x,p) - d(y,p)| <= d(x,y) rules pairs out, sets
    within t of a pivot are linked at once, and a Voronoi cell holds its own sets and those within 2t of
    its border; cells are joined recursively, and only pairs that may join two components are compared.
@@ -51,6 +54,10 @@ class JaccardJoin:
     def linked(self, both: int, a: int, b: int) -> bool:
         return 100 * both >= self.percent * (a + b - both)
 
+    def may_link(self, apart, a, b):
+        """Whether sets of sizes a and b that differ by `apart` shingles or more can be linked."""
+        return (100 + self.percent) * apart <= (100 - self.percent) * (a + b)
+
     def probe_prefix(self, n: int) -> int:
         """Shingles, rarest first, of which a set shares one with any set it is linked to."""
         return n - -(-self.percent * n // 100) + 1
@@ -97,6 +104,34 @@ def key_of(shingles: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes()))))
 
 
+# --- Sketches --------------------------------------------------------------------------------
+
+
+def sketch_of(shingles: np.ndarray) -> bytes:
+    """Parities of how many shingles fall into each of 0.6 to 1.2 places a shingle, a power of two."""
+    places = max(8, 1 << math.ceil(math.log2(0.6 * len(shingles))))
+    odd = np.bincount((shingles & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row of two tables of sketches, what their sets differ by at least: an odd place has one more shingle on one side.
+
+    Halves of a longer sketch add up to the sketch of half its length.
+    """
+    width = min(a.shape[1], b.shape[1])
+    while a.shape[1] > width:
+        a = a[:, : a.shape[1] // 2] ^ a[:, a.shape[1] // 2 :]
+    while b.shape[1] > width:
+        b = b[:, : b.shape[1] // 2] ^ b[:, b.shape[1] // 2 :]
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
+def _table(sketches: list[bytes]) -> np.ndarray:
+    """Sketches of one length as rows."""
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+
+
 # --- Frequencies of shingles -----------------------------------------------------------------
 
 #: Bits of a shingle that tell its counter, and how many of the most frequent counters are kept.
@@ -106,7 +141,7 @@ _FIRST = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64
 
 
 def _sets(docs: DataFrame, join: JaccardJoin, bits: int, hold: int = 1 << 21) -> DataFrame:
-    """kind 0: doc_id, set size, class and text_hash of each document. kind 1: by range of shingles, counters and counts."""
+    """kind 0: doc_id, set size, class, text_hash and (a) sketch of each document. kind 1: by range of shingles, counters and counts."""
 
     def read(batches):
         shingler, held, size = Shingler(join.words), [], 0
@@ -123,7 +158,8 @@ def _sets(docs: DataFrame, join: JaccardJoin, bits: int, hold: int = 1 << 21) ->
         for batch in slices(batches):
             sets = [shingler.set_of(t) for t in texts_of(batch.column(1))]
             none = [None] * len(sets)
-            yield record(_FIRST, [[0] * len(sets), batch.column(0), [len(s) for s in sets], [key_of(s) for s in sets], batch.column(2), none, none, none])
+            sketches = [sketch_of(s) if len(s) else None for s in sets]
+            yield record(_FIRST, [[0] * len(sets), batch.column(0), [len(s) for s in sets], [key_of(s) for s in sets], batch.column(2), none, sketches, none])
             held += [s for s in sets if len(s)]
             size += sum(map(len, sets))
             if size >= hold:
@@ -179,9 +215,11 @@ class Rarity:
 _CELLS = pa.schema([("range", pa.int32()), ("s", pa.binary()), ("key", pa.binary()), ("n", pa.binary())])
 
 
-def thin_cells(s: np.ndarray, key: np.ndarray, n: np.ndarray, join: JaccardJoin) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def thin_cells(s: np.ndarray, key: np.ndarray, n: np.ndarray, join: JaccardJoin) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """What a task sends of its cells: their smallest and largest sets in each band of sizes, and links of the rest to them.
 
+    Last, which of the sent sets stand for others of their band.
+
     A band is half as wide as the sizes that linked sets may differ by. So a set elsewhere that is
     in the size window of any member of a band is in that of its smallest or largest one, and a
     cell that very many sets share stays small. n holds sizes with the index flag in its low bit.
@@ -197,11 +235,12 @@ def thin_cells(s: np.ndarray, key: np.ndarray, n: np.ndarray, join: JaccardJoin)
     n = (n & ~np.int64(1)) | np.maximum.reduceat(n & 1, firsts)[group]
     rest = ~keep & (key != key[firsts][group])
     pairs = np.unique(np.column_stack([key[firsts][group][rest], key[rest]]), axis=0)
-    return s[keep], key[keep], n[keep], pairs
+    stands = (np.bincount(group) > 2)[group]
+    return s[keep], key[keep], n[keep], pairs, stands[keep]
 
 
 def _cells(docs: DataFrame, join: JaccardJoin, rarity: Rarity, bits: int, hold: int = 1 << 20) -> DataFrame:
-    """By range of shingles: shingles of sets' windows (their next 32 bits), classes, sizes with an index flag.
+    """By range of shingles: shingles of sets' windows (their next 32 bits), classes, sizes with two flags: stands for others, index.
 
     Rows without shingles hold links between classes that a task has found by itself.
     """
@@ -212,7 +251,8 @@ def _cells(docs: DataFrame, join: JaccardJoin, rarity: Rarity, bits: int, hold:
         shingles, keys, sizes = [], [], []
 
         def flush():
-            s, k, n, pairs = thin_cells(np.concatenate(shingles), np.concatenate(keys), np.concatenate(sizes), join)
+            s, k, n, pairs, stands = thin_cells(np.concatenate(shingles), np.concatenate(keys), np.concatenate(sizes), join)
+            n = n >> 1 << 2 | stands << 1 | n & 1
             if len(pairs):
                 spread = [int(pairs[0, 0]) & ((1 << bits) - 1)]
                 yield record(_CELLS, [spread, [b""], [pairs[:, 0].astype("<i8").tobytes()], [pairs[:, 1].astype("<i8").tobytes()]])
@@ -247,34 +287,127 @@ def _cells(docs: DataFrame, join: JaccardJoin, rarity: Rarity, bits: int, hold:
     return docs.mapInArrow(tidy(read), "range int, s binary, key binary, n binary")
 
 
+#: A cell and size window of more sets is taken to be connected without a look at its sketches.
+LISTED = 1024
+
+
 def _neighbours(cells: DataFrame, join: JaccardJoin) -> DataFrame:
-    """Links a, b that join the classes of each cell and size window: one less than it has members."""
+    """What meets in a cell and size window: links a, b that connect its classes where sure; else two classes, or more as keys."""
 
     def star(pdf):
         import pandas as pd
 
         told = pdf["s"].map(len) == 0
         ready = [np.column_stack([np.frombuffer(x, "<i8"), np.frombuffer(y, "<i8")]) for x, y in zip(pdf["key"][told], pdf["n"][told], strict=True)]
-        ready = np.concatenate([np.zeros((0, 2), dtype=np.int64), *ready])
+        pairs, two, more = np.concatenate([np.zeros((0, 2), dtype=np.int64), *ready]), np.zeros((0, 2), dtype=np.int64), []
         pdf = pdf[~told]
-        if not len(pdf):
-            return pd.DataFrame({"a": ready[:, 0], "b": ready[:, 1]})
-        s = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["s"]])
-        key = np.concatenate([np.frombuffer(x, "<i8") for x in pdf["key"]])
-        n = np.concatenate([unpack_varints(x) for x in pdf["n"]]).astype(np.int64)
-        order = np.lexsort((key, n >> 1, s))
-        s, key, n = s[order], key[order], n[order]
-        size = n >> 1
-        fresh = np.append(True, (s[1:] != s[:-1]) | (100 * size[:-1] < join.percent * size[1:]))
-        run = np.cumsum(fresh) - 1
-        useful = np.bincount(run, weights=n & 1)[run] > 0
-        first = key[np.flatnonzero(fresh)][run]
-        keep = useful & (first != key)
-        a, b = np.minimum(first[keep], key[keep]), np.maximum(first[keep], key[keep])
-        pairs = np.unique(np.concatenate([np.column_stack([a, b]), ready]), axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return cells.groupBy("range").applyInPandas(grouped(star), "a long, b long")
+        if len(pdf):
+            s = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["s"]])
+            key = np.concatenate([np.frombuffer(x, "<i8") for x in pdf["key"]])
+            n = np.concatenate([unpack_varints(x) for x in pdf["n"]]).astype(np.int64)
+            order = np.lexsort((key, n >> 2, s))
+            s, key, n = s[order], key[order], n[order]
+            size = n >> 2
+            fresh = np.append(True, (s[1:] != s[:-1]) | (100 * size[:-1] < join.percent * size[1:]))
+            run = np.cumsum(fresh) - 1
+            new = fresh | np.append(True, key[1:] != key[:-1])
+            many = np.bincount(run, weights=new)
+            useful = (np.bincount(run, weights=n & 1) > 0) & (many > 1)
+            sure = useful & ((np.bincount(run, weights=n >> 1 & 1) > 0) | (many > LISTED))
+            first = key[np.flatnonzero(fresh)][run]
+            keep = sure[run] & (first != key)
+            a, b = np.minimum(first[keep], key[keep]), np.maximum(first[keep], key[keep])
+            pairs = np.concatenate([np.column_stack([a, b]), pairs])
+            keep = (useful & ~sure)[run] & new
+            order = np.lexsort((key[keep], run[keep]))
+            key, run = key[keep][order], run[keep][order]
+            starts = np.flatnonzero(np.diff(run, prepend=-1))
+            lengths = np.diff(np.append(starts, len(run)))
+            at = starts[lengths == 2]
+            two = np.unique(np.column_stack([key[at], key[at + 1]]), axis=0)
+            more = list({key[i : i + m].tobytes(): key[i : i + m] for i, m in zip(starts[lengths > 2], lengths[lengths > 2], strict=True)}.values())
+        pairs = np.unique(pairs, axis=0)
+        none = [None] * len(more)
+        a, b = ([*pairs[:, i].tolist(), *two[:, i].tolist(), *none] for i in range(2))
+        short = [None] * (len(pairs) + len(two))
+        return pd.DataFrame({"a": pd.array(a, dtype="Int64"), "b": pd.array(b, dtype="Int64"), "sure": np.arange(len(a)) < len(pairs), "keys": pd.Series([*short, *more], dtype=object)})
+
+    return cells.groupBy("range").applyInPandas(grouped(star), "a long, b long, sure boolean, keys array<long>")
+
+
+def sketched(sketches: list[bytes], sizes: np.ndarray, join: JaccardJoin) -> np.ndarray:
+    """Root place of each set's component, of those that sketches leave possible; sizes ascend."""
+    roots, lengths = Roots(len(sizes)), np.array([len(x) for x in sketches])
+    tables = {w: _table([x for x in sketches if len(x) == w]) for w in np.unique(lengths).tolist()}
+    row = np.zeros(len(sizes), dtype=np.int64)
+    for w in tables:
+        row[lengths == w] = np.arange((lengths == w).sum())
+    for i in range(len(sizes) - 1):
+        rest = np.arange(i + 1, len(sizes))
+        rest = rest[(join.percent * sizes[rest] <= 100 * sizes[i]) & (roots.of[rest] != roots.of[i])]
+        for w, table in tables.items():
+            some = rest[lengths[rest] == w]
+            if len(some):
+                apart = least_difference(table[row[some]], _table([sketches[i]]))
+                near = some[join.may_link(apart, sizes[i], sizes[some])]
+                if len(near):
+                    roots.link(i, near)
+    return roots.of
+
+
+def _near(lists: DataFrame, sketches: DataFrame, join: JaccardJoin, groups: int) -> DataFrame:
+    """Links a, b of the classes in each list (keys): near, those that connect what sketches leave possible, and the others."""
+
+    def work(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(["cell", "n", "key"])
+        cell, key, n, sketch = pdf["cell"].to_numpy(), pdf["key"].to_numpy(), pdf["n"].to_numpy(), pdf["sketch"].tolist()
+        starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        lengths, width = np.diff(np.append(starts, len(cell))), np.array([len(x) for x in sketch])
+        two = starts[lengths == 2]
+        a, b, near = [key[two]], [key[two + 1]], np.zeros(len(two), dtype=bool)
+        for x, y in set(zip(width[two].tolist(), width[two + 1].tolist(), strict=True)):
+            some = np.flatnonzero((width[two] == x) & (width[two + 1] == y))
+            at = two[some]
+            apart = least_difference(_table([sketch[i] for i in at]), _table([sketch[i + 1] for i in at]))
+            near[some] = join.may_link(apart, n[at], n[at + 1])
+        near = [near]
+        for i, m in zip(starts[lengths > 2], lengths[lengths > 2], strict=True):
+            of, own = sketched(sketch[i : i + m], n[i : i + m], join), key[i : i + m]
+            # Each set beside its root, and each root beside the first.
+            inner, heads = np.flatnonzero(of != np.arange(m)), np.unique(of)[1:]
+            a += [own[of[inner]], np.full(len(heads), own[0])]
+            b += [own[inner], own[heads]]
+            near += [np.ones(len(inner), dtype=bool), np.zeros(len(heads), dtype=bool)]
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "near": np.concatenate(near)})
+
+    rows = lists.select(F.xxhash64("keys").alias("cell"), F.explode("keys").alias("key"))
+    own = sketches.join(rows.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    rows = rows.join(own, "key").withColumn("g", F.pmod(F.xxhash64("cell"), F.lit(groups)))
+    return rows.groupBy("g").applyInPandas(grouped(work), "a long, b long, near boolean")
+
+
+def _regions(met: DataFrame, sketches: DataFrame, join: JaccardJoin, groups: int, most: int = 4096) -> DataFrame:
+    """node, root: regions of the classes that may be linked with another one.
+
+    Classes that meet are in one region, whether sketches leave their link possible or not; but for regions of over
+    `most` classes, which fall into what possible links connect.
+    """
+    met = materialize(met, "jaccard-met-in-cells")
+    lists = met.where("NOT sure").select(F.coalesce("keys", F.array("a", "b")).alias("keys")).distinct()
+    links = materialize(_near(lists, sketches, join, groups).unionByName(met.where("sure").select("a", "b", F.lit(True).alias("near"))), "jaccard-near", narrow=True)
+    discard(met)
+    possible = links.where("near")
+    stay = possible.select("a").union(possible.select("b")).distinct()
+    both = links.join(stay, "a", "left_semi").join(stay.withColumnRenamed("a", "b"), "b", "left_semi")
+    regions = connected_components(both.select("a", "b"))
+    large = materialize(regions.groupBy("root").count().where(F.col("count") > most).select("root"), "jaccard-large-regions", narrow=True)
+    if large.take(1):
+        finer = connected_components(possible.select("a", "b")).withColumnRenamed("root", "finer")
+        parted = regions.join(large, "root", "left_semi").join(finer, "node").select("node", F.col("finer").alias("root"))
+        regions = regions.join(large, "root", "left_anti").select("node", "root").unionByName(parted)
+    return regions
 
 
 # --- Regions: document pivots ----------------------------------------------------------------
@@ -612,12 +745,14 @@ def jaccard_components(docs: DataFrame, join: JaccardJoin | None = None, region_
     classes = classes.select("key", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("text_hash"), "n")
     classes = materialize(classes, "jaccard-classes", narrow=True)
     rarity = Rarity(*_common(first, bits))
-    regions = connected_components(_neighbours(_cells(docs.select("text"), join, rarity, bits), join))
+    discard(first, part="kind=1")
+    shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sketches = first.where("kind = 0 AND n > 0").select("key", "n", F.col("a").alias("sketch"))
+    regions = _regions(_neighbours(_cells(docs.select("text"), join, rarity, bits), join), sketches, join, 4 * shuffles)
     regions = materialize(regions.join(classes, F.col("node") == F.col("key")).select("key", F.col("root").alias("label"), "rep", "text_hash", "n"), "jaccard-regions", narrow=True)
     wanted = regions.select("key", F.col("label").alias("cell"))
     members = _members(docs, _filter(regions), join).join(wanted, "key").dropDuplicates(["key"])
     total = regions.agg(F.sum("n")).first()[0] or 0
-    shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     roots = connected_components(_recursion(members, join, region_sets, region_shingles, max(4 * shuffles, total // 500_000 + 1), tally))
     named = classes.join(roots, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     named = materialize(named, "jaccard-roots", narrow=True)

@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from panelweave.llm.jaccard import JaccardJoin, accumulator, jaccard_components, join_region
+from panelweave.llm.jaccard import JaccardJoin, _regions, accumulator, jaccard_components, join_region, least_difference, sketch_of
 
 JOIN = JaccardJoin(4, 85)
 
@@ -87,3 +87,38 @@ def test_small_regions_use_pivots_too():
     roots = join_region(sets, JOIN, seen)
     assert len(set(roots.tolist())) == 6 and all(len(set(roots[8 * i : 8 * i + 8].tolist())) == 1 for i in range(6))
     assert seen["cells_at_depth_1"] > 0 and seen["pairs"] < 48 * 47 / 2
+
+
+def test_chance_meetings_make_no_region(spark):
+    """Texts of twelve words that share rare shingles with many others: only sets that may be linked are read again."""
+    rnd = random.Random(7)
+    texts = [[f"w{rnd.randrange(12)}" for _ in range(60)] for _ in range(600)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(1000 + i, " ".join(texts[i][:-1] + ["end"])) for i in range(20)]
+    tally = accumulator(spark)
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), JOIN, region_sets=40, tally=tally)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {d: d % 1000 for d, _ in rows}
+    assert tally.value["split_across_tasks"] == 0 and 0 < tally.value["regions"] <= 20
+
+
+def test_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 5, 40, 41, 300, 2000):
+        for m in (n, n + n // 6, max(1, n // 2)):
+            a, b = (np.unique(rng.integers(0, 1 << 63, k).astype(np.uint64)) for k in (n, m))
+            b = np.unique(np.concatenate([a[: rng.integers(0, n + 1)], b]))
+            one, two = (np.frombuffer(sketch_of(x), np.uint8)[None, :] for x in (a, b))
+            apart = len(np.setxor1d(a, b))
+            assert least_difference(one, two)[0] <= apart and least_difference(one, one)[0] == 0
+            assert JOIN.may_link(apart, len(a), len(b)) == JOIN.linked(len(np.intersect1d(a, b)), len(a), len(b))
+
+
+def test_large_regions_fall_apart_by_sketches(spark):
+    """Three sets in a cell of which two may be linked, and a fourth linked with the third: one region, or two where one is too large."""
+    rng = np.random.default_rng(9)
+    sets = [rng.integers(0, 1 << 63, 200).astype(np.uint64) for _ in range(2)]
+    sets = [sets[0], np.append(sets[0][:-3], sets[1][:3]), sets[1], np.append(sets[1][:-3], sets[0][:3])]
+    sketches = spark.createDataFrame([(i, 200, bytearray(sketch_of(s))) for i, s in enumerate(sets)], "key long, n long, sketch binary")
+    met = spark.createDataFrame([(None, None, False, [0, 1, 2]), (2, 3, False, None)], "a long, b long, sure boolean, keys array<long>")
+    for most, want in ((4096, 1), (3, 2)):
+        roots = {r["node"]: r["root"] for r in _regions(met, sketches, JOIN, 4, most).collect()}
+        assert set(roots) == {0, 1, 2, 3} and len(set(roots.values())) == want and roots[0] == roots[1] and roots[2] == roots[3]
