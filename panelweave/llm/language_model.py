@@ -312,39 +312,54 @@ def _vectors(pdf) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return place, np.cumsum([0] + [len(h) for h in hashes]), n, vectors
 
 
-def centres_of(vectors: np.ndarray, rounds: int = 15, seed: int = 5) -> np.ndarray:
-    """GROUPS centres of like vectors, or fewer; deterministic."""
-    rng = np.random.default_rng(seed)
-    vectors = vectors[np.lexsort(vectors.T)]
-    centres = np.unique(vectors[rng.permutation(len(vectors))[:GROUPS]], axis=0)
-    for _ in range(rounds):
-        near = nearest_centre(vectors, centres)
-        n = np.bincount(near, minlength=len(centres))
-        sums = np.column_stack([np.bincount(near, weights=v, minlength=len(centres)) for v in vectors.T])
-        centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
-    return centres
-
-
 def nearest_centre(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
     out = [((centres**2).sum(axis=1) - 2 * vectors[at : at + 65536] @ centres.T).argmin(axis=1) for at in range(0, len(vectors), 65536)]
     return np.concatenate(out)
 
 
-def _groups(sketches: DataFrame, ranges: int, sample: int = 1 << 15) -> DataFrame:
-    """Per block and range the groups of its words; per range (block -1) the smoothed counts of each group.
+_SUMS = pa.schema([("range", pa.int32()), ("sums", pa.binary())])
+
 
-    The centres come from about `sample` words, those first by hash in each range among words seen five times; all words are grouped."""
+def _centres(sketches: DataFrame, rounds: int = 15, seed: int = 5) -> np.ndarray | None:
+    """GROUPS centres of like vectors, or fewer, of all words by their places in training text; deterministic.
 
-    def some(pdf):
+    The rounds begin with words from the most frequent ones of each range. In each, every word counts for the centre nearest to it.
+    """
+
+    def gather(pdf):
         import pandas as pd
 
-        _, _, n, vectors = _vectors(pdf)
-        often = vectors[n >= 5] if (n >= 5).any() else vectors
-        return pd.DataFrame({"v": [often[: max(1, sample // ranges)].astype("<f4").tobytes()]})
+        _, _, n, vectors = _vectors(pdf.sort_values("block"))
+        best = np.argsort(-n, kind="stable")[:GROUPS]
+        return pd.DataFrame({"range": [int(pdf["range"].iloc[0])], "v": [vectors.astype("<f4").tobytes()], "n": [n.astype("<i8").tobytes()], "first": [vectors[best].astype("<f4").tobytes()]})
+
+    words = materialize(sketches.groupBy("range").applyInPandas(grouped(gather), "range int, v binary, n binary, first binary"), "lm-means")
+    first = [np.frombuffer(r["first"], "<f4").reshape(-1, 2 * SIDE) for r in words.select("range", "first").orderBy("range").collect()]
+    if not first:
+        return None
+    first = np.concatenate(first).astype(np.float64)
+    centres = np.unique(first[np.random.default_rng(seed).permutation(len(first))[:GROUPS]], axis=0)
+    for _ in range(rounds):
+        shared = centres
+
+        def add(batches, shared=shared):
+            for batch in batches:
+                for r, v, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    vectors, times = np.frombuffer(v, "<f4").reshape(-1, 2 * SIDE).astype(np.float64), np.frombuffer(n, "<i8").astype(np.float64)
+                    near = nearest_centre(vectors, shared)
+                    sums = np.column_stack([np.bincount(near, weights=times * x, minlength=len(shared)) for x in [*vectors.T, 1.0]])
+                    yield record(_SUMS, [[r], [sums.tobytes()]])
+
+        found = sorted((r["range"], bytes(r["sums"])) for r in words.select("range", "v", "n").mapInArrow(tidy(add), "range int, sums binary").collect())
+        sums = sum(np.frombuffer(s, np.float64).reshape(len(centres), -1) for _, s in found)
+        centres = np.where(sums[:, -1:] > 0, sums[:, :-1] / np.maximum(sums[:, -1:], 1), centres)
+    discard(words)
+    return centres
+
 
-    found = sketches.groupBy("range").applyInPandas(grouped(some), "v binary").collect()
-    vectors = [np.frombuffer(r["v"], "<f4").reshape(-1, 2 * SIDE).astype(np.float64) for r in found]
-    shared = sketches.sparkSession.sparkContext.broadcast(centres_of(np.concatenate(vectors)) if vectors else None)
+def _groups(sketches: DataFrame) -> DataFrame:
+    """Per block and range the groups of its words; per range (block -1) the smoothed counts of each group."""
+    shared = sketches.sparkSession.sparkContext.broadcast(_centres(sketches))
 
     def assign(pdf):
         import pandas as pd
@@ -642,7 +657,7 @@ def fit_language_model(docs: DataFrame, modulus: int = 7, block_tokens: int = 1
     marks = materialize(_marks(vocabulary, [w for w, _ in frequent]), "lm-marks")
     parts = _parts(blocks, totals, marks)
     sketches = materialize(_sketches(parts, vocabulary, words, side_vectors(_pairs(parts, words))), "lm-sketches")
-    groups = materialize(_groups(sketches, 1 << bits), "lm-groups")
+    groups = materialize(_groups(sketches), "lm-groups")
     classed = materialize(_classed(parts, groups, words), "lm-classed", ("kind",))
     mass = np.zeros(GROUPS, dtype=np.int64)
     for r in groups.where("block = -1").select("a").collect():

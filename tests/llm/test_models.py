@@ -242,3 +242,19 @@ def test_parts_of_runs_and_overlaps():
     assert [text[a:b] for _, a, b in spans] == ["+1 (171) 555-2028", "+1 (171) 555-2029"] or [text[a:b] for _, a, b in spans] == ["+1 (171) 555-2028"]
     for odd in ("", "9" * 5000, "1 " * 4000, "x" * 9000 + "1", "a@" * 3000, "(" * 3000 + "1"):
         pii.more_spans(odd, pii.base_spans(odd), model)
+
+
+def test_word_groups_follow_all_words(spark):
+    """44,000 words of one range, of which the last 4,000 by hash stand beside other classes: the groups of one kind hold none of the other."""
+    from panelweave.llm.common import pack_varints
+    from panelweave.llm.language_model import SIDE, _groups, _pack, _unpack
+
+    rng = np.random.default_rng(10)
+    n, late = 44_000, 4_000
+    means = rng.integers(20, 120, (n, 2 * SIDE)).astype(np.int8)
+    means[-late:] *= -1
+    hashes = np.arange(n, dtype=np.uint64)
+    rows = [(b, 0, bytearray(hashes[p].tobytes()), bytearray(pack_varints(np.full(n // 2, 9))), bytearray(_pack(means[p]))) for b, p in enumerate((slice(0, n // 2), slice(n // 2, n)))]
+    found = _groups(spark.createDataFrame(rows, "block long, range int, a binary, b binary, c binary"))
+    group = np.concatenate([_unpack(bytes(r["a"]), np.uint8) for r in found.where("block >= 0").orderBy("block").collect()])
+    assert len(group) == n and not set(group[-late:].tolist()) & set(group[:-late].tolist())
