@@ -93,3 +93,16 @@ def test_run_equals_plain_code(spark, tmp_path):
         places[r["sequence_id"]].append((r["offset"], r["length"]))
     assert got == want
     assert all(sum(n for _, n in s) <= 4096 and sorted(s)[0][0] == 0 for s in places.values()) and len(places) == -(-sum(want.values()) // 4096)
+
+
+def test_chance_meetings_are_not_read_again(spark):
+    """The pipeline's join on texts of ten words that share rare shingles: only copies reach the regions."""
+    from panelweave.llm.jaccard import accumulator, jaccard_components
+
+    rnd = random.Random(11)
+    texts = [[f"w{rnd.randrange(10)}" for _ in range(60)] for _ in range(500)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(1000 + i, " ".join(texts[i][:-1] + ["end"])) for i in range(20)]
+    tally = accumulator(spark)
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), p.NEAR, region_sets=40, tally=tally)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {d: d % 1000 for d, _ in rows}
+    assert tally.value["split_across_tasks"] == 0 and 0 < tally.value["regions"] <= 20
