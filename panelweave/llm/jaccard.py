@@ -132,6 +132,20 @@ def _table(sketches: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
 
 
+class Sketches:
+    """Sketches side by side, so that one pass tells another one's least differences from all of them."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.lengths = np.array([len(x) for x in sketches], dtype=np.int64)
+        self.tables = {w: _table([x for x in sketches if len(x) == w]) for w in np.unique(self.lengths).tolist()}
+
+    def apart(self, sketch: bytes) -> np.ndarray:
+        out = np.zeros(len(self.lengths), dtype=np.int64)
+        for w, table in self.tables.items():
+            out[self.lengths == w] = least_difference(table, _table([sketch]))
+        return out
+
+
 # --- Frequencies of shingles -----------------------------------------------------------------
 
 #: Bits of a shingle that tell its counter, and how many of the most frequent counters are kept.
@@ -594,9 +608,10 @@ def _leaves(members: DataFrame, join: JaccardJoin, groups: int, tally=None) -> D
 def _measured(chunks: DataFrame, pivots: DataFrame, join: JaccardJoin, tally=None) -> DataFrame:
     """One step of the recursion: links a, b of sets with pivots of their cell; and, where cell isn't null, the Voronoi
     cells (of parent) whose window holds a set, with its sum of distances to all pivots. A cell's rest is one of them.
+    Windows name sets, their shingles stay behind: nearly all windows may hold a set.
     """
     radius = 1 - join.percent / 100
-    schema = "a long, b long, cell long, parent long, rest boolean, key long, far double, shingles binary"
+    schema = "a long, b long, cell long, parent long, rest boolean, key long, far double"
 
     def work(pdf):
         import pandas as pd
@@ -620,7 +635,7 @@ def _measured(chunks: DataFrame, pivots: DataFrame, join: JaccardJoin, tally=Non
             tally.add(Counter(pivots_met=len(here) * len(centres), windows=len(row), split_across_tasks=len(here)))
         met = pd.DataFrame({"a": links[:, 0], "b": links[:, 1]}, dtype="Int64")
         cells = pd.DataFrame({"cell": np.array(names, dtype=np.int64)[column], "parent": parent, "key": keys[row]}, dtype="Int64")
-        cells["rest"], cells["far"], cells["shingles"] = column == len(centres), table.sum(axis=1)[row], here["shingles"].to_numpy()[row]
+        cells["rest"], cells["far"] = column == len(centres), table.sum(axis=1)[row]
         return pd.concat([met, cells], ignore_index=True)[names_of]
 
     names_of = [c.split()[0] for c in schema.split(", ")]
@@ -628,28 +643,36 @@ def _measured(chunks: DataFrame, pivots: DataFrame, join: JaccardJoin, tally=Non
     return chunks.select(*columns).unionByName(pivots.select(*columns)).groupBy("cell", "chunk").applyInPandas(grouped(work), schema)
 
 
-def _against_chunks(members: DataFrame, roots: DataFrame, join: JaccardJoin, part_size: int = 64) -> DataFrame:
-    """Links of cells that pivots don't part: each set outside a cell's largest component meets every chunk of its cell."""
+def _against_chunks(members: DataFrame, roots: DataFrame, join: JaccardJoin, part_size: int = 512, part_shingles: int = 1 << 21, tally=None) -> DataFrame:
+    """Links of cells that pivots don't part: each set outside a cell's largest component meets every chunk of its cell.
+
+    A chunk moves once for every `part_size` of these sets, or `part_shingles` of their shingles. Pairs that sketches rule out aren't compared.
+    """
 
     def work(pdf):
         import pandas as pd
 
         here, left = pdf[~pdf["pivot"]], pdf[pdf["pivot"]]
         sets, out = Sets([np.frombuffer(s, dtype=np.uint64) for s in here["shingles"]]), [np.zeros((0, 2), dtype=np.int64)]
-        keys, every = here["key"].to_numpy(), np.arange(len(here))
+        keys, every, sketches, seen = here["key"].to_numpy(), np.arange(len(here)), Sketches([sketch_of(s) for s in sets.sets]), Counter(sets_moved=len(pdf))
         for key, raw in zip(left["key"], left["shingles"], strict=True):
             one = np.frombuffer(raw, dtype=np.uint64)
-            near = every[(100 * sets.sizes >= join.percent * len(one)) & (join.percent * sets.sizes <= 100 * len(one)) & (keys != key)]
+            near = (100 * sets.sizes >= join.percent * len(one)) & (join.percent * sets.sizes <= 100 * len(one)) & (keys != key)
+            near = every[near & join.may_link(sketches.apart(sketch_of(one)), sets.sizes, len(one))]
+            seen["pairs"] += len(near)
             both = sets.shared(one, near)
             found = near[100 * both >= join.percent * (sets.sizes[near] + len(one) - both)]
             out.append(np.column_stack([np.full(len(found), key), keys[found]]))
         links = np.concatenate(out)
+        if tally is not None:
+            tally.add(seen)
         return pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
 
     named = members.join(roots, F.col("key") == F.col("node"), "left").select("cell", "key", "shingles", "chunk", "chunks", F.coalesce("root", "key").alias("root"))
     main = named.groupBy("cell", "root").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
     left = named.join(main, "cell").where("root <> main")
-    parts = materialize(left.groupBy("cell").agg(F.ceil(F.count("*") / part_size).cast("int").alias("parts")), "jaccard-parts", narrow=True)
+    parts = F.greatest(F.ceil(F.count("*") / part_size), F.ceil(F.sum(F.octet_length("shingles") / 8) / part_shingles))
+    parts = materialize(left.groupBy("cell").agg(parts.cast("int").alias("parts")), "jaccard-parts", narrow=True)
     left = left.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("key", F.lit(5)), F.col("parts")).cast("int"))
     left = left.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)))
     here = named.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -664,8 +687,8 @@ def _recursion(members: DataFrame, join: JaccardJoin, region_sets: int, region_s
     A cell that fits into a task is joined there. A larger one gets document pivots, about `pivots` by hash and those
     that were nearest to all pivots of the level before, as the middle of a cluster is; its sets go to the Voronoi cells
     whose windows hold them, but for cells that are connected already. Where a pivot's cell keeps
-    over four fifths of its parent, the pivots tell nothing apart; there, and beyond the last
-    level, a cell's unconnected sets meet its chunks.
+    over four fifths of its parent, or the cells together hold over four times its sets, the pivots
+    tell too little apart; there, and beyond the last level, a cell's unconnected sets meet its chunks.
     """
     now, links = materialize(members.select("cell", "key", "shingles", F.lit(None).cast("double").alias("far")), "jaccard-cells"), []
     for level in range(levels + 1):
@@ -679,7 +702,7 @@ def _recursion(members: DataFrame, join: JaccardJoin, region_sets: int, region_s
         if not large.take(1):
             break
         if level == levels:
-            links.append(materialize(_against_chunks(large, connected_components(_union(links)), join), "jaccard-links", narrow=True))
+            links.append(materialize(_against_chunks(large, connected_components(_union(links)), join, tally=tally), "jaccard-links", narrow=True))
             break
         bucket = F.pmod(F.xxhash64("key", F.lit(level)), F.lit(central))
         nearest = [F.min(F.when(F.col("far").isNotNull() & (bucket == i), F.struct("far", "key")))["key"] for i in range(central)]
@@ -695,10 +718,13 @@ def _recursion(members: DataFrame, join: JaccardJoin, region_sets: int, region_s
         cells = met.where("cell IS NOT NULL").join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
         grown = cells.groupBy("parent", "cell", "rest").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
         grown = materialize(grown.join(sizes.select(F.col("cell").alias("parent"), "sets"), "parent"), "jaccard-grown", narrow=True)
-        stuck = grown.where("NOT rest AND n > 0.8 * sets").select(F.col("parent").alias("cell")).distinct()
-        links.append(materialize(_against_chunks(large.join(stuck, "cell", "left_semi"), roots, join), "jaccard-links", narrow=True))
+        stuck = grown.groupBy("parent").agg(F.max(F.when(~F.col("rest"), F.col("n"))).alias("most"), F.sum("n").alias("held"), F.max("sets").alias("sets"))
+        stuck = stuck.where("most > 0.8 * sets OR held > 4 * sets").select(F.col("parent").alias("cell"))
+        links.append(materialize(_against_chunks(large.join(stuck, "cell", "left_semi"), roots, join, tally=tally), "jaccard-links", narrow=True))
         fresh = grown.join(stuck.withColumnRenamed("cell", "parent"), "parent", "left_anti").select("cell")
-        now = materialize(cells.join(fresh, "cell", "left_semi").select("cell", "key", "shingles", "far"), "jaccard-cells")
+        held = cells.join(fresh, "cell", "left_semi").select("cell", "parent", "key", "far")
+        now = held.join(large.select(F.col("cell").alias("parent"), "key", "shingles"), ["parent", "key"])
+        now = materialize(now.select("cell", "key", "shingles", "far"), "jaccard-cells")
         discard(large, grown)
     return _union(links)
 

@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from panelweave.llm.jaccard import JaccardJoin, _regions, accumulator, jaccard_components, join_region, least_difference, sketch_of
+from panelweave.llm.jaccard import JaccardJoin, _measured, _regions, accumulator, jaccard_components, join_region, least_difference, sketch_of
 
 JOIN = JaccardJoin(4, 85)
 
@@ -122,3 +122,35 @@ def test_large_regions_fall_apart_by_sketches(spark):
     for most, want in ((4096, 1), (3, 2)):
         roots = {r["node"]: r["root"] for r in _regions(met, sketches, JOIN, 4, most).collect()}
         assert set(roots) == {0, 1, 2, 3} and len(set(roots.values())) == want and roots[0] == roots[1] and roots[2] == roots[3]
+
+
+def test_windows_that_hold_nearly_all_are_not_cut_again(spark):
+    """Clusters of 150 copies, each changed by its own share, and texts between: windows overlap at every level; sets move few times."""
+    rnd, rows = random.Random(1), []
+    for c in range(3):
+        base = words(rnd, 200)
+        rows += [" ".join(x if rnd.random() > p else f"x{rnd.randrange(10**9)}" for x in base) for p in [rnd.expovariate(1 / 0.025) for _ in range(150)]]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, rows)]
+    join, root = JaccardJoin(5, 80), list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and join.linked(len(sets[i] & sets[j]), len(sets[i]), len(sets[j])):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    tally = accumulator(spark)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_components(docs, join, region_sets=16, tally=tally).collect()}
+    assert got == dict(enumerate(root))
+    assert tally.value["split_across_tasks"] <= len(rows) and tally.value["pairs"] < len(rows) ** 2 / 4
+    assert 0 < tally.value["sets_moved"] <= 8 * len(rows)
+
+
+def test_windows_name_sets_without_their_shingles(spark):
+    """Two sets and a pivot that one of them is linked with: what is written per window doesn't grow with the sets."""
+    rng = np.random.default_rng(2)
+    raw = [np.sort(rng.integers(0, 1 << 63, 5000).astype(np.uint64)) for _ in range(2)]
+    row = lambda k, pivot: (1, 0, pivot, k, bytearray(raw[k].tobytes()))
+    tables = [spark.createDataFrame(r, "cell long, chunk long, pivot boolean, key long, shingles binary") for r in ([row(0, False), row(1, False)], [row(0, True)])]
+    met = [r.asDict() for r in _measured(*tables, JOIN).collect()]
+    assert sorted((r["key"], r["rest"]) for r in met) == [(0, False), (1, True)]
+    assert all(not isinstance(v, (bytes, bytearray)) for r in met for v in r.values())
