@@ -40,6 +40,11 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
     most = int(width.max(initial=1))
+    if most <= 2:  # half as many bytes to choose from
+        ranks = ranks.astype("<u2")
+        keep = np.ones((len(ranks), 2), dtype=bool)
+        keep[:, 1] = width == 2
+        return control.tobytes(), ranks.view(np.uint8)[keep.ravel()].tobytes()
     raw = ranks.view(np.uint8).reshape(-1, 4)[:, :most]
     return control.tobytes(), raw[np.arange(most, dtype=np.uint8) < width[:, None]].tobytes()
 
@@ -132,6 +137,7 @@ def _tokenized(docs: DataFrame, tokenizer: str, end_id: int, image_tokens: int)
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, image_tokens: int = 1 << 20) -> TokenFiles:
     """Encode every whole text, append `end_id`, and write the ids in ascending doc_id order.
 
+    Later steps leave the workers' encoders where they are: another table's words need not be learned again.
     Shards are ranges of doc_id; documents with equal ids are ordered by a hash of their text. A null
     id comes first. Null text counts as empty. Other columns are not read.
     """
@@ -140,7 +146,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, image_to
     keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keys = keys.withColumn("tie", F.xxhash64("text"))
     ordered = keys.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    blocks = materialize(_tokenized(ordered, tokenizer, end_id, image_tokens), "token-blocks", ("kind",))
+    blocks = materialize(_tokenized(ordered, tokenizer, end_id, image_tokens), "token-blocks", ("kind",), codec="lz4_raw")
 
     tally = pa.schema([("counts", pa.binary())])
 
@@ -155,7 +161,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, image_to
         yield record(tally, [[counts.tobytes()]])
 
     # A vector of the vocabulary's size from each of at most 32 tasks.
-    parts = blocks.where("kind = 1").select("docs", "ids").coalesce(32).mapInArrow(tidy(total), "counts binary").collect()
+    parts = blocks.where("kind = 1").select("docs", "ids").coalesce(32).mapInArrow(tidy(total, keeps=True), "counts binary").collect()
     parts = [np.frombuffer(bytes(r["counts"]), "<i8") for r in parts]
     counts = np.zeros(max(map(len, parts), default=0), dtype=np.int64)
     for part in parts:
@@ -177,9 +183,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, image_to
             names = [None if z else int(i) for i, z in zip(ids, null, strict=True)]
             yield record(schema, [[shard], [seq], [len(tokens)], [write_image(names, lengths, shared.value[tokens], before)]])
 
-    coded = blocks.where("kind = 0").select("shard", "seq", "docs", "ids").mapInArrow(tidy(images), "shard int, seq int, n_tokens long, image binary")
+    coded = blocks.where("kind = 0").select("shard", "seq", "docs", "ids").mapInArrow(tidy(images, keeps=True), "shard int, seq int, n_tokens long, image binary")
     table = spark.createDataFrame([(bytearray(ranking.tobytes()),)], "ids binary")
-    return TokenFiles(materialize(coded, "token-images"), materialize(table, "token-ranking"))
+    return TokenFiles(materialize(coded, "token-images", codec="lz4_raw"), materialize(table, "token-ranking"))
 
 
 def read_token_files(files: TokenFiles) -> DataFrame:
@@ -208,7 +214,7 @@ def _decoded(files: TokenFiles, keep_ids: bool) -> DataFrame:
             last = [bytes(p) if keep_ids else zlib.crc32(p) for p in parts]
             yield record(schema, [docs, starts + before + base[batch.column(0)[0].as_py()], lengths.astype(np.int64), last])
 
-    return files.images.select("shard", "image").mapInArrow(tidy(decode), f"doc_id long, start long, n_tokens long, {kind[0]} {'binary' if keep_ids else 'long'}")
+    return files.images.select("shard", "image").mapInArrow(tidy(decode, keeps=True), f"doc_id long, start long, n_tokens long, {kind[0]} {'binary' if keep_ids else 'long'}")
 
 
 def token_file_digest(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:

@@ -560,3 +560,24 @@ def test_skewed_groups_stay_whole(spark):
     rows += [(5000 + i, text(7000 + i, 50)) for i in range(150)]
     got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), JaccardJoin(4, 85), region_sets=16)
     assert got.where(F.col("component_id") == 0).count() == 300 and got.select("component_id").distinct().count() == 151
+
+
+def test_later_steps_of_token_files_leave_the_encoder_and_pack_nothing_twice(spark):
+    """Byte-packed images are written with a light codec, and a worker that encoded still knows its words afterwards."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from panelweave.llm import common
+
+    path = public.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(8)], "doc_id long, text string")
+    files = token_files.write_token_files(docs, path)
+    assert token_files.read_token_files(files).count() == 8
+    found = pq.ParquetFile(files.images.inputFiles()[0].removeprefix("file://")).metadata.row_group(0).column(3).compression
+    assert found.startswith("LZ4")
+
+    def state(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"held": [any(k.startswith("encoder") for k in common._STATE)] * b.num_rows})
+
+    held = spark.range(8).repartition(8).mapInArrow(state, "held boolean").collect()
+    assert any(r["held"] for r in held)
