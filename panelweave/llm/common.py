@@ -36,21 +36,25 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
-#: Rows of an Arrow batch between the JVM and Python: whole texts may be long.
-BATCH_ROWS = 1024
+#: Rows of an Arrow batch between the JVM and Python, and of a batch that is read from a file: whole texts may be long.
+BATCH_ROWS, READ_ROWS = 1024, 512
 
 
 def ship(spark: SparkSession) -> None:
-    """Ready a session: executors can import this package, Arrow batches of texts stay small, and an ended
+    """Ready a session: executors can import this package, batches of texts stay small, and an ended
     query's shuffle files go.
 
-    The package goes out once for each Spark context; a batch size that the session set itself is kept.
+    The package goes out once for each Spark context; a batch size that the session set itself is kept. A batch of
+    4096 texts takes arrays of some 10 MB, for which the JVM's heap grows and stays large.
     What the driver's Python has freed since the last operator goes back to the system.
     """
     _give_back()
     size = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(size) == "10000":
         spark.conf.set(size, BATCH_ROWS)
+    size = "spark.sql.parquet.columnarReaderBatchSize"
+    if spark.conf.get(size) == "4096":
+        spark.conf.set(size, READ_ROWS)
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     context = spark.sparkContext
     if getattr(context, "_package_shipped", False):

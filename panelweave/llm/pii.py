@@ -220,12 +220,20 @@ def _edges(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(tidy(find), "pattern string, instance long, kind string, n long")
 
 
-def score_patterns(edges: DataFrame, accepted: DataFrame) -> DataFrame:
+def pattern_places(edges: DataFrame, support: int) -> DataFrame:
+    """pattern, instance, n, open, total: the places of each string, whether one of them is no seed's, and all of the pattern's.
+
+    Only of patterns with `support` different strings: others can't become reliable, whatever is accepted.
+    """
+    places = edges.groupBy("pattern", "instance").agg(F.sum("n").alias("n"), F.bool_or(F.col("kind").isNull()).alias("open"))
+    total = places.groupBy("pattern").agg(F.sum("n").alias("total"), F.count("*").alias("strings")).where(F.col("strings") >= support)
+    return places.join(total.select("pattern", "total"), "pattern")
+
+
+def score_patterns(places: DataFrame, accepted: DataFrame) -> DataFrame:
     """pattern, kind, r, strings: share of a pattern's places that accepted strings of a kind fill, each by its score, and how many strings."""
-    places = edges.groupBy("pattern", "instance").agg(F.sum("n").alias("n"))
-    total = places.groupBy("pattern").agg(F.sum("n").alias("total"))
-    held = places.join(accepted, "instance").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("ri")).alias("held"), F.count("*").alias("strings"))
-    return held.join(total, "pattern").select("pattern", "kind", (F.col("held") / F.col("total")).alias("r"), "strings")
+    held = places.join(accepted, "instance").groupBy("pattern", "kind")
+    return held.agg((F.sum(F.col("n") * F.col("ri")) / F.max("total")).alias("r"), F.count("*").alias("strings"))
 
 
 def learn_contexts(docs: DataFrame, rounds: int = 3, reliable: float = 0.8, support: int = 5, at_once: int = 200_000) -> ContextModel:
@@ -240,13 +248,14 @@ def learn_contexts(docs: DataFrame, rounds: int = 3, reliable: float = 0.8, supp
     text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     edges = materialize(_edges(text).groupBy("pattern", "instance", "kind").agg(F.sum("n").alias("n")), "pii-edges", narrow=True)
     seeds = materialize(edges.where("kind IS NOT NULL").groupBy("instance", "kind").agg(F.lit(1.0).alias("ri")), "pii-seeds", narrow=True)
+    places = materialize(pattern_places(edges, support), "pii-places", narrow=True)
     accepted = seeds
     for turn in range(rounds):
-        scores = score_patterns(edges, accepted)
+        scores = score_patterns(places, accepted)
         good = materialize(scores.where((F.col("strings") >= support) & (F.col("r") >= reliable)).select("pattern", "kind", "r"), "pii-scores", narrow=True)
         if turn == rounds - 1:
             break
-        others = edges.where("kind IS NULL").select("pattern", "instance").join(good, "pattern").groupBy("instance", "kind").agg(F.max("r").alias("ri"))
+        others = places.where("open").select("pattern", "instance").join(good, "pattern").groupBy("instance", "kind").agg(F.max("r").alias("ri"))
         accepted = materialize(seeds.unionByName(others.join(seeds, "instance", "left_anti").select("instance", "kind", "ri")), "pii-accepted", narrow=True)
     best = good.groupBy("pattern").agg(F.max(F.struct("r", "kind")).alias("best")).select("pattern", F.col("best.kind").alias("kind"))
     passes, found = max(1, -(-best.count() // at_once)), {}

@@ -258,3 +258,25 @@ def test_word_groups_follow_all_words(spark):
     found = _groups(spark.createDataFrame(rows, "block long, range int, a binary, b binary, c binary"))
     group = np.concatenate([_unpack(bytes(r["a"]), np.uint8) for r in found.where("block >= 0").orderBy("block").collect()])
     assert len(group) == n and not set(group[-late:].tolist()) & set(group[:-late].tolist())
+
+
+def test_places_leave_out_patterns_of_too_few_strings(spark):
+    """Pattern a has three strings, b two: with a support of three only a's places stay, with all of their counts."""
+    rows = [("a", 1, "ip", 2), ("a", 1, None, 1), ("a", 2, "ip", 1), ("a", 3, None, 4), ("b", 1, "ip", 1), ("b", 2, None, 9)]
+    edges = spark.createDataFrame(rows, "pattern string, instance long, kind string, n long")
+    places = pii.pattern_places(edges, 3)
+    assert {(r["pattern"], r["instance"], r["n"], r["open"], r["total"]) for r in places.collect()} == {("a", 1, 3, True, 8), ("a", 2, 1, False, 8), ("a", 3, 4, True, 8)}
+    accepted = spark.createDataFrame([(1, "ip", 1.0), (3, "ip", 0.5)], "instance long, kind string, ri double")
+    assert [tuple(r) for r in pii.score_patterns(places, accepted).collect()] == [("a", "ip", 5 / 8, 2)]
+
+
+def test_batches_that_are_read_are_small(spark):
+    """Unless the session set its own size."""
+    from panelweave.llm.common import READ_ROWS, ship
+
+    size = "spark.sql.parquet.columnarReaderBatchSize"
+    for own, want in (("4096", str(READ_ROWS)), ("100", "100")):
+        spark.conf.set(size, own)
+        ship(spark)
+        assert spark.conf.get(size) == want
+    spark.conf.unset(size)
