@@ -13,6 +13,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,9 +47,9 @@ def ship(spark: SparkSession) -> None:
 
     The package goes out once for each Spark context; a batch size that the session set itself is kept. A batch of
     4096 texts takes arrays of some 10 MB, for which the JVM's heap grows and stays large.
-    What the driver's Python has freed since the last operator goes back to the system.
+    What the driver has freed since the last operator goes back to the system.
     """
-    _give_back()
+    relieve(spark)
     size = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(size) == "10000":
         spark.conf.set(size, BATCH_ROWS)
@@ -68,6 +69,41 @@ def ship(spark: SparkSession) -> None:
     context._package_shipped = True
 
 
+#: Seconds between two times that the driver hands memory back; at least so many times what the last one took.
+RELIEF, RELIEF_SHARE = 5.0, 20
+_RELIEF_DUE = [0.0]
+
+
+def relieve(spark: SparkSession) -> None:
+    """Hand back what the driver's Python and JVM have freed, unless that was done within RELIEF seconds.
+
+    Hundreds of short jobs leave the JVM a heap that grew for garbage, and the C library some 200 MB of pieces that
+    compilers and network buffers no longer use: each thread's arena keeps its own. A JVM that doesn't have the
+    command for that (an older one, or elsewhere than on Linux) only collects its garbage.
+    """
+    began = time.monotonic()
+    if began < _RELIEF_DUE[0]:
+        return
+    _give_back()
+    jvm, new = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    jvm.System.gc()
+    # The server's class is not public: its method is taken from the interface.
+    kinds = "javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"
+    types, values = new(jvm.java.lang.Class, len(kinds)), new(jvm.java.lang.Object, len(kinds))
+    for i, kind in enumerate(kinds):
+        types[i] = jvm.java.lang.Class.forName(kind)
+    command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    for i, value in enumerate((command, "systemTrimNativeHeap", new(jvm.java.lang.Object, 0), new(jvm.java.lang.String, 0))):
+        values[i] = value
+    invoke = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", types)
+    try:
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JJavaError:  # not this JVM
+        pass
+    ended = time.monotonic()
+    _RELIEF_DUE[0] = ended + max(RELIEF, RELIEF_SHARE * (ended - began))
+
+
 #: Rows of a file of a table of narrow rows.
 FILE_ROWS = 500_000
 
@@ -88,6 +124,7 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), na
     else:
         writer = df.write.option("compression", codec)
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    relieve(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

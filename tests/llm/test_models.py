@@ -1,15 +1,19 @@
 """Trained operators against plain evaluations, and what bootstrapping finds."""
 
 import collections
+import gc
 import math
+import os
 import random
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 
-from panelweave.llm import language, language_model, pii, toxicity
+from panelweave.llm import common, language, language_model, pii, toxicity
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 WORDS = "amber birch cedar delta ember fjord grove heath inlet jetty knoll ledge marsh north ocean plain quay ridge shore trail".split()
@@ -280,3 +284,23 @@ def test_batches_that_are_read_are_small(spark):
         ship(spark)
         assert spark.conf.get(size) == want
     spark.conf.unset(size)
+
+
+def test_the_driver_hands_freed_memory_back(spark, monkeypatch):
+    jvm = spark.sparkContext._jvm
+    own = jvm.java.io.File("/proc/self").getCanonicalFile().getName()
+    resident = lambda: int(Path(f"/proc/{own}/statm").read_text().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+    held = jvm.java.util.ArrayList()
+    for _ in range(1500):
+        held.add(jvm.java.nio.ByteBuffer.allocateDirect(100_000))
+    for i in range(1500):
+        if i % 15:
+            held.set(i, None)
+    gc.collect()
+    jvm.System.gc()
+    time.sleep(1)
+    before = resident()
+    monkeypatch.setattr(common, "_RELIEF_DUE", [0.0], raising=False)
+    table = common.materialize(spark.range(10), "small")
+    assert table.count() == 10 and before - resident() > 75
+    common.discard(table)
